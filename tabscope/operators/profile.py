@@ -37,18 +37,20 @@ def _categorical_columns(df: DataFrame, columns: Sequence[str] | None) -> list[s
 
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict:
     """One wide aggregate → ``{column: (n, min, max, mean, std)}`` (driver-sized:
-    five numbers per column)."""
+    five numbers per column); the table's row count is under key ``None``."""
     if not columns:
-        return {}
+        return {None: df.count()}
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    exprs = []
+    exprs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(columns):
         x = clean_number(c, dtypes[c])
         exprs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
                   F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}")]
     row = df.agg(*exprs).first()
-    return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"mu{i}"], row[f"sd{i}"])
-            for i, c in enumerate(columns)}
+    out = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"], row[f"mu{i}"], row[f"sd{i}"])
+           for i, c in enumerate(columns)}
+    out[None] = row["_rows"]
+    return out
 
 
 def medians(df: DataFrame, columns: Sequence[str], stats: dict | None = None,
