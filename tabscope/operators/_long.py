@@ -51,12 +51,15 @@ def to_long(df: DataFrame, columns: Sequence[str], numeric: bool,
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     conv = clean_number if numeric else text_form
     values = [conv(c, dtypes[c]).alias(c) for c in columns]
-    ids = [col(k).alias(k) for k in keep]
+    # Id columns get private names: a key may also be one of the values.
+    ids = [col(k).alias(f"__id{i}") for i, k in enumerate(keep)]
     wide = df.select(*ids, *values)
     long = wide.unpivot(
-        ids=[col(k) for k in keep], values=[col(c) for c in columns],
+        ids=[F.col(f"__id{i}") for i in range(len(keep))], values=[col(c) for c in columns],
         variableColumnName="column", valueColumnName="value",
     )
+    for i, k in enumerate(keep):
+        long = long.withColumnRenamed(f"__id{i}", k)
     if drop_nulls:
         long = long.where(F.col("value").isNotNull())
     return long
