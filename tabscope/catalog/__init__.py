@@ -33,6 +33,7 @@ def register(key: str, sql: str | None = None):
 def _load_all() -> None:
     from . import (  # noqa: F401 - registration side effects
         q_browse,
+        q_features,
         q_insights,
         q_profile,
     )
