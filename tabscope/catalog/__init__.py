@@ -35,6 +35,7 @@ def _load_all() -> None:
         q_browse,
         q_features,
         q_insights,
+        q_models,
         q_profile,
     )
 
