@@ -37,6 +37,7 @@ def _load_all() -> None:
         q_insights,
         q_models,
         q_profile,
+        q_sources,
     )
 
 

@@ -75,7 +75,9 @@ def load_records(spark: SparkSession, store: str) -> DataFrame:
 def bad_records(spark: SparkSession, store: str) -> DataFrame:
     """The records that could not be parsed, with their text."""
     raw = _read(spark, store)
-    return raw.where(F.col(CORRUPT).isNotNull()).select(
+    # Referencing a data column besides the corrupt-record column keeps the
+    # JSON reader from refusing the query.
+    return raw.where(F.col(CORRUPT).isNotNull() & F.col("id").isNull()).select(
         F.input_file_name().alias("file"), F.col(CORRUPT).alias("text"))
 
 
@@ -85,7 +87,7 @@ def _read(spark: SparkSession, store: str) -> DataFrame:
                  .option("multiLine", True).option("mode", "PERMISSIVE")
                  .option("columnNameOfCorruptRecord", CORRUPT)
                  .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-                 .json(store).cache())
+                 .json(store))
 
 
 def models_of(records: DataFrame, dataset_id: str) -> DataFrame:
