@@ -45,7 +45,15 @@ def categorical_columns(df: DataFrame) -> list[str]:
 # --------------------------------------------------------------------- I1–I3
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(i, j, col1, col2, r, abs_r)`` for every numeric pair i < j, over
-    pairwise-complete rows; NULL r when a side is constant."""
+    pairwise-complete rows; NULL r when a side is constant.
+
+    Two passes. Pass 1: per column count, mean, min, max (one aggregate).
+    Pass 2: one wide aggregate of plain sums over mean-centred values
+    (centring keeps the sums free of cancellation). A pair of columns without
+    nulls shares the per-column sums and only adds Σab; a pair with nulls
+    gets its own masked sums. Sums are cheap declarative aggregates, so the
+    pass stays inside whole-stage codegen even for many pairs.
+    """
     cols = list(columns) if columns is not None else numeric_columns(df)
     spark = df.sparkSession
     schema = "i int, j int, col1 string, col2 string, r double, abs_r double"
@@ -54,14 +62,46 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         return spark.createDataFrame([], schema)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     x = df.select(*[clean_number(c, dtypes[c]).alias(f"x{i}") for i, c in enumerate(cols)])
+    first = x.agg(F.count(F.lit(1)).alias("rows"),
+                  *[e for i in range(len(cols)) for e in (
+                      F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"),
+                      F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))]).first()
+    rows = first["rows"]
+    full = [first[f"n{i}"] == rows for i in range(len(cols))]
+    const = [first[f"lo{i}"] is None or first[f"lo{i}"] == first[f"hi{i}"] for i in range(len(cols))]
+    z = x.select(*[(F.col(f"x{i}") - F.lit(first[f"m{i}"] or 0.0)).alias(f"z{i}")
+                   for i in range(len(cols))])
     parts = []
     for start in range(0, len(pairs), PAIR_BATCH):
         batch = pairs[start:start + PAIR_BATCH]
-        row = x.agg(*[pearson(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in batch])
-        parts.append(row.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("col1"),
-                     F.lit(cols[j]).alias("col2"), F.col(f"r{i}_{j}").alias("r"))
-            for i, j in batch])).alias("p")).select("p.*"))
+        aggs, exprs = {}, []
+
+        def add(name, e):
+            if name not in aggs:
+                aggs[name] = e.alias(name)
+            return F.col(name)
+
+        for i, j in batch:
+            a, b = F.col(f"z{i}"), F.col(f"z{j}")
+            if full[i] and full[j]:
+                n = F.lit(float(rows))
+                sa, sb = add(f"s{i}", F.sum(a)), add(f"s{j}", F.sum(b))
+                saa, sbb = add(f"q{i}", F.sum(a * a)), add(f"q{j}", F.sum(b * b))
+            else:
+                both = a.isNotNull() & b.isNotNull()
+                am, bm = F.when(both, a), F.when(both, b)
+                n = add(f"n{i}_{j}", F.count(am)).cast("double")
+                sa, sb = add(f"sa{i}_{j}", F.sum(am)), add(f"sb{i}_{j}", F.sum(bm))
+                saa, sbb = add(f"qa{i}_{j}", F.sum(am * am)), add(f"qb{i}_{j}", F.sum(bm * bm))
+            sab = add(f"p{i}_{j}", F.sum(a * b))
+            cov = sab - sa * sb / n
+            va, vb = saa - sa * sa / n, sbb - sb * sb / n
+            ok = (va > 0) & (vb > 0) & F.lit(not (const[i] or const[j]))
+            r = F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(va * vb))))
+            exprs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("col1"),
+                                  F.lit(cols[j]).alias("col2"), r.alias("r")))
+        row = z.agg(*aggs.values())
+        parts.append(row.select(F.explode(F.array(*exprs)).alias("p")).select("p.*"))
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("abs_r", F.abs("r"))
 

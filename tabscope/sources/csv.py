@@ -32,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     inside quotes but makes each file one task; leave it off for big inputs."""
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
                  .option("multiLine", multi_line).option("inferSchema", False)
-                 .option("enforceSchema", False).csv(path))
+                 .csv(path))
 
 
 def raw_header(spark: SparkSession, path: str) -> list[str]:

@@ -74,11 +74,11 @@ def load_records(spark: SparkSession, store: str) -> DataFrame:
 
 def bad_records(spark: SparkSession, store: str) -> DataFrame:
     """The records that could not be parsed, with their text."""
-    raw = _read(spark, store)
-    # Referencing a data column besides the corrupt-record column keeps the
-    # JSON reader from refusing the query.
-    return raw.where(F.col(CORRUPT).isNotNull() & F.col("id").isNull()).select(
-        F.input_file_name().alias("file"), F.col(CORRUPT).alias("text"))
+    raw = _read(spark, store).select("id", F.input_file_name().alias("file"), CORRUPT)
+    # The reader only fills the corrupt-record column when whole rows are
+    # parsed, so the (small) metadata listing is collected before filtering.
+    rows = [(r["file"], r[CORRUPT]) for r in raw.collect() if r[CORRUPT] is not None]
+    return spark.createDataFrame(rows, "file string, text string")
 
 
 def _read(spark: SparkSession, store: str) -> DataFrame:
