@@ -79,8 +79,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     stats = numeric_stats(df, cols)
     hist = histogram(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        distinct = dict(hist.groupBy("column").count().collect())
-        med = exact_quantiles(hist, {c: stats[c][:3] for c in cols}, 0.5)
+        distinct: dict = {}
+        med = exact_quantiles(hist, {c: stats[c][:3] for c in cols}, 0.5, distinct=distinct)
     finally:
         hist.unpersist()
     rows = []

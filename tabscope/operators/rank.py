@@ -39,9 +39,30 @@ def _positions(n: int, q: float) -> tuple[int, int, float]:
     return k1, k2, pos - k1
 
 
+def _bucket_round(h: DataFrame, plan_rows: list, spark) -> dict:
+    """One selection round: per plan row ``(sid, g, lo, hi)`` count rows,
+    distinct values and min/max per value bucket of [lo, hi]. Returns
+    ``{sid: [bucket rows sorted by bucket]}`` (≤ SELECT_BUCKETS rows each)."""
+    plan = spark.createDataFrame(plan_rows, "sid int, g string, lo double, hi double")
+    # Halved operands keep (hi - lo) finite for any pair of finite doubles.
+    width = (F.col("hi") / 2 - F.col("lo") / 2) / F.lit(SELECT_BUCKETS)
+    bucket = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / width),
+                     F.lit(SELECT_BUCKETS - 1)).cast("int")
+    rows = (h.join(bounded_broadcast(plan), "g")
+             .where(F.col("v").between(F.col("lo"), F.col("hi")))
+             .groupBy("sid", bucket.alias("b"))
+             .agg(F.sum("c").alias("c"), F.min("v").alias("mn"),
+                  F.max("v").alias("mx"), F.count(F.lit(1)).alias("nd"))
+             .collect())
+    per: dict[int, list] = {}
+    for r in rows:
+        per.setdefault(r["sid"], []).append(r)
+    return {k: sorted(v, key=lambda r: r["b"]) for k, v in per.items()}
+
+
 def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
                     group_col: str = "column", value_col: str = "value",
-                    count_col: str = "cnt") -> dict:
+                    count_col: str = "cnt", distinct: dict | None = None) -> dict:
     """Exact linear-interpolated ``q``-quantile per group (pandas/Spark/DuckDB
     ``median`` semantics for q = 0.5).
 
@@ -49,65 +70,66 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
     read once per round, so callers should persist it. ``stats`` maps each
     group to ``(n, min, max)`` of its non-null values (already computed by the
     caller's wide aggregate). Returns ``{group: quantile}``; groups with n = 0
-    map to ``None``.
+    map to ``None``. When ``distinct`` is a dict it receives each group's
+    number of distinct values, counted in the first round for free.
     """
     spark = hist.sparkSession
+    h = hist.select(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"),
+                    F.col(count_col).alias("c"))
     result: dict = {}
-    # search id -> [group, lo, hi, below, k]
-    searches: dict[int, list] = {}
     wanted: dict = {}
-    sid = 0
+    first_plan = []
     for g, (n, lo, hi) in stats.items():
         if not n:
             result[g] = None
+            if distinct is not None:
+                distinct[g] = 0
             continue
         k1, k2, frac = _positions(int(n), q)
         wanted[g] = (k1, k2, frac)
-        for k in sorted({k1, k2}):
-            if lo == hi:
-                result[(g, k)] = float(lo)
-            else:
-                searches[sid] = [g, float(lo), float(hi), 0, k]
-                sid += 1
+        if lo == hi:
+            result[(g, k1)] = result[(g, k2)] = float(lo)
+            if distinct is not None:
+                distinct[g] = 1
+        else:
+            first_plan.append((len(first_plan), g, float(lo), float(hi)))
 
-    h = hist.select(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"),
-                    F.col(count_col).alias("c"))
+    # search id -> [group, lo, hi, below, k]
+    searches: dict[int, list] = {}
     finish: dict[int, list] = {}
-    rounds = 0
-    while searches:
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError("quantile selection did not converge")
-        plan = spark.createDataFrame(
-            [(i, s[0], s[1], s[2]) for i, s in searches.items()],
-            "sid int, g string, lo double, hi double")
-        # Halved operands keep (hi - lo) finite for any pair of finite doubles.
-        width = (F.col("hi") / 2 - F.col("lo") / 2) / F.lit(SELECT_BUCKETS)
-        bucket = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / width),
-                         F.lit(SELECT_BUCKETS - 1)).cast("int")
-        rows = (h.join(bounded_broadcast(plan), "g")
-                 .where(F.col("v").between(F.col("lo"), F.col("hi")))
-                 .groupBy("sid", bucket.alias("b"))
-                 .agg(F.sum("c").alias("c"), F.min("v").alias("mn"),
-                      F.max("v").alias("mx"), F.count(F.lit(1)).alias("nd"))
-                 .collect())
-        per: dict[int, list] = {}
-        for r in rows:
-            per.setdefault(r["sid"], []).append(r)
-        nxt: dict[int, list] = {}
-        for i, (g, lo, hi, below, k) in searches.items():
+    per = _bucket_round(h, first_plan, spark) if first_plan else {}
+    seeds = []
+    for gid, g, lo, hi in first_plan:
+        if distinct is not None:
+            distinct[g] = sum(r["nd"] for r in per.get(gid, []))
+        k1, k2, _ = wanted[g]
+        for k in sorted({k1, k2}):
+            seeds.append((g, lo, hi, 0, k, per.get(gid, [])))
+    rounds = 1
+    while seeds:
+        nxt = []
+        for g, lo, hi, below, k, buckets in seeds:
             acc = below
-            for r in sorted(per.get(i, []), key=lambda r: r["b"]):
+            for r in buckets:
                 if acc + r["c"] > k:
                     if r["mn"] == r["mx"]:
                         result[(g, k)] = float(r["mn"])
                     elif r["nd"] <= FINISH_ROWS or (r["mn"] == lo and r["mx"] == hi):
-                        finish[i] = [g, r["mn"], r["mx"], acc, k]
+                        finish[len(finish)] = [g, r["mn"], r["mx"], acc, k]
                     else:
-                        nxt[i] = [g, r["mn"], r["mx"], acc, k]
+                        nxt.append([g, r["mn"], r["mx"], acc, k])
                     break
                 acc += r["c"]
-        searches = nxt
+        seeds = []
+        if nxt:
+            rounds += 1
+            if rounds > MAX_ROUNDS:
+                raise RuntimeError("quantile selection did not converge")
+            searches = {i: s for i, s in enumerate(nxt)}
+            per = _bucket_round(h, [(i, s[0], float(s[1]), float(s[2])) for i, s in searches.items()],
+                                spark)
+            seeds = [(s[0], float(s[1]), float(s[2]), s[3], s[4], per.get(i, []))
+                     for i, s in searches.items()]
 
     if finish:
         plan = spark.createDataFrame(
@@ -116,12 +138,12 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
         rows = (h.join(bounded_broadcast(plan), "g")
                  .where(F.col("v").between(F.col("lo"), F.col("hi")))
                  .select("sid", "v", "c").collect())
-        per = {}
+        vals: dict[int, list] = {}
         for r in rows:
-            per.setdefault(r["sid"], []).append((r["v"], r["c"]))
+            vals.setdefault(r["sid"], []).append((r["v"], r["c"]))
         for i, (g, _lo, _hi, below, k) in finish.items():
             acc = below
-            for v, c in sorted(per.get(i, [])):
+            for v, c in sorted(vals.get(i, [])):
                 if acc + c > k:
                     result[(g, k)] = float(v)
                     break
