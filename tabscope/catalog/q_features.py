@@ -195,3 +195,12 @@ def e10_model_comparison(spark, d):
     m = fits.select("group", "n", F.lit("linear").alias("model"), F.lit("r2").alias("metric"),
                     F.col("r2").alias("value"))
     return rounded(E.rank_models(m))
+
+
+@register("f7_assemble", """
+SELECT p_partkey, CAST(p_size AS DOUBLE) AS f0, p_retailprice AS f1 FROM part""")
+def f7_assemble(spark, d):
+    from pyspark.ml.functions import vector_to_array
+    v = FT.assemble(table(spark, d, "part"), ["p_size", "p_retailprice"])
+    a = vector_to_array("features")
+    return v.select("p_partkey", a[0].alias("f0"), a[1].alias("f1"))
