@@ -41,18 +41,6 @@ def first_appearance_codes(df: DataFrame, order_by: str, columns: Sequence[str]
                  .select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code")))
 
 
-def apply_codes(df: DataFrame, column: str, codes: DataFrame, out: str | None = None) -> DataFrame:
-    """Replace ``column`` by its code from an F1/F2 mapping (NULL matches the
-    NULL category). The mapping side is joined without a hint: AQE broadcasts
-    it only after measuring it."""
-    out = out or column
-    m = (codes.where(F.col("column") == column) if "column" in codes.columns else codes)
-    m = m.select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-    j = df.join(m, col(column).cast("string").eqNullSafe(F.col("_v")), "left")
-    return j.drop("_v").withColumn(out, F.col("_code")).drop("_code") if out != column else \
-        j.drop("_v", column).withColumnRenamed("_code", column)
-
-
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: alphabetical codes (scikit ``LabelEncoder``),
     via ``StringIndexer(stringOrderType='alphabetAsc')``. Labels are classes,
@@ -74,15 +62,15 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None,
     cats = list(columns) if columns is not None else list(cls.categorical)
     if not cats:
         return df
-    vc = (to_long(df, cats, numeric=False).groupBy("column", "value").count()
-          .groupBy("column").agg(F.count(F.lit(1)).alias("n"),
-                                 F.array_sort(F.collect_list("value")).alias("values")))
-    # One row per text column; each list is bounded by the guard below.
-    found = {r["column"]: r for r in vc.where(F.col("n") <= max_categories).collect()}
-    too_many = [c for c in cats if c not in found and
-                vc.where(F.col("column") == c).limit(1).count()]
+    distinct = to_long(df, cats, numeric=False).groupBy("column", "value").count()
+    # Count first (one row per column), then gather names only for columns
+    # under the guard: no unbounded list is ever built in one task.
+    sizes = dict(distinct.groupBy("column").count().collect())
+    too_many = [c for c in cats if sizes.get(c, 0) > max_categories]
     if too_many:
         raise ValueError(f"more than {max_categories} categories in {too_many}; use one_hot_vector")
+    found = {r["column"]: r for r in distinct.groupBy("column")
+             .agg(F.array_sort(F.collect_list("value")).alias("values")).collect()}
     keep = [col(c) for c in df.columns if c not in cats]
     dummies = []
     for c in cats:
