@@ -113,8 +113,8 @@ def s8_recent_top5(spark, d):
 
 
 @register("s8_recent_per_group", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
-                 ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey
+                 ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS rank FROM orders)
 WHERE rank <= 2
 """)
 def s8_recent_per_group(spark, d):

@@ -165,8 +165,8 @@ def e8_confusion_counts(spark, d):
 
 
 @register("e8_confusion_matrix", f"""
-SELECT quality AS actual, sum(CASE WHEN predicted = 0 THEN 1 ELSE 0 END) AS p_0,
-       sum(CASE WHEN predicted = 1 THEN 1 ELSE 0 END) AS p_1 FROM {RULE_SQL} GROUP BY quality""")
+SELECT quality AS actual, CAST(sum(CASE WHEN predicted = 0 THEN 1 ELSE 0 END) AS BIGINT) AS p_0,
+       CAST(sum(CASE WHEN predicted = 1 THEN 1 ELSE 0 END) AS BIGINT) AS p_1 FROM {RULE_SQL} GROUP BY quality""")
 def e8_confusion_matrix(spark, d):
     return E.confusion_matrix(_rule_pred(spark, d), "quality", "predicted")
 

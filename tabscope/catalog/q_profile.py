@@ -55,7 +55,7 @@ def c2_categorical_profile(spark, d):
 
 @register("c3_filter_options", f"""
 WITH vc AS ({value_counts_sql("orders", ORDERS_CAT)})
-SELECT "column", to_json(list_sort(list(value))) AS options
+SELECT "column", CAST(to_json(list_sort(list(value))) AS VARCHAR) AS options
 FROM vc GROUP BY "column" HAVING count(*) < 20
 """)
 def c3_filter_options(spark, d):

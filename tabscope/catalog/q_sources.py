@@ -51,7 +51,7 @@ def _infer_sql() -> str:
             f"CASE WHEN count({v}) > 0 AND count_if(regexp_matches({v}, '{INT_RE}')) = count({v}) THEN 'bigint' "
             f"WHEN count_if(regexp_matches({v}, '{INT_RE}') OR regexp_matches({v}, '{FLOAT_RE}')) = count({v}) "
             f"THEN 'double' WHEN count_if({v} IN ('True','TRUE','true','False','FALSE','false')) = count({v}) "
-            f"THEN 'boolean' ELSE 'string' END AS type, count_if({v} IS NULL) AS nulls FROM {PN_TEXT}")
+            f"THEN 'boolean' ELSE 'string' END AS type, CAST(count_if({v} IS NULL) AS BIGINT) AS nulls FROM {PN_TEXT}")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -101,8 +101,8 @@ def s3_verdict(spark, d):
 
 
 @register("s4_records", """
-SELECT to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, c_acctbal := c_acctbal,
-                           c_mktsegment := c_mktsegment)) AS record FROM customer""")
+SELECT CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, c_acctbal := c_acctbal,
+                           c_mktsegment := c_mktsegment)) AS VARCHAR) AS record FROM customer""")
 def s4_records(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     return REC.to_records(c)
