@@ -46,8 +46,14 @@ def _bucket_round(h: DataFrame, plan_rows: list, spark) -> dict:
     plan = spark.createDataFrame(plan_rows, "sid int, g string, lo double, hi double")
     # Halved operands keep (hi - lo) finite for any pair of finite doubles.
     width = (F.col("hi") / 2 - F.col("lo") / 2) / F.lit(SELECT_BUCKETS)
-    bucket = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / width),
-                     F.lit(SELECT_BUCKETS - 1)).cast("int")
+    finite = (F.col("lo") > F.lit(float("-inf"))) & (F.col("hi") < F.lit(float("inf")))
+    # An infinite end splits off first: ±inf to the outer buckets, the finite
+    # values to the middle one, whose min/max then bound the next round.
+    bucket = (F.when(finite, F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / width),
+                                     F.lit(SELECT_BUCKETS - 1)))
+              .when(F.col("v") == F.lit(float("-inf")), F.lit(0))
+              .when(F.col("v") == F.lit(float("inf")), F.lit(SELECT_BUCKETS - 1))
+              .otherwise(F.lit(SELECT_BUCKETS // 2)).cast("int"))
     rows = (h.join(bounded_broadcast(plan), "g")
              .where(F.col("v").between(F.col("lo"), F.col("hi")))
              .groupBy("sid", bucket.alias("b"))

@@ -50,3 +50,10 @@ def test_row_index_single_bucket(spark):
     w = Window.orderBy("k")
     ref = df.withColumn("_row", F.row_number().over(w) - 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ref.collect()))
+
+
+def test_median_with_infinities(spark, monkeypatch):
+    monkeypatch.setattr(R, "FINISH_ROWS", 2)
+    vals = [float("-inf"), 1.0, 2.0, 3.0, 4.0, 5.0, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert P.medians(df, ["x"])["x"] == float(np.median(vals))
