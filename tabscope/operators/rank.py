@@ -10,9 +10,8 @@ with bounded per-task and per-driver state:
   counts rows per value bucket (a partial aggregate), the driver picks the
   bucket holding the wanted rank (≤ ``buckets`` rows per search), and the next
   round looks only inside it. Typical data ends after 1–3 rounds.
-* :func:`row_index` – 0-based global row numbers in a key order: range buckets
-  from approximate quantiles (binary search in ``Bucketizer``), per-bucket
-  counts, prefix offsets, and ``row_number`` inside each bucket only.
+* :func:`row_index` – 0-based global row numbers in a key order: the engine's
+  range exchange, a sort inside each partition, and per-partition offsets.
 """
 
 from __future__ import annotations
@@ -20,10 +19,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from ._long import bounded_broadcast, col
 
 # Width of one selection round and the largest slice finished on the driver.
@@ -166,54 +165,43 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "_row",
-              target_rows: int = 1_000_000, accuracy: int = 10_000) -> DataFrame:
-    """Add a 0-based global row number in ``order_cols`` order.
-
-    The first order column must be numeric, date or timestamp (it is range
-    bucketed). Ties on the full key are broken by an ``xxhash64`` of the row,
-    so the numbering is deterministic and a lost task recomputes the same
-    numbers. A bucket never holds more than about ``target_rows`` rows unless
-    one key value alone is larger; such a hot value is split by hash range.
+              stored: bool = False) -> DataFrame:
+    """Add a 0-based global row number in ``order_cols`` order (nulls first).
+
+    Keys may be of any sortable type and any number. Ties on the key are broken
+    by an ``xxhash64`` of the row, so the numbering does not depend on the
+    physical layout; rows equal in every column are interchangeable.
+
+    Plan: the input is written once with a salt per row; the engine's range
+    exchange deals it on (key, row hash, salt), so a key value, or one repeated
+    row, that fills a third of the table is still split over many tasks. Each
+    task sorts its own range, ``monotonically_increasing_id`` gives
+    (partition, position), and the counts per partition (one row per shuffle
+    partition, the only thing the driver sees) turn that into global numbers.
+
+    ``stored=True`` skips the first write: for an input that is already a plain
+    scan and whose rows differ from each other.
     """
-    spark = df.sparkSession
-    first = order_cols[0]
-    key = col(first)
-    key_num = (F.unix_micros(key.cast("timestamp")).cast("double")
-               if dict(df.dtypes)[first] in ("date", "timestamp", "timestamp_ntz")
-               else key.cast("double"))
-    work = df.withColumn("_k", F.coalesce(key_num, F.lit(-math.inf))).withColumn("_tb", F.xxhash64(*[col(c) for c in df.columns]))
-    n = work.count()
-    parts = max(1, math.ceil(n / target_rows))
-    if parts == 1:
-        # The whole frame fits one bucket: a single ordered window is bounded.
-        w = Window.partitionBy(F.lit(0)).orderBy(*[col(c) for c in order_cols], "_tb")
-        return work.withColumn(index_col, F.row_number().over(w) - 1).drop("_k", "_tb")
-
-    fracs = [i / parts for i in range(1, parts)]
-    raw = work.select(F.percentile_approx("_k", fracs, accuracy)).first()[0] or []
-    splits = sorted(set(float(b) for b in raw if b is not None))
-    hot = {b for b in splits if raw.count(b) > 1}
-    bucketizer = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="_k",
-                            outputCol="_b", handleInvalid="keep")
-    work = bucketizer.transform(work)
-    # Hot values get sub-buckets by hash range, which keeps (key, hash) order
-    # (only valid when the key is a single column).
-    sub = F.lit(0)
-    if hot and len(order_cols) == 1:
-        fan = max(2, min(1024, max(raw.count(b) for b in hot)))
-        sub = F.when(F.col("_k").isin(list(hot)),
-                     F.floor((F.col("_tb").cast("double") / 2 + 2.0 ** 62) / (2.0 ** 63 / fan))
-                     ).otherwise(F.lit(0))
-    work = work.withColumn("_s", F.least(sub, F.lit(1023)).cast("int"))
-    work = work.withColumn("_b", F.col("_b").cast("int"))
-    # ≤ buckets × 1024 count rows: their prefix sum is driver-sized.
-    counts = sorted(tuple(r) for r in work.groupBy("_b", "_s").count().collect())
-    acc, rows = 0, []
-    for b, s_, c in counts:
-        rows.append((b, s_, acc))
+    hashed = df.withColumn("__tie", F.xxhash64(*[col(c) for c in df.columns]))
+    salt = F.lit(0.0) if stored else F.rand(17)
+    staged = hashed.withColumn("__salt", salt)
+    if not stored:
+        staged = materialize(staged, "rank-in")
+    keys = [*[col(c) for c in order_cols], F.col("__tie"), F.col("__salt")]
+    ranged = materialize(
+        staged.repartitionByRange(*keys).sortWithinPartitions(*keys)
+              .drop("__tie", "__salt")
+              .withColumn("__at", F.monotonically_increasing_id()), "rank")
+    part = F.shiftright(F.col("__at"), 33)
+    counts = sorted((r[0], r[1]) for r in
+                    ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
+    offsets, acc = [], 0
+    for p, c in counts:
+        offsets.append((p, acc))
         acc += c
-    offsets = spark.createDataFrame(rows, "_b int, _s int, _off bigint")
-    w = Window.partitionBy("_b", "_s").orderBy(*[col(c) for c in order_cols], "_tb")
-    return (work.join(bounded_broadcast(offsets), ["_b", "_s"])
-                .withColumn(index_col, F.col("_off") + F.row_number().over(w) - 1)
-                .drop("_k", "_tb", "_b", "_s", "_off"))
+    off = df.sparkSession.createDataFrame(offsets, "__part bigint, __off bigint")
+    local = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ranged.withColumn("__part", part)
+                  .join(bounded_broadcast(off), "__part")
+                  .withColumn(index_col, F.col("__off") + local)
+                  .drop("__part", "__off", "__at"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime options every operator relies on. They are SQL confs, so they can be
 # set on a live session without a restart.
@@ -90,3 +91,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="tabscope-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()``, but the files are columnar and
+    compressed, so later readers prune columns. A lost executor costs nothing:
+    the table lies in shared storage. The folder is a fresh one per call and
+    goes away with the checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabscope-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -38,7 +38,7 @@ def test_row_index_multi_bucket_matches_window(spark):
     rng = np.random.default_rng(7)
     keys = rng.integers(0, 50, 3000).tolist() + [17] * 1500  # hot key
     df = spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "k bigint, v bigint")
-    got = R.row_index(df, ["k"], "_row", target_rows=200)
+    got = R.row_index(df, ["k"], "_row")
     rows = sorted((r["_row"], r["k"]) for r in got.collect())
     assert [r[0] for r in rows] == list(range(len(keys)))
     assert [r[1] for r in rows] == sorted(keys)  # numbering follows key order
@@ -57,3 +57,24 @@ def test_median_with_infinities(spark, monkeypatch):
     vals = [float("-inf"), 1.0, 2.0, 3.0, 4.0, 5.0, float("inf"), float("inf")]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert P.medians(df, ["x"])["x"] == float(np.median(vals))
+
+
+def test_row_index_text_keys_hot_ties_and_nulls(spark):
+    rows = [(f"k{i % 7}", i % 3) for i in range(500)] + [("hot", 1)] * 700 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "a string, b int").repartition(6)
+    got = sorted((r["_row"], r["a"] or "", -1 if r["b"] is None else r["b"])
+                 for r in R.row_index(df, ["a", "b"], "_row").collect())
+    assert [g[0] for g in got] == list(range(len(rows)))
+    assert [g[1:] for g in got] == sorted((a or "", -1 if b is None else b) for a, b in rows)
+
+
+def test_row_index_spreads_one_repeated_row(spark):
+    df = spark.range(20_000).select(F.lit("same").alias("a"))
+    out = R.row_index(df, ["a"], "_row")
+    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert out.agg(F.countDistinct("_row"), F.max("_row")).first()[:] == (20_000, 19_999)
+    assert max(sizes) < 20_000
+
+
+def test_row_index_empty(spark):
+    assert R.row_index(spark.createDataFrame([], "a string"), ["a"], "_row").count() == 0
