@@ -43,7 +43,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``(*keys, lanes array<bigint>)``: one fingerprint per distinct ``keys``
     row. If the input is already partitioned by some of the keys, the words are
     aggregated where they are."""
-    para = texts.select(*keys, F.explode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("__p"))
+    para = texts.select(*keys, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("__p"))
     sha = F.sha2("__p", 512)
     para = para.select(*keys, F.split("__p", SPACES, -1).alias("__w"), sha.alias("__sha"))
     words = F.col("__w")
@@ -97,34 +97,34 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``floor(n_chars / 2)`` code points replaced by the first as many (or all) of
     the next document in ascending id order (after the last: the first)."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    base = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    ids = row_index(base.select("id", "h", F.char_length("text").cast("long").alias("n")),
+    key = docs[id_col]
+    # (id0, h) is a key without NULLs, so that plain equality joins on it.
+    base = docs.select(key.alias("id"), F.coalesce(key, F.lit(0).cast(docs.schema[id_col].dataType)).alias("id0"),
+                       F.xxhash64(text, key.isNull()).alias("h"), text.alias("text"))
+    ids = row_index(base.select("id", "id0", "h", F.char_length("text").cast("long").alias("n")),
                     ["id", "h"], "i")
     ids = materialize(ids, "ids")
     total = ids.count()
     after = ids.select(F.pmod(F.col("i") - 1, F.lit(max(total, 1))).alias("i"),
-                       F.col("id").alias("next_id"), F.col("h").alias("next_h"))
+                       F.col("id0").alias("next_id"), F.col("h").alias("next_h"))
     asked = materialize(ids.join(after, "i"), "asked")
     # Rows equal in id and text are one text here; ``asked`` has each of them.
-    same = Window.partitionBy("id", "h").orderBy("h")
-    texts = base.withColumn("k", F.row_number().over(same)).where("k = 1").drop("k")
+    same = Window.partitionBy("id0", "h").orderBy("h")
+    texts = base.drop("id").withColumn("k", F.row_number().over(same)).where("k = 1").drop("k")
     half = F.floor(F.col("n") / 2).cast("int")
-    lent = asked.alias("a").join(
-        texts.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"),
-                     F.col("text").alias("next")),
-        F.col("a.next_id").eqNullSafe(F.col("next_id")) & (F.col("a.next_h") == F.col("next_h")))
-    lent = lent.select("i", F.col("id").alias("to_id"), F.col("h").alias("to_h"), "n",
-                       F.left("next", half).alias("tail"))
-    both = texts.join(lent, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    lent = asked.join(texts.select(F.col("id0").alias("next_id"), F.col("h").alias("next_h"),
+                                   F.col("text").alias("next")), ["next_id", "next_h"])
+    lent = lent.select("i", "id", "id0", "h", "n", F.left("next", half).alias("tail"))
+    both = texts.join(lent, ["id0", "h"])
     edited = F.concat(F.left("text", (F.col("n") - half).cast("int")), F.col("tail"))
-    both = both.select("id", "h", "i", "n", "text", edited.alias("edited"))
-    both = both.select("id", "h", "i", "n", F.explode(F.array(
+    both = both.select("id0", "h", "id", "i", "n", "text", edited.alias("edited"))
+    both = both.select("id0", "h", "id", "i", "n", F.explode(F.array(
         F.struct(F.lit("").alias("sha"), F.col("text").alias("text")),
         F.struct(F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text")))).alias("x"))
-    prints = fingerprints(both.select("id", "h", "i", "n", "x.sha", "x.text"),
-                          ["id", "h", "i", "n", "sha"], "text")
+    keys = ["id0", "h", "id", "i", "n"]
+    prints = fingerprints(both.select(*keys, "x.sha", "x.text"), [*keys, "sha"], "text")
     own = F.col("sha") == ""
-    prints = materialize(prints.groupBy("id", "h", "i", "n").agg(
+    prints = materialize(prints.groupBy(*keys).agg(
         F.max("sha").alias("edited_sha256"),
         F.max(F.when(own, F.col("lanes"))).alias("mine"),
         F.max(F.when(~own, F.col("lanes"))).alias("edited")), "fingerprints")
