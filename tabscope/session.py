@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Bytes of one Arrow batch: long texts must not pile up in a Python worker.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
