@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("mixing", "sharding", "fingerprint", "near_dup", "token_files", "quality")
+_MODULES = ("mixing", "sharding", "fingerprint", "near_dup", "token_files", "quality", "line_dedup")
 
 
 def _all() -> dict:

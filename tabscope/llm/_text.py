@@ -117,11 +117,13 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray,
-                fold_case: bool = False) -> np.ndarray:
+                fold_case: bool = False, seed: int = 0) -> np.ndarray:
     """64-bit hashes of ascending, non-overlapping byte spans: a polynomial in
     an odd base over random byte values modulo 2**64, then mixed with the
-    length."""
+    length. Each ``seed`` is another hash."""
     table = _FOLD if fold_case else _BYTE
+    if seed:
+        table = mix(table ^ _U(seed))
     out = np.empty(len(start), _U)
     i = 0
     while i < len(start):
