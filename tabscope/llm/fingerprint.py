@@ -8,11 +8,11 @@ adding or subtracting its vector (:func:`combine`) without reading the rest.
 
 Lanes of a vector:
 
-* 16 lanes from the paragraph's SHA-512, for equality;
+* 8 lanes from the paragraph's SHA-256, for equality;
 * 1 lane with its number of word pairs (the last word stands alone);
-* 64 lanes that count, per bit, the pairs whose 64-bit hash has the bit set.
-  ``2 * count - pairs`` is a sum of random signs, so the cosine of two texts'
-  64 sums estimates the cosine of their word-pair counts: :func:`likeness`.
+* 64 lanes of signs: each word pair adds a hashed ``+1`` or ``-1`` to one hashed
+  lane, so the cosine of two texts' 64 sums estimates the cosine of their
+  word-pair counts: :func:`likeness`.
 
 Defined results: NULL text is the empty text (one empty paragraph); rows equal
 in id and text are separate rows, neighbours in the order of ids; NULL ids come
@@ -34,35 +34,56 @@ from ..operators.rank import row_index
 from ..session import materialize
 
 SPACES = r"[\x20\x09-\x0D]+"
-WIDE, SIGNS = 16, 64
+WIDE, SIGN_BITS = 8, 6
+LANES = WIDE + 1 + (1 << SIGN_BITS)
 MOD = 1 << 32
-PAIR_MASK = (1 << 32) + 1  # bits 0 and 32: two counters in one long
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def _hex_lanes(sha: Column, n: int) -> Column:
+    """``n`` lanes of 32 bits from a hex digest."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(
+        F.substring(sha, 8 * i + 1, 8), 16, 10).cast("long"))
+
+
+def _wide(paras: Column) -> Column:
+    """Sum of the paragraphs' SHA-256 lanes."""
+    return F.aggregate(paras, F.array_repeat(F.lit(0).cast("long"), WIDE), lambda acc, p: F.zip_with(
+        acc, _hex_lanes(F.sha2(p, 256), WIDE), lambda x, y: (x + y).bitwiseAND(F.lit(MOD - 1))))
+
+
+def _pairs(paras: Column) -> Column:
+    """Hash (not negative) of every word and its successor in the paragraph."""
+    top = F.lit((1 << 63) - 1)
+    return F.flatten(F.transform(paras, lambda p: F.zip_with(
+        F.split(p, SPACES, -1), F.slice(F.split(p, SPACES, -1), 2, 1 << 30),
+        lambda x, y: F.xxhash64(x, y).bitwiseAND(top))))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], text_col: str, digest: bool = False) -> DataFrame:
     """``(*keys, lanes array<bigint>)``: one fingerprint per distinct ``keys``
-    row. If the input is already partitioned by some of the keys, the words are
-    aggregated where they are."""
-    para = texts.select(*keys, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("__p"))
-    sha = F.sha2("__p", 512)
-    para = para.select(*keys, F.split("__p", SPACES, -1).alias("__w"), sha.alias("__sha"))
-    words = F.col("__w")
-    grams = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
-    para = para.select(*keys, grams.alias("__g"), *[
-        F.conv(F.substring("__sha", 8 * i + 1, 8), 16, 10).cast("long").alias(f"__l{i}")
-        for i in range(WIDE)])
-    rows = para.select(*keys, *[f"__l{i}" for i in range(WIDE)],
-                       F.posexplode("__g").alias("__at", "__h"))
-    once = F.col("__at") == 0  # a paragraph's lanes count once
-    sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.sum(F.when(once, F.col(f"__l{i}")).otherwise(0)).alias(f"__a{i}") for i in range(WIDE)],
-        *[F.sum(F.shiftrightunsigned("__h", k).bitwiseAND(F.lit(PAIR_MASK))).alias(f"__b{k}")
-          for k in range(SIGNS // 2)])
-    low = [F.col(f"__b{k}").bitwiseAND(F.lit(MOD - 1)) for k in range(SIGNS // 2)]
-    high = [F.shiftrightunsigned(f"__b{k}", 32) for k in range(SIGNS // 2)]
-    lanes = F.array(*[F.col(f"__a{i}") for i in range(WIDE)], F.col("__n"), *low, *high)
-    return sums.select(*keys, F.transform(lanes, lambda x: x.bitwiseAND(F.lit(MOD - 1))).alias("lanes"))
+    row (with ``digest``, the text's SHA-256 as 8 more lanes). If the input is
+    already partitioned by some of the keys, all is aggregated where it is: a
+    text becomes a sparse vector, one sum per (text, lane) adds it up."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sha = _hex_lanes(F.sha2(text, 256), 8) if digest else F.array().cast("array<bigint>")
+    para = texts.select(*keys, sha.alias("__sha"), F.split(text, "\n", -1).alias("__p"))
+    para = para.select(*keys, "__sha", _wide(F.col("__p")).alias("__wide"), _pairs(F.col("__p")).alias("__g"))
+    # A given lane value is a negative number that holds lane and value; every
+    # lane is given once, so that each text has all of them.
+    fixed = F.concat("__wide", F.array(F.size("__g").cast("long")),
+                     F.array_repeat(F.lit(0).cast("long"), 1 << SIGN_BITS), "__sha")
+    fixed = F.transform(fixed, lambda v, i: F.lit(-(1 << 63)) + F.shiftleft(i.cast("long"), 32) + v)
+    rows = para.select(*keys, F.explode(F.concat(fixed, "__g")).alias("__x"))
+    x, given = F.col("__x"), F.col("__x") < 0
+    lane = F.when(given, F.shiftright(x, 32).bitwiseAND(F.lit(0xFFFF))).otherwise(
+        F.lit(WIDE + 1) + F.shiftright(x, 63 - SIGN_BITS))
+    value = F.when(given, x.bitwiseAND(F.lit(MOD - 1))).otherwise(
+        F.lit(1) - 2 * x.bitwiseAND(F.lit(1)))
+    sums = (rows.select(*keys, lane.cast("int").alias("__lane"), value.alias("__v"))
+                .groupBy(*keys, "__lane").agg(F.sum("__v").alias("__v")))
+    packed = F.shiftleft(F.col("__lane").cast("long"), 32) + F.col("__v").bitwiseAND(F.lit(MOD - 1))
+    full = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(packed)).alias("__all"))
+    return full.select(*keys, F.transform("__all", lambda x: x.bitwiseAND(F.lit(MOD - 1))).alias("lanes"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -75,8 +96,9 @@ def as_text(lanes: Column) -> Column:
 
 
 def _signs(lanes: Column) -> Column:
-    n = F.element_at(lanes, WIDE + 1)
-    return F.transform(F.slice(lanes, WIDE + 2, SIGNS), lambda x: (2 * x - n).cast("double"))
+    half = F.lit(MOD >> 1)  # lanes are residues: those above half are negative
+    return F.transform(F.slice(lanes, WIDE + 2, 1 << SIGN_BITS), lambda x: F.when(
+        x >= half, x - F.lit(MOD)).otherwise(x).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -117,17 +139,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lent = lent.select("i", "id", "id0", "h", "n", F.left("next", half).alias("tail"))
     both = texts.join(lent, ["id0", "h"])
     edited = F.concat(F.left("text", (F.col("n") - half).cast("int")), F.col("tail"))
-    both = both.select("id0", "h", "id", "i", "n", "text", edited.alias("edited"))
-    both = both.select("id0", "h", "id", "i", "n", F.explode(F.array(
-        F.struct(F.lit("").alias("sha"), F.col("text").alias("text")),
-        F.struct(F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text")))).alias("x"))
-    keys = ["id0", "h", "id", "i", "n"]
-    prints = fingerprints(both.select(*keys, "x.sha", "x.text"), [*keys, "sha"], "text")
-    own = F.col("sha") == ""
-    prints = materialize(prints.groupBy(*keys).agg(
-        F.max("sha").alias("edited_sha256"),
-        F.max(F.when(own, F.col("lanes"))).alias("mine"),
-        F.max(F.when(~own, F.col("lanes"))).alias("edited")), "fingerprints")
+    keys = ["id0", "h", "i", "edited"]
+    both = both.select("id0", "h", "i", "text", edited.alias("new")).select(
+        "id0", "h", "i", F.explode(F.array(
+            F.struct(F.lit(False).alias("edited"), F.col("text").alias("text")),
+            F.struct(F.lit(True).alias("edited"), F.col("new").alias("text")))).alias("x"))
+    prints = fingerprints(both.select("id0", "h", "i", "x.*"), keys, "text", digest=True)
+    prints = materialize(prints.groupBy("id0", "h", "i").agg(
+        F.max(F.when(~F.col("edited"), F.slice("lanes", 1, LANES))).alias("mine"),
+        F.max(F.when(F.col("edited"), F.col("lanes"))).alias("other")), "fingerprints")
+    prints = prints.join(ids.select("i", "id", "n"), "i").select(
+        "i", "id", "n", "mine", F.slice("other", 1, LANES).alias("edited"),
+        as_text(F.slice("other", LANES + 1, 8)).alias("edited_sha256"))
     following = prints.select(F.pmod(F.col("i") - 1, F.lit(max(total, 1))).alias("i"),
                               F.col("mine").alias("next"))
     return prints.join(following, "i").select(
