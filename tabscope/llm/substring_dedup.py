@@ -2,7 +2,7 @@
 
 A gear hash rolls over the bytes of every text (``h = (h << 1) + gear[byte]`` on
 32 bits, so it depends on the last 32 bytes only). A text is cut before a word
-where the hash falls below a fixed fraction, on average every ``MEAN`` words;
+where the hash falls below a fixed fraction, on average every ``MEAN`` words, at the latest after ``LONGEST``;
 after an insertion or deletion the cuts fall into step again within 16 bytes.
 Chunks are compared by a 64-bit digest of their words. A chunk whose digest
 occurred before (in a text of smaller id, or earlier in the same text) is a
@@ -31,6 +31,7 @@ from ..session import configure, materialize
 from ._text import Words, _powers, blocks, mix, utf8
 
 MEAN = 4  # words per chunk
+LONGEST = 64
 MIN_WORDS = 20
 WINDOW = 16  # bytes
 DOC = ["nul", "id0", "tag"]
@@ -66,6 +67,10 @@ def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     cut[inner] = h[words.start[inner] - 1] < np.uint32((1 << 32) // MEAN)
     cut[words.first[:-1][np.diff(words.first) > 0]] = True
     begin = np.flatnonzero(cut)
+    # A stretch without cuts (one word over and over) is cut every LONGEST words.
+    pieces = -(-np.diff(np.r_[begin, n]) // LONGEST)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = np.repeat(begin, pieces) + LONGEST * nth
     end = np.r_[begin[1:], n]
     power, inverse = _powers(max(1 << 16, n))
     c = np.r_[_U(0), np.cumsum(words.hashes() * power[:n], dtype=_U)]
