@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("mixing", "sharding", "fingerprint", "near_dup", "token_files", "quality", "line_dedup", "pieces", "substring_dedup")
+_MODULES = ("mixing", "sharding", "fingerprint", "near_dup", "token_files", "quality", "line_dedup", "pieces", "substring_dedup", "pii")
 
 
 def _all() -> dict:
