@@ -12,8 +12,9 @@ Only windows around digits and ``@`` are decoded: elsewhere a segment has no
 digit and no ``@`` and cannot be an entity, so the windows are independent.
 
 Training. A bounded sample of ``SAMPLE`` windows of the corpus (those of
-smallest hash) is labelled by the base rules; each labelled window is added again
-with its spans rewritten in the looser forms that the base rules do not know.
+smallest hash) is labelled by the base rules; each labelled window is added
+``VARIANTS`` times with its spans rewritten in looser forms that the base rules do
+not know, each other one once more with a date, an amount or a range.
 The weights maximise the conditional likelihood (batched forward-backward).
 
 Defined results: NULL and empty texts have no spans; positions are code points,
@@ -47,6 +48,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SAMPLE = 1200  # training windows
+VARIANTS = 3  # looser forms of a labelled window
 WINDOW_TOKENS = 48  # longest training window
 LONGEST = 16  # tokens of an entity
 SLOTS = 1 << 12  # hashed features per type
@@ -225,13 +227,23 @@ def _looser(span: str, kind: int, rng: random.Random) -> str:
     return span
 
 
+def _decoy(rng: random.Random) -> str:
+    """A number that is no personal datum: a date, an amount, a version, a range."""
+    y, m, d = rng.randint(1900, 2030), rng.randint(1, 12), rng.randint(1, 28)
+    n = rng.randint(1000, 9_999_999)
+    return rng.choice((f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y}", f"{m}/{d}/{y}", f"{n:,}", f"{n}", f"{n}-{n + d}",
+                       f"{d}.{m}.{y % 10}", f"{y}-{y + d}", f"{n / 100:.2f}"))
+
+
 def _examples(rows: list[tuple[str, list[tuple[int, int, int]]]]):
     """Per training window: tokens, segments, and the index of the true ones."""
     rng = random.Random(6)
     texts = []
     for text, spans in rows:
         texts.append((text, spans))
-        if spans:
+        if not spans and (cut := text.rfind(" ")) > 0:
+            texts.append((f"{text[:cut]} {_decoy(rng)}{text[cut:]}", []))
+        for _ in range(VARIANTS if spans else 0):
             new, out, done = [], "", 0
             for a, kind, b in spans:
                 out += text[done:a]
