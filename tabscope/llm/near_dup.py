@@ -10,14 +10,18 @@
 3. 16 bands of 4 ranks: classes that agree on a band share a bucket (a pair at
    similarity 0.85 shares none with probability 7e-6).
 4. Pairs are confirmed on their full sets. A bucket is never turned into all its
-   pairs: every member is compared with the bucket's smallest member first, and
-   the links found are merged by union-find. Only buckets whose members are then
-   still in several components go on: more members serve as pivots (8 times as
-   many each round), against members of other components only, and only where
-   sizes and the triangle inequality of the Jaccard distance leave a link
-   possible. A member is retired once it has been a pivot. It ends when no open
-   bucket holds two components, so no link inside a bucket is missed.
-5. Components: union-find inside each partition, then star contraction.
+   pairs: every member is compared with one pivot, the member that shares most
+   buckets with others (in a group of variants: the least edited one), and the
+   links found are merged by union-find.
+5. Members of one pivot's group that are then still in several components are
+   compared exactly as far as a link is possible. Two of them can only be linked
+   if their parts outside the pivot share enough shingles: ``inter >= 85 / 185 *
+   (n + m)``, of which at most ``min(inter_u, inter_v)`` lie in the pivot. So they
+   share one of the first shingles of those parts (prefix filter, with sizes and
+   positions), or need none (both nearly inside the pivot). In each such bucket
+   growing numbers of members serve as pivots, compared with members of other
+   components only, until no bucket holds two components: no link is missed.
+6. Components: union-find inside each partition, then star contraction.
 
 Defined results: NULL, empty and white-space texts have an empty set, are linked
 with nothing and are kept; equal texts are linked; a component is named by its
@@ -39,7 +43,8 @@ from ._text import Words, blocks, mix, utf8, window_hashes
 SHINGLE = 5
 SLOTS, BANDS = 64, 16
 PERCENT = 85  # links: 100 * intersection >= PERCENT * union
-PIVOTS = 8  # growth of the number of pivots per bucket and round
+PIVOTS = 32  # growth of the number of pivots per bucket and round
+EDGES = 1_000_000  # edges that one task's union-find takes
 
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
@@ -144,20 +149,25 @@ def _sets(batches):
                                          names=["c", "set"])
 
 
+def _prefix(n):
+    """Number of shingles of which a set of ``n`` must share one to be linked."""
+    return n - -(-n * PERCENT // 100) + 1
+
+
 def _overlap(batches):
+    """Size of the intersection, and the first shingles of ``y`` outside ``x``."""
     for batch in batches:
         a, b = batch.column("set_x"), batch.column("set_y")
-        inter = np.zeros(batch.num_rows, np.int64)
+        inter, rest = [], []
         for i in range(batch.num_rows):
             x, y = (np.frombuffer(s[i].as_buffer(), _U) for s in (a, b))
-            if len(x) > len(y):
-                x, y = y, x
-            if len(x):
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                inter[i] = np.count_nonzero(y[at] == x)
+            at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+            both = x[at] == y if len(x) else np.zeros(len(y), bool)
+            inter.append(int(np.count_nonzero(both)))
+            rest.append(y[~both][:_prefix(len(y))].view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("x"), batch.column("y"), batch.column("nx"), batch.column("ny"),
-             pa.array(inter)], names=["x", "y", "nx", "ny", "inter"])
+            [*[batch.column(c) for c in ("x", "y", "nx", "ny")], pa.array(inter, pa.int64()),
+             pa.array(rest, pa.list_(pa.int64()))], names=["x", "y", "nx", "ny", "inter", "rest"])
 
 
 def _union_find(batches):
@@ -182,15 +192,16 @@ def _union_find(batches):
 
 def components(edges: DataFrame) -> DataFrame:
     """``(c, comp)`` of every node that has an edge ``(u, v)`` and is not its
-    component's smallest node. Forests per partition, then large-star and
-    small-star rounds (Kiveris et al.) until nothing changes."""
-    forest = materialize(edges.mapInArrow(_union_find, "u bigint, v bigint"), "forest")
-    seen = None
-    while True:
-        mark = forest.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or tuple(mark) == seen:
-            return forest.select(F.col("u").alias("c"), F.col("v").alias("comp"))
-        seen = tuple(mark)
+    component's smallest node. Forests of at most ``EDGES`` edges each; if there
+    are several, large-star and small-star rounds (Kiveris et al.) join them,
+    until every node has one parent and no parent has a parent."""
+    parts = edges.count() // EDGES + 1
+    forest = materialize(edges.coalesce(parts).mapInArrow(_union_find, "u bigint, v bigint"), "forest")
+    while parts > 1:
+        twice = forest.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        deep = forest.select("v").join(forest.select(F.col("u").alias("v")), "v", "left_semi")
+        if twice.isEmpty() and deep.isEmpty():
+            break
         both = forest.union(forest.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -199,55 +210,85 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         forest = materialize(small.where("u <> v").union(low.select("u", F.col("m").alias("v")))
                              .distinct(), "small-star")
+    return forest.select(F.col("u").alias("c"), F.col("v").alias("comp"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(x, y, nx, ny, inter)`` of candidate pairs ``(x, y)``, on full sets."""
+    """``(x, y, nx, ny, inter, rest)`` of candidate pairs ``(x, y)``, on full sets."""
     size = (F.octet_length("set") / 8).cast("long")
     side = [sets.select(F.col("c").alias(k), size.alias(f"n{k}"), F.col("set").alias(f"set_{k}"))
             for k in ("x", "y")]
     full = pairs.join(side[1], "y").join(side[0], "x")
     return full.select("x", "y", "nx", "ny", "set_x", "set_y").mapInArrow(
-        _overlap, "x bigint, y bigint, nx bigint, ny bigint, inter bigint")
+        _overlap, "x bigint, y bigint, nx bigint, ny bigint, inter bigint, rest array<bigint>")
+
+
+def _labels(tested: DataFrame) -> DataFrame:
+    linked = F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * PERCENT
+    return components(tested.where(linked).select(F.col("y").alias("u"), F.col("x").alias("v")))
 
 
-def _linked():
-    return F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * PERCENT
+def _several(rows: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with their component, of those groups that hold several."""
+    rows = rows.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    mixed = (rows.groupBy(*by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
+                 .where("lo < hi").drop("lo", "hi"))
+    return rows.drop("least").join(mixed, by)
 
 
 def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Component labels ``(c, comp)`` from buckets ``(b, h, c, n, p)`` (``p`` the
-    smallest member)."""
-    pairs = buckets.where("c <> p").select(F.col("p").alias("x"), F.col("c").alias("y")).distinct()
+    """Component labels ``(c, comp)`` from buckets ``(b, h, c, k)`` of ``k``
+    members."""
+    score = buckets.groupBy("c").agg(F.sum("k").alias("score"))
+    pivot = (buckets.join(score, "c").groupBy("b", "h")
+                    .agg(F.max(F.struct("score", (-F.col("c")).alias("c"))).alias("x"))
+                    .select("b", "h", (-F.col("x.c")).alias("p")))
+    pairs = (buckets.join(pivot, ["b", "h"]).where("c <> p")
+                    .select(F.col("p").alias("x"), F.col("c").alias("y")).distinct())
     tested = materialize(_verify(pairs, sets), "tested")
-    labels = components(tested.where(_linked()).select(F.col("y").alias("u"), F.col("x").alias("v")))
-    # Distance to the first pivot bounds all other distances.
-    far = 1.0 - F.col("inter") / (F.col("nx") + F.col("ny") - F.col("inter"))
-    left = (buckets.where("c <> p").join(
-        tested.select(F.col("x").alias("p"), F.col("y").alias("c"), far.alias("d")), ["p", "c"])
-        .select("b", "h", "c", "n", "d"))
-    pivots, reach = 1, 1.0 - PERCENT / 100 + 1e-9
+    labels = _labels(tested)
+
+    # Groups of a pivot that hold several components; ``i`` is the part of a
+    # member inside the pivot, ``o`` the number of its shingles outside.
+    members = tested.select(F.col("x").alias("p"), F.col("y").alias("c"), F.col("ny").alias("n"),
+                            F.col("inter").alias("i"), "rest")
+    members = materialize(_several(members, labels, ["p"]), "groups")
+
+    def need(n, m):  # least intersection of linked sets, times (100 + PERCENT)
+        return (n + m) * PERCENT
+
+    whole = 100 + PERCENT
+    # The partner is at least as large as the group's smallest, and 0.85 n.
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+    free = (members.where(F.col("i") * whole >= need(F.col("n"), partner))
+                   .select("p", F.lit(0).cast("long").alias("t"), F.lit(-1).alias("at"), "c", "n", "i"))
+    shared = members.select("p", "c", "n", "i", "least", F.posexplode("rest").alias("at", "t"))
+    shared = (shared.where((F.col("i") + (F.col("n") - F.col("i") - F.col("at"))) * whole
+                           >= need(F.col("n"), partner)).select("p", "t", "at", "c", "n", "i"))
+    rows, key, pivots = materialize(free.union(shared), "shared"), ["p", "t", "b"], 1
+    rows = rows.withColumn("b", F.col("at") < 0)
     while True:
-        rows = left.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        several = (rows.groupBy("b", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                       .where("lo < hi").select("b", "h"))
-        left = materialize(rows.join(several, ["b", "h"], "left_semi"), "open")
-        if left.isEmpty():
+        rows = materialize(_several(rows.drop("comp", "least"), labels, key), "open")
+        if rows.isEmpty():
             return labels
         pivots *= PIVOTS
-        chosen = (left.groupBy("b", "h", F.pmod(F.xxhash64("c", F.lit(pivots)), F.lit(pivots)).alias("s"))
-                      .agg(F.min(F.struct("c", "comp", "n", "d")).alias("p")).select("b", "h", "p"))
-        small, large = F.least("n", F.col("p.n")), F.greatest("n", F.col("p.n"))
-        possible = ((F.col("comp") != F.col("p.comp")) & (small * 100 >= large * PERCENT)
-                    & (F.abs(F.col("d") - F.col("p.d")) <= reach))
-        pairs = (left.join(chosen, ["b", "h"]).where(possible)
-                     .select(F.least("c", "p.c").alias("x"), F.greatest("c", "p.c").alias("y")).distinct()
-                     .join(tested.select("x", "y"), ["x", "y"], "left_anti"))
-        more = materialize(_verify(pairs, sets), "tested")
-        tested = tested.unionByName(more)
-        labels = components(tested.where(_linked()).select(F.col("y").alias("u"), F.col("x").alias("v")))
-        left = left.drop("comp").join(chosen.select("b", "h", F.col("p.c").alias("c")),
-                                      ["b", "h", "c"], "left_anti")
+        part = F.pmod(F.xxhash64("c", F.lit(pivots)), F.lit(pivots)).alias("s")
+        chosen = (rows.groupBy(*key, part).agg(F.min(F.struct("at", "c", "comp", "n", "i")).alias("v"))
+                      .select(*key, "v"))
+        n, m = F.col("n"), F.col("v.n")
+        inside = F.least(F.col("i"), F.col("v.i"))
+        outside = F.when(F.col("b"), 0).otherwise(F.least(n - F.col("i") - F.col("at"),
+                                                          m - F.col("v.i") - F.col("v.at")))
+        possible = ((F.col("comp") != F.col("v.comp")) & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
+                    & ((inside + outside) * whole >= need(n, m)))
+        pairs = (rows.join(chosen, key).where(possible)
+                     .select(F.least("c", "v.c").alias("x"), F.greatest("c", "v.c").alias("y")).distinct())
+        known = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        more = materialize(_verify(pairs.join(known, ["x", "y"], "left_anti"), sets), "tested")
+        if not more.isEmpty():
+            tested = tested.unionByName(more)
+            labels = _labels(tested)
+        rows = rows.join(chosen.select(*key, F.col("v.c").alias("c")), [*key, "c"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,9 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .agg(first, F.first("bands").alias("bands")).select(*digest, "rep.*", "bands"))
     classes = materialize(row_index(classes, ["nul", "id0", "th"], "c"), "classes")
 
-    banded = classes.select("c", "n", F.posexplode("bands").alias("b", "h"))
-    shared = (banded.groupBy("b", "h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("p"))
-                    .where("k > 1").drop("k"))
+    banded = classes.select("c", F.posexplode("bands").alias("b", "h"))
+    shared = banded.groupBy("b", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     buckets = materialize(banded.join(shared, ["b", "h"]), "buckets")
     wanted = classes.join(buckets.select("c").distinct(), "c", "left_semi").select("id0", "nul", "th", "c")
     once = Window.partitionBy("id0", "nul", "th").orderBy("th")
