@@ -8,12 +8,14 @@ merge of k rows per partition), so no step gathers the table in one task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..types import is_numeric_type
 from ._long import col
 
 
@@ -21,11 +23,38 @@ def _text(name: str) -> Column:
     return F.lower(col(name).cast("string"))
 
 
+_NOTHING = object()
+
+
+def _typed(dt: T.DataType, v: str):
+    """Literal of the column's own type for the text ``v``; ``_NOTHING`` if no
+    value of that type reads so; None for types that are compared as text."""
+    try:
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            d = Decimal(v)
+            bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}[type(dt)]
+            fits = d == d.to_integral_value() and -(2 ** (bits - 1)) <= d < 2 ** (bits - 1)
+            return int(d) if fits else _NOTHING
+        if isinstance(dt, T.DecimalType):
+            return Decimal(v) if Decimal(v).is_finite() else _NOTHING
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            return F.lit(float(v)).cast(dt)
+        if isinstance(dt, T.DateType):
+            return date.fromisoformat(v) if len(v) == 10 else _NOTHING
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            datetime.fromisoformat(v)
+            return F.lit(v).cast(dt) if len(v) >= 19 and v[10] == " " else _NOTHING
+    except (ArithmeticError, ValueError):
+        return _NOTHING
+    return None
+
+
 def eq_filter(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
     """Keep rows where, for every ``column → value``, the column's text
     form equals the value case-insensitively. A column that does not exist
-    reads as ``''``. For numeric columns a numeric match also counts, since
-    engines print floats differently (``1.0`` vs ``1``)."""
+    reads as ``''``. Numeric, date and timestamp columns are compared as such
+    (engines print floats differently, and a typed comparison reaches the
+    scan); a value that is no such number or time matches no row."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     conds = []
     for name, value in filters.items():
@@ -33,10 +62,12 @@ def eq_filter(df: DataFrame, filters: Mapping[str, object]) -> DataFrame:
         if name not in dtypes:
             conds.append(F.lit(v == ""))
             continue
-        cond = _text(name) == F.lit(v)
-        if is_numeric_type(dtypes[name]):
-            cond = cond | (col(name).cast("double") == F.lit(v).try_cast("double"))
-        conds.append(F.coalesce(cond, F.lit(False)))
+        typed = _typed(dtypes[name], v)
+        if typed is not None:
+            conds.append(F.lit(False) if typed is _NOTHING
+                         else col(name) == (typed if isinstance(typed, Column) else F.lit(typed)))
+        else:
+            conds.append(_text(name) == F.lit(v))
     return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
@@ -74,6 +105,21 @@ def search_page(df: DataFrame, term: str, order_by: Sequence[str], page: int = 0
     return hits.offset(page * page_size).limit(page_size) if page else hits.limit(page_size)
 
 
+def search_after(df: DataFrame, term: str, order_by: Sequence[str], after: Sequence[object] | None = None,
+                 column: str | None = None, page_size: int = 10) -> DataFrame:
+    """The page behind the row whose ``order_by`` values are ``after`` (the
+    last row of the page before; None: the first page). Its cost does not grow
+    with the page number: each page is one top-k of ``page_size`` rows."""
+    hits = search(df, term, column)
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order_by, after):
+            beyond = beyond | (equal & (col(name) > F.lit(value)))
+            equal = equal & (col(name) == F.lit(value))
+        hits = hits.where(beyond)
+    return hits.orderBy(*[col(c) for c in order_by]).limit(page_size)
+
+
 def search_summary(df: DataFrame, term: str, column: str | None = None,
                    page_size: int = 10) -> DataFrame:
     """``(matches, pages)`` with pages = ceil(matches / page_size)."""

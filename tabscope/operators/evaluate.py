@@ -22,7 +22,9 @@ LIBRARY_NAMES = ("mse", "rmse", "r2")
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row ``(n, r2_score, mean_absolute_error, mean_squared_error,
-    root_mean_squared_error)`` in one pass: SST = n·var_pop(actual)."""
+    root_mean_squared_error)`` in one pass: SST = n·var_pop(actual). A constant
+    actual has no variance to explain: R² is 1 for a perfect fit, else 0. Rows
+    with a missing side are not scored; without any row all metrics are NULL."""
     a, p = col(actual).cast("double"), col(predicted).cast("double")
     err = a - p
     g = df.where(a.isNotNull() & p.isNotNull()).agg(
@@ -32,7 +34,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return g.select(
         "n",
         F.when(F.col("_var") > 0, F.lit(1.0) - F.col("_sse") / (F.col("_var") * F.col("n")))
-        .alias("r2_score"),
+        .when(F.col("n") > 0, F.when(F.col("_sse") == 0, 1.0).otherwise(0.0)).alias("r2_score"),
         "mean_absolute_error", mse.alias("mean_squared_error"),
         F.sqrt(mse).alias("root_mean_squared_error"))
 
@@ -102,22 +104,30 @@ def codes_to_labels(df: DataFrame, column: str, mapping: DataFrame, out: str | N
     out = out or column
     m = mapping.select(F.col("value").alias("_label"), F.col("code").cast("bigint").alias("_code"))
     j = df.join(m, F.bround(col(column).cast("double"), 0).cast("bigint") == F.col("_code"), "left")
-    return j.withColumn(out, F.coalesce(F.col("_label"), col(column).cast("string"))).drop("_label", "_code")
+    # A matched code keeps its label even if the label is NULL (a category of its own).
+    label = F.when(F.col("_code").isNotNull(), F.col("_label")).otherwise(col(column).cast("string"))
+    return j.withColumn(out, label).drop("_label", "_code")
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str, max_labels: int = 10) -> DataFrame:
-    """E8 wide form: one row per actual label, one column per predicted label
-    (``p_<label>``), zeros filled; only when there are ≤ ``max_labels`` labels
-    (that guard bounds the pivot)."""
+    """E8 wide form: one row and one column (``p_<label>``) per label that is
+    seen on either side, zeros filled; only when there are ≤ ``max_labels``
+    labels (that guard bounds the pivot). A missing label is one of its own:
+    the row with a NULL ``actual``, the column ``p_null``."""
     cc = confusion_counts(df, actual, predicted)
     labels = (cc.select(F.col("actual").alias("l")).union(cc.select(F.col("predicted").alias("l")))
                 .distinct().limit(max_labels + 1).collect())
-    labels = sorted(r["l"] for r in labels if r["l"] is not None)
     if len(labels) > max_labels:
         raise ValueError(f"more than {max_labels} labels: use confusion_counts")
-    wide = cc.groupBy("actual").pivot("predicted", labels).agg(F.sum("count"))
-    wide = wide.na.fill(0)
-    return wide.select("actual", *[F.col(f"`{lab}`").cast("bigint").alias(f"p_{lab}") for lab in labels])
+    labels = sorted((r["l"] for r in labels), key=lambda v: (v is None, v))
+    every = (cc.select(F.col("actual").alias("_l")).union(cc.select(F.col("predicted").alias("_l"))).distinct())
+    cells = every.join(cc, F.col("_l").eqNullSafe(F.col("actual")), "left")
+
+    def column(lab):
+        hit = F.col("predicted").isNull() if lab is None else F.col("predicted") == F.lit(lab)
+        return F.sum(F.when(hit, F.coalesce("count", F.lit(0))).otherwise(0)).cast("bigint").alias(f"p_{'null' if lab is None else lab}")
+
+    return cells.groupBy(F.col("_l").alias("actual")).agg(*[column(lab) for lab in labels])
 
 
 def pair_list(df: DataFrame, actual: str, predicted: str, order_by: str, n: int = 20) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rank import row_index
+
 
 def metric_label(name):
     """``mean_absolute_error`` → ``Mean Absolute Error``."""
@@ -26,13 +28,14 @@ def export_rows(metrics: DataFrame, model_type: str, target: str,
                          F.format_string("%.4f", F.col("value")).alias("value"))
     out = head.unionByName(met)
     if importances is not None:
-        imp = importances.select(F.lit("importance").alias("section"),
-                                 F.lit(0).alias("position"), F.col("feature").alias("name"),
-                                 F.format_string("%.4f", F.col("importance")).alias("value"),
-                                 F.col("importance").alias("_v"))
-        out = out.unionByName(imp.drop("_v"))
+        ranked = row_index(importances.withColumn("_neg", -F.col("importance")), ["_neg", "feature"], "_at")
+        out = out.unionByName(ranked.select(
+            F.lit("importance").alias("section"), F.col("_at").cast("int").alias("position"),
+            F.col("feature").alias("name"), F.format_string("%.4f", F.col("importance")).alias("value")))
     return out
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    """S13 sink: model lines, then metrics, then importances by position."""
+    section = F.array_position(F.array(F.lit("model"), F.lit("metric"), F.lit("importance")), F.col("section"))
+    rows.orderBy(section, "position", "name").write.mode("overwrite").option("header", True).csv(path)

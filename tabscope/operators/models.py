@@ -30,16 +30,21 @@ TREE_TUNING = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
 
 
 def _depth(v) -> int:
-    return MAX_TREE_DEPTH if v is None else min(int(v), MAX_TREE_DEPTH)
+    """``None`` (unlimited) is the engine's deepest tree; a wanted depth beyond
+    it is refused, not cut."""
+    if v is not None and int(v) > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {v}: trees here have at most {MAX_TREE_DEPTH} levels")
+    return MAX_TREE_DEPTH if v is None else int(v)
 
 
 def linear_regression(params: dict | None = None, features="features", label="label",
                       prediction="prediction") -> Estimator:
-    """M1: ordinary least squares (normal equations), intercept optional.
+    """M1: ordinary least squares, intercept optional: normal equations while
+    the features allow it (4,096 slots), else L-BFGS on the same loss.
     ``normalize`` does not change OLS predictions and is ignored."""
     p = params or {}
     return LinearRegression(featuresCol=features, labelCol=label, predictionCol=prediction,
-                            solver="normal", regParam=0.0, elasticNetParam=0.0,
+                            solver="auto", regParam=0.0, elasticNetParam=0.0,
                             fitIntercept=bool(p.get("fit_intercept", True)), standardization=False)
 
 
@@ -190,25 +195,23 @@ def route_model(model_type: str, params: dict | None = None, **cols):
         return gradient_boosting_regression(params, **cols)
     if model_type == "SVM":
         return KernelRegression(params, **cols)
-    raise ValueError(f"Unsupported model type: {model_type}")
+    raise ValueError(f"no model named {model_type!r}; known: {', '.join(ROUTE_MODELS)}")
 
 
 def library_model(model_type: str, task: str, n_rows: int | None = None, **cols):
-    """M10 model factory: the library's rule – classification picks random
-    forest / boosting / logistic by words in the type, regression picks
-    random forest / boosting / linear."""
-    t = model_type.lower()
-    if task == "classification":
-        if "randomforest" in t:
-            return random_forest_classification(**cols)
-        if "gradient" in t or "boosting" in t:
-            return boosting_classification(**cols)
-        return logistic_regression(n_rows, **cols)
-    if "randomforest" in t:
-        return random_forest_regression(None, **cols)
-    if "gradient" in t or "boosting" in t:
-        return gradient_boosting_regression(None, **cols)
-    return linear_regression(None, **cols)
+    """M10 model factory: the task fixes the kind of model, the words of its
+    name the family (forest, boosting, else linear or logistic)."""
+    name = model_type.lower()
+    family = "forest" if "forest" in name else "boost" if "boost" in name or "gradient" in name else "linear"
+    build = {
+        ("classification", "forest"): lambda: random_forest_classification(**cols),
+        ("classification", "boost"): lambda: boosting_classification(**cols),
+        ("classification", "linear"): lambda: logistic_regression(n_rows, **cols),
+        ("regression", "forest"): lambda: random_forest_regression(None, **cols),
+        ("regression", "boost"): lambda: gradient_boosting_regression(None, **cols),
+        ("regression", "linear"): lambda: linear_regression(None, **cols),
+    }
+    return build[task, family]()
 
 
 def score(model, df: DataFrame) -> DataFrame:

@@ -13,16 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import browse as B
+from ..operators import clean as C
 from ..operators import insights as I
 from ..operators import profile as P
 
 REPORT_SCHEMA = "section string, subject string, metric string, value_num double, value_str string"
 
 
-def filter_profile(df: DataFrame, filters: Mapping[str, object]) -> dict[str, DataFrame]:
-    """B4 equality filter, then the profile C1–C4 of what is left (an
-    empty result gives empty statistics)."""
-    sub = B.eq_filter(df, filters)
+def filter_profile(df: DataFrame, filters: Mapping[str, object], cleaned: bool = False) -> dict[str, DataFrame]:
+    """Clean the table (B1–B3, unless ``cleaned`` says it is), B4 equality
+    filter, then the profile C1–C4 of what is left. An empty result has an
+    empty card and no statistics rows."""
+    sub = B.eq_filter(df if cleaned else C.clean(df), filters)
+    if sub.isEmpty():
+        return {"card": P.table_card(sub), "numeric": P.numeric_profile(sub).limit(0),
+                "categorical": P.categorical_profile(sub).limit(0), "options": P.filter_options(sub).limit(0)}
     return {"card": P.table_card(sub), "numeric": P.numeric_profile(sub),
             "categorical": P.categorical_profile(sub), "options": P.filter_options(sub)}
 
@@ -45,6 +50,7 @@ def insight_report(df: DataFrame, key: str, filters: Mapping[str, Sequence] | No
         n = data.count()
         if n < min_rows:
             return spark.createDataFrame(
+                # Fixed value: the guard's message.
                 [("error", None, "message", None,
                   "Not enough data to generate insights. Please select different filters.")],
                 REPORT_SCHEMA)

@@ -10,10 +10,11 @@ metrics (a handful of numbers) and ≤ 50 sample rows reach the driver.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from ..operators import evaluate as E
 from ..operators import features as FT
 from ..operators import models as M
 from ..operators._long import col
+from ..session import materialize
 from ..types import PROFILE, classify
 
 LABEL = "label"
@@ -101,6 +103,9 @@ class _Chain:
 
 def _importances(spark, model, names, normalise: bool):
     last = model.stages[-1]
+    if isinstance(last, OneVsRestModel):  # M8: mean over the binary models
+        each = [m.featureImportances.toArray() for m in last.models]
+        return E.importances(spark, names, (sum(each) / len(each)).tolist())
     if hasattr(last, "featureImportances"):
         vals = last.featureImportances.toArray().tolist()
         return E.importances(spark, names, vals)
@@ -122,17 +127,16 @@ def _metrics_frame(spark, pairs: list[tuple[str, float | None]]) -> DataFrame:
 def cross_validate(estimator, prep: Pipeline, data: DataFrame, key: str, k: int = 5) -> list[float]:
     """R² on each of ``k`` contiguous folds (F6) after fitting on the
     others; returns the per-fold scores."""
-    folds = FT.kfold(data, key, k).persist(StorageLevel.MEMORY_AND_DISK)
-    scores = []
-    try:
-        for f in range(k):
-            m = _fit(estimator, prep, folds.where(F.col("fold") != f))
-            pred = m.transform(folds.where(F.col("fold") == f))
-            row = E.regression_metrics(pred, LABEL, "prediction").first()
-            scores.append(row["r2_score"])
-    finally:
-        folds.unpersist()
-    return scores
+    folds = materialize(FT.kfold(data, key, k), "folds")
+
+    def score(f: int) -> float | None:
+        m = _fit(estimator.copy() if hasattr(estimator, "copy") else estimator, prep, folds.where(F.col("fold") != f))
+        pred = m.transform(folds.where(F.col("fold") == f))
+        return E.regression_metrics(pred, LABEL, "prediction").first()["r2_score"]
+
+    # The folds' jobs run side by side; a fold without rows has no score.
+    with ThreadPoolExecutor(min(k, 4)) as pool:
+        return [s for s in pool.map(score, range(k)) if s is not None]
 
 
 def train_route(df: DataFrame, target: str, key: str, model_type: str = "LinearRegression",
@@ -146,7 +150,7 @@ def train_route(df: DataFrame, target: str, key: str, model_type: str = "LinearR
     spark = df.sparkSession
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     if target not in dtypes:
-        raise ValueError(f"Target column '{target}' not found in dataset")
+        raise ValueError(f"no column {target!r} to train on")
     categorical = not isinstance(dtypes[target], (T.NumericType, T.BooleanType))
     mapping = None
     data = df
@@ -161,7 +165,7 @@ def train_route(df: DataFrame, target: str, key: str, model_type: str = "LinearR
     stages, _nums, _texts = _feature_stages(data, feats)
     prep = Pipeline(stages=stages)
     estimator = M.route_model(model_type, params)
-    data = FT.train_test_split(data, key, test_size).persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialize(FT.train_test_split(data, key, test_size), "train")
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     cv = cross_validate(estimator, prep, data.drop("split"), key) if use_cross_validation else []
@@ -199,15 +203,12 @@ def train_library(df: DataFrame, target: str, key: str, model_type: str = "class
     pre = preprocessing or {}
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     if target not in dtypes:
-        raise ValueError(f"Target column '{target}' not found in the dataset")
+        raise ValueError(f"no column {target!r} to train on")
     target_type = pre.get("target_type") or (
         "numeric" if isinstance(dtypes[target], (T.NumericType, T.BooleanType)) else "categorical")
+    # The target decides the task; the asked name only picks the family.
+    task = "classification" if target_type == "categorical" else "regression"
     t = model_type.lower()
-    if target_type == "numeric" and t in ("classifier", "classification"):
-        t = "regressor"
-    elif target_type == "categorical" and t in ("regressor", "regression"):
-        t = "classifier"
-    task = "classification" if (t.startswith("classifier") or t.startswith("classification")) else "regression"
     data = df
     mapping = None
     if task == "classification" and target_type == "categorical":
@@ -225,7 +226,7 @@ def train_library(df: DataFrame, target: str, key: str, model_type: str = "class
     data = _prepare(data, feats)
     stages, _n, _t = _feature_stages(data, feats)
     prep = Pipeline(stages=stages)
-    data = FT.train_test_split(data, key, 0.2).persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialize(FT.train_test_split(data, key, 0.2), "train")
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
     n_train = train.count()

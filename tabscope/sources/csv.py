@@ -43,6 +43,15 @@ def raw_header(spark: SparkSession, path: str) -> list[str]:
     return [] if not row else [v if v is not None else "" for v in row[0]]
 
 
+def malformed_rows(spark: SparkSession, path: str, width: int, multi_line: bool = False) -> int:
+    """Rows with more fields than the header (fewer are filled with NULL). The
+    reader gets one column more than the header has; what lands there is extra."""
+    fields = ", ".join(f"_{i} string" for i in range(width)) + ", __extra string"
+    rows = (spark.read.schema(fields).option("header", True).option("quote", '"').option("escape", '"')
+                 .option("multiLine", multi_line).option("enforceSchema", True).csv(path))
+    return rows.where(F.col("__extra").isNotNull()).count()
+
+
 def na_to_null(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
     """Missing-value tokens → NULL in every text column."""
     return df.select(*[F.when(col(c).isin(list(tokens)), F.lit(None).cast("string"))
@@ -51,15 +60,15 @@ def na_to_null(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
 
 def infer_types(df: DataFrame) -> DataFrame:
     """``(column, position, type, nulls)`` for a frame of text columns:
-    ``bigint`` if every present value is an integer, ``double`` if every one
-    is a number (or none is present), ``boolean`` if every one is a boolean
+    ``bigint`` if every present value is an integer of 64 bits, ``double`` if
+    every one is a number (longer integers count as such) (or none is present), ``boolean`` if every one is a boolean
     spelling, else ``string``. One aggregate for all columns."""
     df = na_to_null(df)
     aggs = []
     for i, c in enumerate(df.columns):
         x = col(c)
         aggs += [F.count(x).alias(f"n{i}"),
-                 F.count_if(x.rlike(INT_PATTERN)).alias(f"i{i}"),
+                 F.count_if(x.rlike(INT_PATTERN) & x.try_cast("bigint").isNotNull()).alias(f"i{i}"),
                  F.count_if(x.rlike(INT_PATTERN) | x.rlike(FLOAT_PATTERN)).alias(f"f{i}"),
                  F.count_if(x.isin(*(TRUE_TOKENS + FALSE_TOKENS))).alias(f"b{i}"),
                  F.count_if(x.isNull()).alias(f"z{i}")]
@@ -157,4 +166,11 @@ def validate_csv(spark: SparkSession, path: str) -> DataFrame:
     size = fs.getContentSummary(p).getLength()
     if size == 0:
         return validate_frame(spark.createDataFrame([], "x string"), [], size=0)
-    return validate_frame(load_csv(spark, path), raw_header(spark, path), size=size)
+    header = raw_header(spark, path)
+    checks = validate_frame(load_csv(spark, path), header, size=size)
+    extra = malformed_rows(spark, path, len(header))
+    if extra:
+        checks = checks.union(spark.createDataFrame(
+            [(1, "parses", False, f"Error validating file: {extra} rows have more fields than the header.")],
+            checks.schema))
+    return checks

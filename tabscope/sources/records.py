@@ -10,12 +10,13 @@ from ..operators._long import col
 
 
 def to_records(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """``(record)`` with one compact JSON object per row (nulls left out,
-    as JSON writers do); ``order_by`` is kept alongside for ordered reads."""
-    rec = F.to_json(F.struct(*[col(c) for c in df.columns])).alias("record")
+    """``(record)`` with one compact JSON object per row; a missing value
+    is a ``null`` field, so every record has every key. ``order_by`` is kept
+    alongside for ordered reads."""
+    rec = F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("record")
     return df.select(col(order_by).alias(order_by), rec) if order_by else df.select(rec)
 
 
 def write_records(df: DataFrame, path: str) -> None:
     """S4 sink: JSON lines, one file per task."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
