@@ -41,15 +41,15 @@ def f2_label_codes(spark, d):
     return FT.label_codes(table(spark, d, "customer"), "c_mktsegment")
 
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
-@register("f3_one_hot", "SELECT c_custkey, c_acctbal, " + ", ".join(
-    f"CAST(CASE WHEN c_mktsegment = '{s}' THEN 1 ELSE 0 END AS INTEGER) AS c_mktsegment_{s}"
-    for s in SEGMENTS) + " FROM customer")
+@register("f3_one_hot", """
+SELECT k.c_custkey, k.c_nationkey, k.c_acctbal, s.* EXCLUDE (c_custkey), n.* EXCLUDE (c_custkey)
+FROM customer k
+JOIN (PIVOT (SELECT c_custkey, 'c_mktsegment_' || c_mktsegment AS v FROM customer)
+      ON v USING count(*)::INTEGER GROUP BY c_custkey) s USING (c_custkey)
+JOIN (PIVOT (SELECT c_custkey, 'c_name_' || c_name AS v FROM customer)
+      ON v USING count(*)::INTEGER GROUP BY c_custkey) n USING (c_custkey)""")
 def f3_one_hot(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    return FT.one_hot(c)
+    return FT.one_hot(table(spark, d, "customer"))
 
 
 @register("f5_split", f"""
@@ -197,6 +197,32 @@ def e10_model_comparison(spark, d):
     return rounded(E.rank_models(m))
 
 
+@register("e10_primary_metric", f"""
+WITH g AS (SELECT l_suppkey, max(l_shipdate) AS day, regr_r2(l_extendedprice, l_quantity) AS r2,
+                  count_if(l_returnflag = 'N')::DOUBLE / count(*) AS share FROM lineitem GROUP BY 1)
+SELECT row_number() OVER (ORDER BY day DESC, lpad(l_suppkey::VARCHAR, 8, '0')) AS rank,
+       lpad(l_suppkey::VARCHAR, 8, '0') AS id,
+       CASE WHEN l_suppkey % 2 = 0 THEN 'accuracy' ELSE 'r2_score' END AS metric,
+       {r("CASE WHEN l_suppkey % 5 = 0 THEN NULL WHEN l_suppkey % 2 = 0 THEN share ELSE r2 END")} AS value,
+       l_suppkey % 5 = 0 OR (l_suppkey % 2 = 1 AND r2 IS NULL) AS missing FROM g""")
+def e10_primary_metric(spark, d):
+    """One record per supplier: odd ones a fit (R²), even ones a classifier; a
+    fifth of them kept no metrics."""
+    li = table(spark, d, "lineitem")
+    g = li.groupBy("l_suppkey").agg(
+        F.max("l_shipdate").alias("day"), F.regr_r2("l_extendedprice", "l_quantity").alias("r2"),
+        (F.count_if(F.col("l_returnflag") == "N") / F.count(F.lit(1))).alias("share"))
+    kept = F.when(F.col("l_suppkey") % 5 == 0, F.create_map().cast("map<string,double>")).when(
+        F.col("l_suppkey") % 2 == 0, F.create_map(F.lit("accuracy"), "share")).otherwise(
+        F.create_map(F.lit("r2_score"), "r2"))
+    records = g.select(F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("id"), F.lit("m").alias("name"),
+                       F.col("day").cast("string").alias("created_at"),
+                       (F.col("l_suppkey") % 2 == 0).alias("is_categorical_target"), kept.alias("metrics"))
+    out = E.compare_models(records)
+    return rounded(out.select("rank", "id", "metric", "value",
+                              (F.col("shown") == "N/A").alias("missing")))
+
+
 @register("f7_assemble", """
 SELECT p_partkey, CAST(p_size AS DOUBLE) AS f0, p_retailprice AS f1 FROM part""")
 def f7_assemble(spark, d):

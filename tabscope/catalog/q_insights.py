@@ -101,6 +101,18 @@ def _i6_frame(spark, d):
                     F.year("o_orderdate").alias("order_year"), "o_totalprice")
 
 
+@register("i6_date_formats", """
+SELECT * FROM (VALUES ('us_date', 0), ('day_first_date', 1), ('long_date', 2)) t("column", position)
+WHERE (SELECT count_if(try_strptime(strftime(o_orderdate, '%-m/%-d/%Y'), '%m/%d/%Y') IS NULL
+                       AND o_orderdate IS NOT NULL) FROM orders) = 0""")
+def i6_date_formats(spark, d):
+    """Order dates written in other ways, and one text that is no date."""
+    day = F.col("o_orderdate")
+    return I.date_columns_frame(table(spark, d, "orders").select(
+        F.date_format(day, "M/d/yyyy").alias("us_date"), F.date_format(day, "d.M.yyyy").alias("day_first_date"),
+        F.date_format(day, "MMM d, yyyy").alias("long_date"), F.col("o_orderpriority").alias("other_date")))
+
+
 @register("i6_date_columns", """
 SELECT "column", position FROM (
   SELECT 'o_orderdate' AS "column", 1 AS position,

@@ -36,6 +36,21 @@ def c1_numeric_profile(spark, d):
     return rounded(P.numeric_profile(table(spark, d, "lineitem")))
 
 
+HASHED = "('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT"
+
+
+@register("c1_wide_integers", f"""
+WITH t AS (SELECT {HASHED} + o_orderkey % 3 AS h FROM orders)
+SELECT 'h' AS "column", 0 AS position, count(h) AS n, {r('min(h)')} AS min, {r('max(h)')} AS max,
+       {r('avg(h::DOUBLE)')} AS mean, {r('median(h::DOUBLE)')} AS median, {r('stddev_samp(h::DOUBLE)')} AS std,
+       count(DISTINCT h) AS unique_values FROM t""")
+def c1_wide_integers(spark, d):
+    """Profile of a derived 60-bit column: neighbours there are one double."""
+    key = F.col("o_orderkey")
+    h = F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("bigint") + key % 3
+    return rounded(P.numeric_profile(table(spark, d, "orders").select(h.alias("h"))))
+
+
 @register("c2_value_counts", value_counts_sql("customer", ["c_name", "c_mktsegment"]))
 def c2_value_counts(spark, d):
     return P.value_counts(table(spark, d, "customer"))

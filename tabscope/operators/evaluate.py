@@ -152,6 +152,25 @@ def group_fits(df: DataFrame, group: str, y: str, x: str) -> DataFrame:
         F.regr_intercept(col(y), col(x)).alias("intercept"), F.regr_r2(col(y), col(x)).alias("r2"))
 
 
+def compare_models(records: DataFrame) -> DataFrame:
+    """E10 over kept records ``(id, name, created_at, is_categorical_target,
+    metrics)``: ``(rank, id, name, metric, value, shown)``, newest first (ties
+    by id). The primary metric is the accuracy for text targets, else R²; a
+    record without it shows ``N/A``."""
+    metric = F.when(F.col("is_categorical_target"), "accuracy").otherwise("r2_score")
+    rows = records.select("id", "name", "created_at", metric.alias("metric"),
+                          F.col("metrics")[metric].alias("value"))
+    # Oldest-first row numbers, turned around by time; equal times stay by id.
+    newest = row_index(rows, ["created_at", "id"], "_at")
+    last = newest.groupBy("created_at").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    total = rows.count()
+    ranked = newest.join(last, newest["created_at"].eqNullSafe(last["created_at"])).select(
+        (F.lit(total) - F.col("_hi") + (F.col("_at") - F.col("_lo"))).alias("rank"),
+        "id", "name", "metric", "value")
+    shown = F.when(F.col("value").isNull(), "N/A").otherwise(F.format_string("%.4f", "value"))
+    return ranked.withColumn("shown", shown)
+
+
 def rank_models(metrics: DataFrame, value: str = "value", key: str = "group") -> DataFrame:
     """Rank rows by ``value`` descending (missing last, ties by key).
     The number of groups grows with the data, so the ranking uses the

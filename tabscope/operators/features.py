@@ -51,44 +51,35 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return spark.createDataFrame([(v, i) for i, v in enumerate(idx.labels)], "value string, code int")
 
 
-def one_hot(df: DataFrame, columns: Sequence[str] | None = None,
-            max_categories: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``get_dummies``: numeric columns first, then one 0/1 column
     ``<column>_<value>`` per category of each text column (sorted by value);
-    NULL sets all of its columns to 0. Categories are collected to name the
-    columns, so a column with more than ``max_categories`` values is refused;
-    use :func:`one_hot_vector` for those."""
+    NULL sets all of its columns to 0. The categories become the schema, so
+    they are known to the driver; :func:`one_hot_vector` is the form whose
+    schema does not grow with the data."""
     cls = classify(df, PROFILE)
     cats = list(columns) if columns is not None else list(cls.categorical)
     if not cats:
         return df
-    distinct = to_long(df, cats, numeric=False).groupBy("column", "value").count()
-    # Count first (one row per column), then gather names only for columns
-    # under the guard: no unbounded list is ever built in one task.
-    sizes = dict(distinct.groupBy("column").count().collect())
-    too_many = [c for c in cats if sizes.get(c, 0) > max_categories]
-    if too_many:
-        raise ValueError(f"more than {max_categories} categories in {too_many}; use one_hot_vector")
-    found = {r["column"]: r for r in distinct.groupBy("column")
-             .agg(F.array_sort(F.collect_list("value")).alias("values")).collect()}
+    found: dict[str, list[str]] = {c: [] for c in cats}
+    for r in to_long(df, cats, numeric=False).select("column", "value").distinct().toLocalIterator():
+        found[r["column"]].append(r["value"])
     keep = [col(c) for c in df.columns if c not in cats]
-    dummies = []
-    for c in cats:
-        for v in (found[c]["values"] if c in found else []):
-            dummies.append(F.when(col(c).cast("string") == F.lit(v), 1).otherwise(0)
-                           .cast("int").alias(f"{c}_{v}"))
+    dummies = [F.when(col(c).cast("string") == F.lit(v), 1).otherwise(0).cast("int").alias(f"{c}_{v}")
+               for c in cats for v in sorted(found[c])]
     return df.select(*keep, *dummies)
 
 
 def one_hot_vector(columns: Sequence[str], suffix: str = "_ohe") -> list:
     """F3 for any cardinality: ``StringIndexer(handleInvalid='keep')`` +
-    ``OneHotEncoder(dropLast=False)`` stages producing sparse vectors (the
-    category names stay in the vector metadata)."""
+    ``OneHotEncoder`` stages producing sparse vectors (the category names stay
+    in the vector metadata). The last index stands for NULL and unseen values;
+    the encoder drops it, so such rows are all zero."""
     stages = []
     for c in columns:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}{suffix}", dropLast=False))
+        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}{suffix}", dropLast=True))
     return stages
 
 

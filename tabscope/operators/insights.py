@@ -14,6 +14,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +27,6 @@ from ._long import bounded_broadcast, clean_number, col, histogram, order_expr,
 from .profile import numeric_stats
 from .rank import exact_quantiles
 
-PAIR_BATCH = 600
-
 # Words that mark a date column by name, and prompt words that
 # select the custom analyses.
 DATE_WORDS = ("date", "time", "year", "month", "day")
@@ -47,65 +47,60 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """``(i, j, col1, col2, r, abs_r)`` for every numeric pair i < j, over
     pairwise-complete rows; NULL r when a side is constant.
 
-    Two passes. Pass 1: per column count, mean, min, max (one aggregate).
-    Pass 2: one wide aggregate of plain sums over mean-centred values
-    (centring keeps the sums free of cancellation). A pair of columns without
-    nulls shares the per-column sums and only adds Σab; a pair with nulls
-    gets its own masked sums. Sums are cheap declarative aggregates, so the
-    pass stays inside whole-stage codegen even for many pairs.
+    Two passes whatever the number of columns. Pass 1: per column count, mean,
+    min, max (one aggregate). Pass 2: the Gram matrix of the mean-centred
+    columns (centring keeps the sums free of cancellation): each task adds up
+    ``X'X``, ``X'M``, ``(X*X)'M`` and ``M'M`` batch by batch, ``M`` being the
+    mask of present values, and sends one row per pair, which are summed. An
+    infinite value makes its column's r NULL.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     spark = df.sparkSession
     schema = "i int, j int, col1 string, col2 string, r double, abs_r double"
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
+    if len(cols) < 2:
         return spark.createDataFrame([], schema)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     x = df.select(*[clean_number(c, dtypes[c]).alias(f"x{i}") for i, c in enumerate(cols)])
-    first = x.agg(F.count(F.lit(1)).alias("rows"),
-                  *[e for i in range(len(cols)) for e in (
-                      F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"),
-                      F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}"))]).first()
-    rows = first["rows"]
-    full = [first[f"n{i}"] == rows for i in range(len(cols))]
-    const = [first[f"lo{i}"] is None or first[f"lo{i}"] == first[f"hi{i}"] for i in range(len(cols))]
-    z = x.select(*[(F.col(f"x{i}") - F.lit(first[f"m{i}"] or 0.0)).alias(f"z{i}")
-                   for i in range(len(cols))])
-    parts = []
-    for start in range(0, len(pairs), PAIR_BATCH):
-        batch = pairs[start:start + PAIR_BATCH]
-        aggs, exprs = {}, []
-
-        def add(name, e):
-            if name not in aggs:
-                aggs[name] = e.alias(name)
-            return F.col(name)
-
-        for i, j in batch:
-            a, b = F.col(f"z{i}"), F.col(f"z{j}")
-            if full[i] and full[j]:
-                n = F.lit(float(rows))
-                sa, sb = add(f"s{i}", F.sum(a)), add(f"s{j}", F.sum(b))
-                saa, sbb = add(f"q{i}", F.sum(a * a)), add(f"q{j}", F.sum(b * b))
-            else:
-                both = a.isNotNull() & b.isNotNull()
-                am, bm = F.when(both, a), F.when(both, b)
-                n = add(f"n{i}_{j}", F.count(am)).cast("double")
-                sa, sb = add(f"sa{i}_{j}", F.sum(am)), add(f"sb{i}_{j}", F.sum(bm))
-                saa, sbb = add(f"qa{i}_{j}", F.sum(am * am)), add(f"qb{i}_{j}", F.sum(bm * bm))
-            sab = add(f"p{i}_{j}", F.sum(a * b))
-            cov = sab - sa * sb / n
-            va, vb = saa - sa * sa / n, sbb - sb * sb / n
-            ok = (va > 0) & (vb > 0) & F.lit(not (const[i] or const[j]))
-            r = F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(va * vb))))
-            exprs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("col1"),
-                                  F.lit(cols[j]).alias("col2"), r.alias("r")))
-        row = z.agg(*aggs.values())
-        parts.append(row.select(F.explode(F.array(*exprs)).alias("p")).select("p.*"))
-    out = reduce(DataFrame.unionByName, parts)
+    first = x.selectExpr(*[f"{f}(x{i}) AS {f}{i}" for i in range(len(cols)) for f in ("avg", "min", "max")]).first()
+    mean = np.array([first[f"avg{i}"] or 0.0 for i in range(len(cols))])
+    const = [first[f"min{i}"] is None or first[f"min{i}"] == first[f"max{i}"] for i in range(len(cols))]
+    gram = (x.mapInArrow(_gram(mean), "i int, j int, n double, sa double, sb double, qa double, qb double, p double")
+             .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")]))
+    cov = F.col("p") - F.col("sa") * F.col("sb") / F.col("n")
+    va, vb = (F.col(q) - F.col(s) * F.col(s) / F.col("n") for q, s in (("qa", "sa"), ("qb", "sb")))
+    names = spark.createDataFrame([(i, c, const[i]) for i, c in enumerate(cols)], "k int, name string, const boolean")
+    left = names.select(F.col("k").alias("i"), F.col("name").alias("col1"), F.col("const").alias("ci"))
+    right = names.select(F.col("k").alias("j"), F.col("name").alias("col2"), F.col("const").alias("cj"))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(va * vb)))
+    ok = (F.col("n") > 0) & ~F.col("ci") & ~F.col("cj") & (va > 0) & (vb > 0) & ~F.isnan(va) & ~F.isnan(vb)
+    out = (gram.join(bounded_broadcast(left), "i").join(bounded_broadcast(right), "j")
+               .select("i", "j", "col1", "col2", F.when(ok, r).alias("r")))
     return out.withColumn("abs_r", F.abs("r"))
 
 
+def _gram(mean: np.ndarray):
+    """Partial Gram sums of one task, one row per pair i < j."""
+    def run(batches):
+        d = len(mean)
+        n, s, q, p = (np.zeros((d, d)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            m = ~np.isnan(x)
+            z = np.where(m, x - mean, 0.0)
+            m = m.astype(float)
+            with np.errstate(invalid="ignore", over="ignore"):
+                n += m.T @ m
+                s += z.T @ m
+                q += (z * z).T @ m
+                p += z.T @ z
+        i, j = np.triu_indices(d, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+             *[pa.array(v) for v in (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])]],
+            names=["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+    return run
+
+
 def strong_pairs(corr: DataFrame, threshold: float = 0.7, k: int = 5) -> DataFrame:
     """First ``k`` pairs (column order) with |r| > threshold, |r| to 2 decimals."""
     return (corr.where(F.col("abs_r") > threshold).orderBy("i", "j").limit(k)
@@ -156,11 +151,21 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.0
     """I4: ``(column, position, count, percent)`` per numeric column with at
     least one |z| > z value; percent of all rows (nulls included), 2 decimals."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    flagged = outlier_rows(df.withColumn("_k", F.lit(0)), "_k", cols, z)
-    return (flagged.groupBy("column").agg(F.count(F.lit(1)).alias("count"),
-                                          F.first("rows").alias("_rows"))
-                   .select("column", order_expr(cols).alias("position"), "count",
-                           F.round(F.col("count") * 100.0 / F.col("_rows"), 2).alias("percent")))
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    # Two wide aggregates: the columns' moments, then counts against them.
+    stats = {r["column"]: r for r in _column_stats(df, cols).collect()} if cols else {}
+    cols_on = [c for c in cols if stats[c]["sd_samp"]]
+    if not cols_on:
+        return df.sparkSession.createDataFrame([], "column string, position int, count bigint, percent double")
+    hits = []
+    for c in cols_on:
+        zc = (clean_number(c, dtypes[c]) - F.lit(stats[c]["mu"])) / F.lit(stats[c]["sd_pop"])
+        hits.append(F.struct(F.lit(c).alias("column"), F.count_if(F.abs(zc) > z).alias("count"),
+                             F.lit(stats[c]["rows"]).alias("rows")))
+    long = df.agg(F.array(*hits).alias("h")).select(F.explode("h").alias("h")).select("h.*")
+    return (long.where(F.col("count") > 0)
+                .select("column", order_expr(cols).alias("position"), "count",
+                        F.round(F.col("count") * 100.0 / F.col("rows"), 2).alias("percent")))
 
 
 def outlier_examples(df: DataFrame, key: str, columns: Sequence[str] | None = None,
@@ -178,7 +183,13 @@ def _date_candidates(df: DataFrame, words: Sequence[str]) -> list[str]:
     return [c for c in df.columns if any(w in c.lower() for w in words)]
 
 
-def _as_timestamp(name: str, dt: T.DataType):
+# Formats tried for date text, in this order; the first that reads every value
+# of a column is the column's. "" is ISO text.
+DATE_FORMATS = ("", "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy", "yyyy/M/d", "d.M.yyyy",
+                "d-M-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd")
+
+
+def _as_timestamp(name: str, dt: T.DataType, fmt: str = ""):
     """Parsed timestamp of a date-like column, or None if the type cannot be."""
     c = col(name)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
@@ -186,7 +197,7 @@ def _as_timestamp(name: str, dt: T.DataType):
     if isinstance(dt, T.DateType):
         return c.cast("timestamp_ntz")
     if isinstance(dt, T.StringType):
-        return F.try_to_timestamp(c).cast("timestamp_ntz")
+        return (F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)).cast("timestamp_ntz")
     if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType)):
         # 4-digit integers read as years (pandas would read them as nanoseconds).
         return F.when(c.between(1000, 9999),
@@ -194,17 +205,31 @@ def _as_timestamp(name: str, dt: T.DataType):
     return None
 
 
-def date_columns(df: DataFrame, words: Sequence[str] = DATE_WORDS) -> list[str]:
-    """Columns whose name holds a date word and whose every non-null value
-    parses as a timestamp (one aggregate over the candidates)."""
+def date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """``{column: format}`` of those columns whose every non-null value is read
+    by one of ``DATE_FORMATS`` (one aggregate over columns and formats)."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    cands = [(c, _as_timestamp(c, dtypes[c])) for c in _date_candidates(df, words)]
-    cands = [(c, e) for c, e in cands if e is not None]
-    if not cands:
-        return []
+    tries = []
+    for c in columns:
+        for fmt in DATE_FORMATS if isinstance(dtypes[c], T.StringType) else ("",):
+            parsed = _as_timestamp(c, dtypes[c], fmt)
+            if parsed is not None:
+                tries.append((c, fmt, parsed))
+    if not tries:
+        return {}
     row = df.agg(*[F.count_if(e.isNull() & col(c).isNotNull()).alias(f"b{i}")
-                   for i, (c, e) in enumerate(cands)]).first()
-    return [c for i, (c, _e) in enumerate(cands) if row[f"b{i}"] == 0]
+                   for i, (c, _, e) in enumerate(tries)]).first()
+    found: dict[str, str] = {}
+    for i, (c, fmt, _) in enumerate(tries):
+        if row[f"b{i}"] == 0:
+            found.setdefault(c, fmt)
+    return found
+
+
+def date_columns(df: DataFrame, words: Sequence[str] = DATE_WORDS) -> list[str]:
+    """Columns whose name holds a date word and whose every non-null value
+    is read as a timestamp by one format."""
+    return list(date_formats(df, _date_candidates(df, words)))
 
 
 def date_columns_frame(df: DataFrame, words: Sequence[str] = DATE_WORDS) -> DataFrame:
@@ -219,7 +244,8 @@ def monthly_means(df: DataFrame, date_cols: Sequence[str] | None = None,
     """``(date_column, column, month, mean)``: monthly mean of the first
     ``first`` numeric columns (date columns excluded) per date column."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    dcols = list(date_cols) if date_cols is not None else date_columns(df)
+    formats = date_formats(df, list(date_cols) if date_cols is not None else _date_candidates(df, DATE_WORDS))
+    dcols = list(date_cols) if date_cols is not None else list(formats)
     nums = list(columns) if columns is not None else [c for c in numeric_columns(df) if c not in dcols]
     nums = nums[:first]
     spark = df.sparkSession
@@ -228,7 +254,7 @@ def monthly_means(df: DataFrame, date_cols: Sequence[str] | None = None,
         return spark.createDataFrame([], schema)
     parts = []
     for d in dcols:
-        month = F.to_date(F.date_trunc("month", _as_timestamp(d, dtypes[d])))
+        month = F.to_date(F.date_trunc("month", _as_timestamp(d, dtypes[d], formats.get(d, ""))))
         g = (df.select(month.alias("month"), *[clean_number(c, dtypes[c]).alias(f"x{i}")
                                                 for i, c in enumerate(nums)])
                .where(F.col("month").isNotNull())

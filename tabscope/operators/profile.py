@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..types import PROFILE, classify
 from ._long import bounded_broadcast, clean_number, col, histogram, order_expr, text_form
@@ -83,6 +84,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         med = exact_quantiles(hist, {c: stats[c][:3] for c in cols}, 0.5, distinct=distinct)
     finally:
         hist.unpersist()
+    distinct |= _wide_distinct(df, cols, stats)
     rows = []
     for i, c in enumerate(cols):
         n, lo, hi, mu, sd = stats[c]
@@ -91,6 +93,24 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return spark.createDataFrame(rows, NUMERIC_PROFILE_SCHEMA)
 
 
+def _wide_distinct(df: DataFrame, cols: Sequence[str], stats: dict) -> dict:
+    """Distinct counts of integer and decimal columns that a double cannot hold
+    (beyond 2**53, or more than 15 digits): counted on their own text."""
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+
+    def wide(c: str) -> bool:
+        if isinstance(dtypes[c], T.DecimalType):
+            return dtypes[c].precision > 15
+        _, lo, hi, *_ = stats[c]
+        return isinstance(dtypes[c], T.LongType) and lo is not None and max(abs(lo), abs(hi)) >= 2.0 ** 53
+
+    found = [c for c in cols if wide(c)]
+    if not found:
+        return {}
+    return {r["column"]: r["count"] for r in
+            histogram(df, found, numeric=False).groupBy("column").count().collect()}
+
+
 def _f(x):
     return None if x is None else float(x)
 

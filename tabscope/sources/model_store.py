@@ -13,6 +13,7 @@ import datetime as dt
 import json
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,26 @@ def save_model(spark: SparkSession, store: str, result, dataset_id: str,
     return model_id
 
 
+def load_model(spark: SparkSession, store: str, model_id: str):
+    """The kept model with its ``transform``: a Spark ML pipeline, or the prep
+    pipeline with the kernel model behind it."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.regression import LinearRegressionModel
+
+    from ..operators.models import KernelRegressionModel
+    from ..plans.train import _Chain
+
+    path = f"{store.rstrip('/')}/{model_id}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/map")
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return PipelineModel.load(path)
+    params = json.loads(spark.read.text(f"{path}/map").first()[0])
+    arrays = {k: None if v is None else np.array(v) for k, v in params.items()}
+    model = KernelRegressionModel(arrays["weights"], arrays["offsets"], LinearRegressionModel.load(f"{path}/linear"))
+    return _Chain(PipelineModel.load(f"{path}/prep"), model)
+
+
 def load_records(spark: SparkSession, store: str) -> DataFrame:
     """Every readable metadata record under ``store`` (our JSON-lines
     folders and single pretty-printed JSON files alike). Unreadable records

@@ -133,3 +133,43 @@ def test_cross_validation_of_a_constant_target(spark):
     df = spark.createDataFrame([(i, float(i % 5), 3.0) for i in range(50)], "k bigint, x double, y double")
     out = TR.train_route(df, "y", "k", "LinearRegression", use_cross_validation=True)
     assert len(out.cv_scores) == 5 and all(0.0 <= s <= 1.0 for s in out.cv_scores)
+
+
+def test_correlations_of_many_columns(spark):
+    import time
+
+    import numpy as np
+
+    from tabscope.operators import insights as I
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 200))
+    x[:, 1] = x[:, 0] * 2 + 1e9
+    x[rng.random(x.shape) < 0.05] = np.nan
+    cols = [f"c{i}" for i in range(200)]
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x], cols)
+    t = time.time()
+    out = I.correlations(df)
+    assert time.time() - t < 20  # the plan holds no expression per pair
+    got = {(r["i"], r["j"]): r["r"] for r in out.collect()}
+    assert len(got) == 200 * 199 // 2
+    for i, j in [(0, 1), (3, 7), (20, 199), (98, 99)]:
+        m = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert abs(got[i, j] - np.corrcoef(x[m, i], x[m, j])[0, 1]) < 1e-6
+
+
+def test_kept_models_predict_as_before(spark, tmp_path):
+    from tabscope.sources import model_store as S
+    df = spark.createDataFrame([(i, float(i % 11), "abc"[i % 3], float(i % 11) * 3 + i % 3) for i in range(120)],
+                               "k bigint, x double, c string, y double")
+    for kind in ("LinearRegression", "SVM"):
+        res = TR.train_route(df, "y", "k", kind)
+        mid = S.save_model(spark, str(tmp_path / kind), res, dataset_id="d")
+        again = S.load_model(spark, str(tmp_path / kind), mid)
+        rows = [m.transform(res.test).select("k", "prediction").orderBy("k").collect() for m in (res.model, again)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_null_text_features_light_no_slot(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, float(i)) for i in range(40)], "k bigint, c string, y double")
+    res = TR.train_route(df, "y", "k", "LinearRegression")
+    assert not any("unknown" in n for n in res.features)
