@@ -43,7 +43,7 @@ from ._text import Words, blocks, mix, utf8, window_hashes
 SHINGLE = 5
 SLOTS, BANDS = 64, 16
 PERCENT = 85  # links: 100 * intersection >= PERCENT * union
-PIVOTS = 32  # growth of the number of pivots per bucket and round
+PIVOTS = 1024  # growth of the number of pivots per bucket and round
 EDGES = 1_000_000  # edges that one task's union-find takes
 
 _U = np.uint64

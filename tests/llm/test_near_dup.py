@@ -51,7 +51,7 @@ def variants(n, seed, low, high):
     return out
 
 
-@pytest.mark.parametrize("pivots, edges", [(32, 1_000_000), (2, 20)])
+@pytest.mark.parametrize("pivots, edges", [(1024, 1_000_000), (2, 20)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, pivots, edges):
     monkeypatch.setattr(N, "PIVOTS", pivots)
     monkeypatch.setattr(N, "EDGES", edges)
