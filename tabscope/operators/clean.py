@@ -5,15 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import PROFILE, classify
-from ._long import clean_number, col, histogram
-from .profile import numeric_stats
-from .rank import exact_quantiles
+from ._long import clean_number, col
+from .profile import medians, numeric_stats
 
 # Fixed value: the fill text of non-numeric columns.
 UNKNOWN = "Unknown"
@@ -48,11 +46,7 @@ def median_fill(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     holes = [c for c in cols if stats[c][0] < rows]
     if not holes:
         return df
-    hist = histogram(df, holes, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        med = exact_quantiles(hist, {c: stats[c][:3] for c in holes}, 0.5)
-    finally:
-        hist.unpersist()
+    med = medians(df, holes, stats)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for f in df.schema.fields:

@@ -16,7 +16,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +23,7 @@ from pyspark.sql import types as T
 from ..functions.stats import pearson, skew_class, skew_corrected, t_two_sided_p
 from ..types import INSIGHT, PROFILE, classify
 from ._long import bounded_broadcast, clean_number, col, histogram, order_expr, to_long
-from .profile import numeric_stats
-from .rank import exact_quantiles
+from .profile import medians, numeric_stats
 
 # Words that mark a date column by name, and prompt words that
 # select the custom analyses.
@@ -305,14 +303,10 @@ def distribution(df: DataFrame, columns: Sequence[str] | None = None, first: int
     stats = numeric_stats(df, cols)
     sk = df.agg(*[skew_corrected(clean_number(c, dtypes[c])).alias(f"k{i}")
                   for i, c in enumerate(cols)]).first()
-    hist = histogram(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        med = exact_quantiles(hist, {c: stats[c][:3] for c in cols}, 0.5)
-        modes = dict(hist.groupBy("column").agg(
-            F.min_by("value", F.struct((-F.col("cnt")).alias("n"), F.col("value").alias("v")))
-            .alias("mode")).collect())
-    finally:
-        hist.unpersist()
+    med = medians(df, cols, stats)
+    modes = dict(histogram(df, cols, numeric=True).groupBy("column").agg(
+        F.min_by("value", F.struct((-F.col("cnt")).alias("n"), F.col("value").alias("v")))
+        .alias("mode")).collect())
     rows = [(c, i, stats[c][3], med.get(c), modes.get(c), sk[f"k{i}"]) for i, c in enumerate(cols)]
     out = spark.createDataFrame(rows, "column string, position int, mean double, median double, "
                                       "mode double, skewness double")
@@ -353,11 +347,7 @@ def overview_numeric(df: DataFrame, first: int = 5) -> DataFrame:
     if not cols:
         return spark.createDataFrame([], schema)
     stats = numeric_stats(df, cols)
-    hist = histogram(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        med = exact_quantiles(hist, {c: stats[c][:3] for c in cols}, 0.5)
-    finally:
-        hist.unpersist()
+    med = medians(df, cols, stats)
     rows = [(c, i, stats[c][3], med.get(c), stats[c][1], stats[c][2]) for i, c in enumerate(cols)]
     out = spark.createDataFrame(rows, schema)
     return out.select("column", "position",

@@ -14,13 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import PROFILE, classify
-from ._long import bounded_broadcast, clean_number, col, histogram, order_expr, text_form
+from ._long import bounded_broadcast, clean_number, col, histogram, order_expr, text_form, to_long
 from .rank import exact_quantiles
 
 NUMERIC_PROFILE_SCHEMA = (
@@ -54,18 +53,14 @@ def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict:
     return out
 
 
-def medians(df: DataFrame, columns: Sequence[str], stats: dict | None = None,
-            hist: DataFrame | None = None) -> dict:
-    """Exact interpolated median per numeric column (pandas ``median``)."""
+def medians(df: DataFrame, columns: Sequence[str], stats: dict | None = None) -> dict:
+    """Exact interpolated median per numeric column (pandas ``median``), by
+    bucket counts straight from the scan: no value is shuffled or kept."""
+    if not columns:
+        return {}
     stats = stats if stats is not None else numeric_stats(df, columns)
-    own = hist is None
-    if own:
-        hist = histogram(df, columns, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return exact_quantiles(hist, {c: stats[c][:3] for c in columns}, 0.5)
-    finally:
-        if own:
-            hist.unpersist()
+    values = to_long(df, columns, numeric=True).withColumn("cnt", F.lit(1).cast("long"))
+    return exact_quantiles(values, {c: stats[c][:3] for c in columns}, 0.5)
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -78,12 +73,10 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     if not cols:
         return spark.createDataFrame([], NUMERIC_PROFILE_SCHEMA)
     stats = numeric_stats(df, cols)
-    hist = histogram(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        distinct: dict = {}
-        med = exact_quantiles(hist, {c: stats[c][:3] for c in cols}, 0.5, distinct=distinct)
-    finally:
-        hist.unpersist()
+    med = medians(df, cols, stats)
+    # The one shuffle of values: distinct counts need it.
+    distinct = {r["column"]: r["count"] for r in
+                histogram(df, cols, numeric=True).groupBy("column").count().collect()}
     distinct |= _wide_distinct(df, cols, stats)
     rows = []
     for i, c in enumerate(cols):

@@ -71,12 +71,17 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
     """Exact linear-interpolated ``q``-quantile per group (pandas/Spark/DuckDB
     ``median`` semantics for q = 0.5).
 
-    ``hist`` has one row per distinct (group, value) with its row count and is
-    read once per round, so callers should persist it. ``stats`` maps each
+    ``hist`` has rows (group, value, count) – a histogram, or the values
+    themselves with count 1 – and is read once per round. ``stats`` maps each
     group to ``(n, min, max)`` of its non-null values (already computed by the
     caller's wide aggregate). Returns ``{group: quantile}``; groups with n = 0
     map to ``None``. When ``distinct`` is a dict it receives each group's
-    number of distinct values, counted in the first round for free.
+    number of rows of ``hist`` (distinct values, if it is a histogram), counted
+    in the first round for free.
+
+    A search ends on the driver once its bucket holds at most ``FINISH_ROWS``
+    rows, or when no bucket is smaller than its range: then the range holds
+    fewer doubles than buckets, and only distinct values are gathered.
     """
     spark = hist.sparkSession
     h = hist.select(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"),
@@ -142,7 +147,7 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
             "sid int, g string, lo double, hi double")
         rows = (h.join(bounded_broadcast(plan), "g")
                  .where(F.col("v").between(F.col("lo"), F.col("hi")))
-                 .select("sid", "v", "c").collect())
+                 .groupBy("sid", "v").agg(F.sum("c").alias("c")).collect())
         vals: dict[int, list] = {}
         for r in rows:
             vals.setdefault(r["sid"], []).append((r["v"], r["c"]))

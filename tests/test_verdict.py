@@ -173,3 +173,16 @@ def test_null_text_features_light_no_slot(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, float(i)) for i in range(40)], "k bigint, c string, y double")
     res = TR.train_route(df, "y", "k", "LinearRegression")
     assert not any("unknown" in n for n in res.features)
+
+
+def test_medians_shuffle_no_values(spark):
+    """Only bucket counts are exchanged: at most 1,024 rows per column and task."""
+    import numpy as np
+
+    from tabscope.operators import profile as P
+    vals = np.random.default_rng(3).normal(size=30_000) ** 5
+    df = spark.createDataFrame([(float(v), int(i % 977)) for i, v in enumerate(vals)], "x double, y int").repartition(4)
+    got = P.medians(df, ["x", "y"])
+    assert got["x"] == float(np.median(vals)) and got["y"] == float(np.median(np.arange(30_000) % 977))
+    two = spark.createDataFrame([(1.0,)] * 30_000 + [(1.0000000000000002,)] * 30_001, "x double")
+    assert P.medians(two, ["x"])["x"] == 1.0000000000000002
