@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,15 +96,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+# Folders that this process wrote below the checkpoint folder and still holds.
+_SCRATCH: list[str] = []
+
+
+def materialize(df: DataFrame, label: str = "step", keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
 
     This cuts the lineage like ``checkpoint()``, but the files are columnar and
     compressed, so later readers prune columns. A lost executor costs nothing:
-    the table lies in shared storage. The folder is a fresh one per call and
-    goes away with the checkpoint folder.
+    the table lies in shared storage. The folder is a fresh one per call; it
+    goes with the checkpoint folder, or earlier at the end of the
+    :func:`scratch_scope` it was written in (unless ``keep``).
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tabscope-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete, at the end, what :func:`materialize` wrote inside (except
+    ``keep``). Only for results that no longer read it: written, or kept."""
+    start = len(_SCRATCH)
+    yield
+    mine, _SCRATCH[start:] = _SCRATCH[start:], []
+    for path in mine:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

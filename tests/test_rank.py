@@ -83,3 +83,16 @@ def test_row_index_spreads_one_repeated_row(spark):
 
 def test_row_index_empty(spark):
     assert R.row_index(spark.createDataFrame([], "a string"), ["a"], "_row").count() == 0
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from tabscope.session import checkpoint_dir, materialize, scratch_scope
+    root = checkpoint_dir(spark).replace("file:", "")
+    with scratch_scope(spark):
+        inner = materialize(spark.range(3).toDF("a"), "inner")
+        out = materialize(inner.where("a > 0"), "outer", keep=True)
+        assert any("tabscope-inner" in f for f in os.listdir(root))
+    assert not any("tabscope-inner" in f for f in os.listdir(root))
+    assert sorted(r["a"] for r in out.collect()) == [1, 2]
