@@ -11,6 +11,7 @@ text costs a few numbers per word, not per byte.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -152,5 +153,45 @@ def window_hashes(h: np.ndarray, row: np.ndarray, first: np.ndarray, n: int
     return mix(out[at]), at
 
 
-def as_strings(values) -> pa.Array:
-    return pa.array(values, pa.string())
+class IdTable:
+    """Ids of distinct strings, remembered up to ``room`` strings (those met
+    first, which are the frequent ones)."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.at: dict[str, int] = {}
+        self.start, self.size, self.flat = array("q"), array("q"), array("I")
+
+    def get(self, string: str):
+        i = self.at.get(string)
+        return None if i is None else self.flat[self.start[i]:self.start[i] + self.size[i]]
+
+    def rows(self, strings: list[str], encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, ids) of distinct ``strings``: string ``k`` has the ids
+        ``start[k]`` to ``start[k] + size[k]``. ``encode`` gets the unknown ones."""
+        at = self.at
+        new = [s for s in strings if s not in at]
+        known = len(self.start)
+        for s, ids in zip(new, encode(new)):
+            at[s] = len(self.start)
+            self.start.append(len(self.flat))
+            self.size.append(len(ids))
+            self.flat.extend(ids)
+        which = np.fromiter(map(at.__getitem__, strings), np.int64, len(strings))
+        out = np.array(self.start)[which], np.array(self.size)[which], np.array(self.flat, np.uint32)
+        if len(self.start) > self.room:
+            keep = max(known, self.room)
+            for s in new[keep - known:]:
+                del at[s]
+            del self.flat[self.start[keep]:]
+            del self.start[keep:], self.size[keep:]
+        return out
+
+
+def spell(which: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, end of each item) of the items ``which`` of an id table."""
+    n = size[which]
+    upto = np.cumsum(n)
+    total = int(upto[-1]) if len(upto) else 0
+    return flat[np.arange(total) + np.repeat(start[which] - (upto - n), n)], upto

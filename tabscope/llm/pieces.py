@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import configure
-from ._text import blocks, utf8
+from ._text import IdTable, blocks, spell, utf8
 
 BLANK = "▁"
-CACHE = 300_000  # cuts a worker remembers (one block may exceed it)
+CACHE = 500_000  # cuts a worker remembers
 PAIRS = 1_000_000  # neighbours a worker remembers
 BLOCK = 8 << 20  # text bytes encoded together
 
@@ -273,15 +273,12 @@ class Codec:
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _table(self, cuts: list[str]) -> list[tuple[int, ...]]:
-        cuts = [c.replace(" ", BLANK) for c in cuts]
-        new = cut_ids(self.v, [c for c in cuts if c not in self.known])
-        out = [new[c] if c in new else self.known[c] for c in cuts]
-        if len(self.known) < CACHE:  # words met first are the frequent ones
-            self.known.update((c, new[c]) for c in cuts if c in new)
-        return out
+        self.table = IdTable(CACHE)
+
+    def _new(self, cuts: list[str]) -> list:
+        chars = [c.replace(" ", BLANK) for c in cuts]
+        ids = cut_ids(self.v, chars)
+        return [ids[c] for c in chars]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a text column."""
@@ -299,15 +296,9 @@ class Codec:
         spans = pa.LargeStringArray.from_buffers(len(edge) - 1, pa.py_buffer(edge.astype(np.int64)),
                                                  pa.py_buffer(data))
         coded = spans.dictionary_encode()
-        table = self._table(coded.dictionary.to_pylist())
-        size = np.fromiter((len(t) for t in table), np.int64, len(table))
-        flat = np.fromiter((i for t in table for i in t), np.int32, int(size.sum()))
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        n = size[which]
-        upto = np.cumsum(n)
-        start = (np.cumsum(size) - size)[which]
-        ids = flat[np.arange(int(upto[-1])) + np.repeat(start - (upto - n), n)]
-        return ids, np.r_[0, upto][np.searchsorted(edge, off)]
+        table = self.table.rows(coded.dictionary.to_pylist(), self._new)
+        ids, upto = spell(coded.indices.to_numpy(zero_copy_only=False), *table)
+        return ids.astype(np.int32), np.r_[0, upto][np.searchsorted(edge, off)]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of one id list."""

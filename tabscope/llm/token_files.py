@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, configure
-from ._text import Words, blocks, utf8
+from ._text import IdTable, Words, blocks, spell, utf8
 
 END_ID = 1
 SEGMENT = 1 << 19  # tokens
-BLOCK = 16 << 20  # text bytes encoded together
-CACHE = 300_000  # words a worker remembers
+BLOCK = 8 << 20  # text bytes encoded together
+CACHE = 800_000  # words a worker remembers
 CHUNK = 10_000  # words per call of the tokenizer
 RANK = 512  # bits per entry of the rank directory
 MAGIC = b"DAC1"
@@ -184,35 +184,34 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        """The pieces whose ids, one after the other, are the word's ids."""
-        if not word.isascii() or "<|" in word:
-            return (word,)
-        word = word.lower()
-        core = word.rstrip(".,;:!?")
-        if core and len(core) < len(word) and core[-1].isalnum():
-            return core, word[len(core):]
-        return (word,)
-
-    def ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        cut = [self.parts(w) for w in words]
-        new = list({p for c in cut for p in c if p not in self.known})
-        local: dict[str, tuple[int, ...]] = {}
-        for i in range(0, len(new), CHUNK):
-            part = new[i:i + CHUNK]
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            local.update((p, tuple(e.ids)) for p, e in zip(part, got))
-        room = CACHE - len(self.known)
-        if room > 0:
-            for p in new[:room]:
-                self.known[p] = local[p]
-        look = self.known
-        one = [look.get(c[0]) or local.get(c[0], ()) for c in cut]
-        return [a if len(c) == 1 else a + (look.get(c[1]) or local.get(c[1], ()))
-                for a, c in zip(one, cut)]
+        self.table = IdTable(CACHE)
+
+    def encode(self, pieces: list[str]) -> list:
+        out = []
+        for i in range(0, len(pieces), CHUNK):
+            part = pieces[i:i + CHUNK]
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, ids) of distinct words: of an ASCII word in lower case,
+        what stands before its final punctuation, then the punctuation."""
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        core = pc.ascii_rtrim(words, characters=".,;:!?")
+        cut = pc.and_(pc.and_(plain, pc.match_substring_regex(core, "[0-9a-z]$")),
+                      pc.less(pc.binary_length(core), pc.binary_length(words)))
+        core = pc.if_else(cut, core, words)
+        tail = pc.struct_field(pc.extract_regex(words.filter(cut), "(?P<t>[.,;:!?]+)$"), "t")
+        coded = pa.concat_arrays([core, tail.cast(core.type)]).dictionary_encode()
+        table = self.table.rows(coded.dictionary.to_pylist(), self.encode)
+        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        has_tail = cut.to_numpy(zero_copy_only=False)
+        n = len(words)
+        ids, upto = spell(np.insert(which[:n], np.flatnonzero(has_tail) + 1, which[n:]), *table)
+        end = upto[np.arange(n) + np.cumsum(has_tail)] if n else upto
+        start = np.r_[0, end[:-1]] if n else end
+        return start, end - start, ids
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -234,18 +233,11 @@ def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if len(words):
         spans = spans.take(pa.array(np.arange(0, len(spans), 2)))
     coded = spans.dictionary_encode()
-    table = encoder.ids(coded.dictionary.to_pylist())
-    size = np.fromiter((len(t) for t in table), np.int64, len(table))
-    flat = np.fromiter((i for t in table for i in t), np.uint32, int(size.sum()))
-    start = np.cumsum(size) - size
+    start, size, flat = encoder.rows(coded.dictionary)
     # One pseudo word per text stands for its end id.
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    which = np.insert(which, words.first[1:], len(table))
-    size, start = np.r_[size, 1], np.r_[start, len(flat)]
-    flat = np.r_[flat, np.uint32(END_ID)]
-    n = size[which]
-    upto = np.cumsum(n)
-    ids = flat[np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - n, n) + np.repeat(start[which], n)]
+    which = np.insert(which, words.first[1:], len(start))
+    ids, upto = spell(which, np.r_[start, len(flat)], np.r_[size, 1], np.r_[flat, np.uint32(END_ID)])
     ends = upto[words.first[1:] + np.arange(len(off) - 1)] if len(off) > 1 else np.zeros(0, np.int64)
     return ids, np.r_[0, ends]
 
