@@ -28,6 +28,8 @@ def test_stages(spark, folder):
         docs = materialize(stage[name](spark, docs, sf), "test")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept[name] = [r["doc_id"] for r in docs.collect()]
+        if name != "quality_rules":
+            assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
     assert not any(k >= 400 for k in kept["quality_rules"])
     assert set(range(100, 140)) <= set(kept["line_dedup"])
     assert not set(range(200, 205)) & set(kept["line_dedup"])  # exact copies
