@@ -33,9 +33,9 @@ from ..session import configure
 from ._text import IdTable, blocks, spell, utf8
 
 BLANK = "▁"
-CACHE = 500_000  # cuts a worker remembers
-PAIRS = 1_000_000  # neighbours a worker remembers
-BLOCK = 8 << 20  # text bytes encoded together
+CACHE = 200_000  # cuts a worker remembers
+PAIRS = 200_000  # neighbours a worker remembers
+BLOCK = 4 << 20  # text bytes encoded together
 
 
 class Vocabulary:
