@@ -1,8 +1,8 @@
 """Bench: headline queries of the catalog at ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) on ``local[$BENCH_CPUS]``.
 
-Each query runs once to warm up, then ``$BENCH_RUNS`` (default 3) timed runs;
-the median is reported. Results are fully computed through the ``noop`` sink
+Each query runs once to warm up, then ``$BENCH_RUNS`` (default 3) timed runs
+(model fits: one); the median is reported. Results are fully computed through the ``noop`` sink
 (no driver collect). Prints ONE JSON line.
 """
 
@@ -17,8 +17,12 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from tabscope import catalog  # noqa: E402
+from tabscope.operators import insights  # noqa: E402
 from tabscope.session import get_spark  # noqa: E402
+from tabscope.sources.tables import load  # noqa: E402
 
 HEADLINE = [
     "c1_numeric_profile", "c2_categorical_profile", "c3_filter_options", "c6_category_share",
@@ -27,6 +31,17 @@ HEADLINE = [
     "f6_folds", "e1_regression_metrics", "e2_class_metrics", "e10_model_comparison",
     "s8_recent_per_group",
 ]
+# Model fits and cross-validation: one timed run each.
+MODELS = ["m6_logistic_regression", "m9_train_route", "m12_cross_validation"]
+
+
+def i1_wide(spark, sf_dir: str):
+    """Correlations of 60 columns derived from ``lineitem`` (1,770 pairs)."""
+    li = load(spark, sf_dir, "lineitem")
+    base = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return insights.correlations(li.select(*[
+        (F.col(base[k % 4]).cast("double") * (k + 1) + F.pmod(F.col("l_orderkey"), F.lit(k + 2))).alias(f"x{k}")
+        for k in range(60)]))
 
 
 def main() -> None:
@@ -35,11 +50,12 @@ def main() -> None:
     spark = get_spark(app_name="tabscope-bench")
     qs = catalog.queries()
     times = {}
-    for key in HEADLINE:
+    qs["i1_wide"] = i1_wide
+    for key in [*HEADLINE, "i1_wide", *MODELS]:
         fn = qs[key]
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         samples = []
-        for _ in range(runs):
+        for _ in range(1 if key in MODELS else runs):
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - t0)
