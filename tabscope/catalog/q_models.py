@@ -6,6 +6,8 @@ checked by row counts here and by invariants in ``tests/test_models.py``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -147,20 +149,36 @@ def e4_coef_importances(spark, d):
     return _route(spark, d, "LinearRegression").importances
 
 
-@register("s10_save_model")
+def _store(spark) -> str:
+    """A model store of its own per call."""
+    return f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+
+
+@register("s10_save_model", """
+SELECT 'model-1' AS id, 'p_type_LinearRegression_model' AS name, 'p_type' AS target_column,
+       'LinearRegression' AS model_type, true AS is_categorical_target,
+       count(DISTINCT p_type)::INTEGER AS classes FROM part""")
 def s10_save_model(spark, d):
-    store = f"{checkpoint_dir(spark)}/models"
+    store = _store(spark)
     res = TR.train_route(_part(spark, d), "p_type", "p_partkey", "LinearRegression")
-    mid = S.save_model(spark, store, res, dataset_id="part")
-    return S.load_records(spark, store).where(F.col("id") == mid).select(
+    S.save_model(spark, store, res, dataset_id="part", model_id="model-1")
+    return S.load_records(spark, store).select(
         "id", "name", "target_column", "model_type", "is_categorical_target",
         F.size("target_mapping").alias("classes"))
 
 
-@register("s11_load_models")
+@register("s11_load_models", """
+SELECT id, name, created_at, ['mean_absolute_error', 'mean_squared_error', 'r2_score', 'root_mean_squared_error']
+       AS metrics
+FROM (VALUES ('model-b', 'second', '2024-02-01T00:00:00'), ('model-a', 'first', '2024-01-01T00:00:00'))
+     t(id, name, created_at) WHERE (SELECT count(*) FROM part) > 0""")
 def s11_load_models(spark, d):
-    store = f"{checkpoint_dir(spark)}/models"
+    """Two kept models of ``part`` and one of another dataset; newest first."""
+    store = _store(spark)
     res = _route(spark, d, "LinearRegression")
-    S.save_model(spark, store, res, dataset_id="part")
+    for dataset, mid, name, month in (("part", "model-a", "first", 1), ("part", "model-b", "second", 2),
+                                      ("other", "model-c", "third", 3)):
+        S.save_model(spark, store, res, dataset_id=dataset, model_name=name, model_id=mid,
+                     created_at=f"2024-{month:02}-01T00:00:00")
     recs = S.load_records(spark, store)
-    return S.models_of(recs, "part").select("id", "name", "created_at", F.map_keys("metrics").alias("metrics"))
+    return S.models_of(recs, "part").select("id", "name", "created_at", F.array_sort(F.map_keys("metrics")).alias("metrics"))

@@ -34,13 +34,15 @@ CORRUPT = "_corrupt_record"
 
 
 def save_model(spark: SparkSession, store: str, result, dataset_id: str,
-               model_name: str | None = None) -> str:
+               model_name: str | None = None, model_id: str | None = None,
+               created_at: str | None = None) -> str:
     """Write the fitted model and its metadata record; returns the id.
+    Id and time are new unless given.
 
     ``result`` is a :class:`tabscope.plans.train.TrainResult`. The metrics and
     the target mapping are small (a few numbers; one entry per class).
     """
-    model_id = str(uuid.uuid4())
+    model_id = model_id or str(uuid.uuid4())
     path = f"{store.rstrip('/')}/{model_id}"
     model = result.model
     if hasattr(model, "write"):
@@ -58,7 +60,7 @@ def save_model(spark: SparkSession, store: str, result, dataset_id: str,
                 for r in result.mapping.collect()} if result.mapping is not None else {})
     rec = result.record
     row = (model_id, dataset_id, model_name or rec.get("name"), rec.get("target_column"),
-           rec.get("model_type"), path, metrics, dt.datetime.now().isoformat(),
+           rec.get("model_type"), path, metrics, created_at or dt.datetime.now().isoformat(),
            bool(rec.get("is_categorical_target", False)), mapping)
     (spark.createDataFrame([row], RECORD_SCHEMA).coalesce(1)
           .write.mode("overwrite").json(f"{store.rstrip('/')}/{model_id}_info"))
