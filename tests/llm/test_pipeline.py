@@ -53,3 +53,11 @@ def test_dedup_stages_on_nasty_rows(spark, nasty):
     cleaned = near_dup.keep_one(materialize(line_dedup.drop_later_copies(nasty), "test"))
     assert cleaned.columns == [c.split()[0] for c in COLUMNS.split(", ")]
     assert cleaned.count() <= len(nasty_rows())
+
+
+def test_short_lines_keep_one_copy(spark):
+    rows = [(k, f"home\n{prose(700 + k, 24)}\nread more here\nhome", "en", "s", 1) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    texts = {r["doc_id"]: r["text"].split("\n") for r in C.line_dedup(spark, docs, "").collect()}
+    assert texts[0] == rows[0][1].split("\n")[:-1]
+    assert all(texts[k] == prose(700 + k, 24).split("\n") for k in range(1, 6))
