@@ -7,16 +7,17 @@
    correlated order, a set with enough elements is done after level 0, and only
    small sets go on (early stopping).
 2. Texts with equal sets are one class; everything below works on classes.
-3. 16 bands of 4 ranks: classes that agree on a band share a bucket (a pair at
-   similarity 0.85 shares none with probability 7e-6).
+3. Bands of ranks: classes that agree on a band share a bucket. ``band_count``
+   takes the longest bands that miss a pair at the threshold with a probability
+   of at most 1e-5: 16 of 4 ranks at 85 percent (7e-6), 21 of 3 at 80 (3e-7).
 4. Pairs are confirmed on their full sets. A bucket is never turned into all its
    pairs: every member is compared with one pivot, the member that shares most
    buckets with others (in a group of variants: the least edited one), and the
    links found are merged by union-find.
 5. Members of one pivot's group that are then still in several components are
    compared exactly as far as a link is possible. Two of them can only be linked
-   if their parts outside the pivot share enough shingles: ``inter >= 85 / 185 *
-   (n + m)``, of which at most ``min(inter_u, inter_v)`` lie in the pivot. So they
+   if their parts outside the pivot share enough shingles: ``inter >= percent /
+   (100 + percent) * (n + m)``, of which at most ``min(inter_u, inter_v)`` lie in the pivot. So they
    share one of the first shingles of those parts (prefix filter, with sizes and
    positions), or need none (both nearly inside the pivot). In each such bucket
    growing numbers of members serve as pivots, compared with members of other
@@ -41,8 +42,10 @@ from ..session import configure, materialize
 from ._text import Words, blocks, mix, utf8, window_hashes
 
 SHINGLE = 5
-SLOTS, BANDS = 64, 16
-PERCENT = 85  # links: 100 * intersection >= PERCENT * union
+SLOTS = 64
+PERCENT = 85  # op7's links: 100 * intersection >= PERCENT * union
+KEEP_PERCENT = 80  # keep_one's
+MISS = 1e-5  # probability that a pair at the threshold shares no band
 PIVOTS = 32  # growth of the number of pivots per bucket and round
 EDGES = 1_000_000  # edges that one task's union-find takes
 
@@ -106,10 +109,20 @@ def superminhash(h: np.ndarray, row: np.ndarray, rows: int, slots: int = SLOTS)
     return sig
 
 
-def band_hashes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def band_count(percent: int, slots: int = SLOTS) -> int:
+    """Number of bands for links at ``percent``: the longest bands that miss at
+    most ``MISS`` of the pairs at the threshold."""
+    for ranks in range(slots, 0, -1):
+        if (1 - (percent / 100) ** ranks) ** (slots // ranks) <= MISS:
+            return slots // ranks
+    raise ValueError(f"{percent} percent: {slots} ranks do not find such pairs")
+
+
+def band_hashes(sig: np.ndarray, bands: int) -> np.ndarray:
     """(rows, bands) hash of each band's ranks."""
     rows, slots = sig.shape
-    parts = sig.reshape(rows, bands, slots // bands)
+    ranks = slots // bands
+    parts = sig[:, :bands * ranks].reshape(rows, bands, ranks)
     out = np.zeros((rows, bands), _U)
     for k in range(parts.shape[2]):
         out = mix(out * _STEP + parts[:, :, k])
@@ -125,19 +138,21 @@ def _row_sums(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
 SIGNED = "id0 bigint, nul boolean, th bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 
-def _sign(batches):
-    for batch in blocks(batches):
-        h, row, rows = shingle_sets(batch.column("text"))
-        bands = band_hashes(superminhash(h, row, rows)).view(np.int64)
-        n = np.bincount(row, minlength=rows)
-        d1 = _row_sums(mix(h), row, rows).view(np.int64)
-        d2 = _row_sums(mix(h ^ _STEP), row, rows).view(np.int64)
-        off = np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id0"), batch.column("nul"), batch.column("th"), pa.array(n, pa.int64()),
-             pa.array(d1), pa.array(d2),
-             pa.ListArray.from_arrays(pa.array(off), pa.array(bands.reshape(-1)))],
-            names=["id0", "nul", "th", "n", "d1", "d2", "bands"])
+def _sign(bands: int):
+    def run(batches):
+        for batch in blocks(batches):
+            h, row, rows = shingle_sets(batch.column("text"))
+            found = band_hashes(superminhash(h, row, rows), bands).view(np.int64)
+            n = np.bincount(row, minlength=rows)
+            d1 = _row_sums(mix(h), row, rows).view(np.int64)
+            d2 = _row_sums(mix(h ^ _STEP), row, rows).view(np.int64)
+            off = np.arange(0, rows * bands + 1, bands, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id0"), batch.column("nul"), batch.column("th"), pa.array(n, pa.int64()),
+                 pa.array(d1), pa.array(d2),
+                 pa.ListArray.from_arrays(pa.array(off), pa.array(found.reshape(-1)))],
+                names=["id0", "nul", "th", "n", "d1", "d2", "bands"])
+    return run
 
 
 def _sets(batches):
@@ -149,25 +164,27 @@ def _sets(batches):
                                          names=["c", "set"])
 
 
-def _prefix(n):
+def _prefix(n, percent):
     """Number of shingles of which a set of ``n`` must share one to be linked."""
-    return n - -(-n * PERCENT // 100) + 1
+    return n - -(-n * percent // 100) + 1
 
 
-def _overlap(batches):
+def _overlap(percent: int):
     """Size of the intersection, and the first shingles of ``y`` outside ``x``."""
-    for batch in batches:
-        a, b = batch.column("set_x"), batch.column("set_y")
-        inter, rest = [], []
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(s[i].as_buffer(), _U) for s in (a, b))
-            at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
-            both = x[at] == y if len(x) else np.zeros(len(y), bool)
-            inter.append(int(np.count_nonzero(both)))
-            rest.append(y[~both][:_prefix(len(y))].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("x", "y", "nx", "ny")], pa.array(inter, pa.int64()),
-             pa.array(rest, pa.list_(pa.int64()))], names=["x", "y", "nx", "ny", "inter", "rest"])
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("set_x"), batch.column("set_y")
+            inter, rest = [], []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(s[i].as_buffer(), _U) for s in (a, b))
+                at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+                both = x[at] == y if len(x) else np.zeros(len(y), bool)
+                inter.append(int(np.count_nonzero(both)))
+                rest.append(y[~both][:_prefix(len(y), percent)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("x", "y", "nx", "ny")], pa.array(inter, pa.int64()),
+                 pa.array(rest, pa.list_(pa.int64()))], names=["x", "y", "nx", "ny", "inter", "rest"])
+    return run
 
 
 def _union_find(batches):
@@ -213,18 +230,18 @@ def components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("u").alias("c"), F.col("v").alias("comp"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(x, y, nx, ny, inter, rest)`` of candidate pairs ``(x, y)``, on full sets."""
     size = (F.octet_length("set") / 8).cast("long")
     side = [sets.select(F.col("c").alias(k), size.alias(f"n{k}"), F.col("set").alias(f"set_{k}"))
             for k in ("x", "y")]
     full = pairs.join(side[1], "y").join(side[0], "x")
     return full.select("x", "y", "nx", "ny", "set_x", "set_y").mapInArrow(
-        _overlap, "x bigint, y bigint, nx bigint, ny bigint, inter bigint, rest array<bigint>")
+        _overlap(percent), "x bigint, y bigint, nx bigint, ny bigint, inter bigint, rest array<bigint>")
 
 
-def _labels(tested: DataFrame) -> DataFrame:
-    linked = F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * PERCENT
+def _labels(tested: DataFrame, percent: int) -> DataFrame:
+    linked = F.col("inter") * 100 >= (F.col("nx") + F.col("ny") - F.col("inter")) * percent
     return components(tested.where(linked).select(F.col("y").alias("u"), F.col("x").alias("v")))
 
 
@@ -236,7 +253,7 @@ def _several(rows: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
     return rows.drop("least").join(mixed, by)
 
 
-def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Component labels ``(c, comp)`` from buckets ``(b, h, c, k)`` of ``k``
     members."""
     score = buckets.groupBy("c").agg(F.sum("k").alias("score"))
@@ -245,8 +262,8 @@ def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
                     .select("b", "h", (-F.col("x.c")).alias("p")))
     pairs = (buckets.join(pivot, ["b", "h"]).where("c <> p")
                     .select(F.col("p").alias("x"), F.col("c").alias("y")).distinct())
-    tested = materialize(_verify(pairs, sets), "tested")
-    labels = _labels(tested)
+    tested = materialize(_verify(pairs, sets, percent), "tested")
+    labels = _labels(tested, percent)
 
     # Groups of a pivot that hold several components; ``i`` is the part of a
     # member inside the pivot, ``o`` the number of its shingles outside.
@@ -254,12 +271,12 @@ def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
                             F.col("inter").alias("i"), "rest")
     members = materialize(_several(members, labels, ["p"]), "groups")
 
-    def need(n, m):  # least intersection of linked sets, times (100 + PERCENT)
-        return (n + m) * PERCENT
+    def need(n, m):  # least intersection of linked sets, times (100 + percent)
+        return (n + m) * percent
 
-    whole = 100 + PERCENT
-    # The partner is at least as large as the group's smallest, and 0.85 n.
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+    whole = 100 + percent
+    # The partner is at least as large as the group's smallest, and percent of n.
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     free = (members.where(F.col("i") * whole >= need(F.col("n"), partner))
                    .select("p", F.lit(0).cast("long").alias("t"), F.lit(-1).alias("at"), "c", "n", "i"))
     shared = members.select("p", "c", "n", "i", "least", F.posexplode("rest").alias("at", "t"))
@@ -279,26 +296,27 @@ def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
         inside = F.least(F.col("i"), F.col("v.i"))
         outside = F.when(F.col("b"), 0).otherwise(F.least(n - F.col("i") - F.col("at"),
                                                           m - F.col("v.i") - F.col("v.at")))
-        possible = ((F.col("comp") != F.col("v.comp")) & (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
+        possible = ((F.col("comp") != F.col("v.comp")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
                     & ((inside + outside) * whole >= need(n, m)))
         pairs = (rows.join(chosen, key).where(possible)
                      .select(F.least("c", "v.c").alias("x"), F.greatest("c", "v.c").alias("y")).distinct())
         known = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = materialize(_verify(pairs.join(known, ["x", "y"], "left_anti"), sets), "tested")
+        more = materialize(_verify(pairs.join(known, ["x", "y"], "left_anti"), sets, percent), "tested")
         if not more.isEmpty():
             tested = tested.unionByName(more)
-            labels = _labels(tested)
+            labels = _labels(tested, percent)
         rows = rows.join(chosen.select(*key, F.col("v.c").alias("c")), [*key, "c"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    percent: int = PERCENT) -> DataFrame:
     """``(id0, nul, th, n_shingles, component_id)`` per row: ``id0``/``nul`` the
-    id, ``th`` the text's hash."""
+    id, ``th`` the text's hash. Sets are linked at ``percent`` (of 100)."""
     configure(docs.sparkSession)
     key, text = docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit(""))
     base = docs.select(F.coalesce(key, F.lit(0)).alias("id0"), key.isNull().alias("nul"),
                        F.xxhash64(text).alias("th"), text.alias("text"))
-    signed = materialize(base.mapInArrow(_sign, SIGNED), "signatures")
+    signed = materialize(base.mapInArrow(_sign(band_count(percent)), SIGNED), "signatures")
     digest = ["n", "d1", "d2"]
     first = F.min(F.struct("nul", "id0", "th")).alias("rep")
     classes = (signed.where("n > 0").groupBy(*digest)
@@ -313,7 +331,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.withColumn("k", F.row_number().over(once)).where("k = 1").drop("k")
     sets = materialize(texts.join(wanted, ["id0", "nul", "th"]).select("c", "text")
                        .mapInArrow(_sets, "c bigint, set binary"), "sets")
-    labels = _links(buckets, sets)
+    labels = _links(buckets, sets, percent)
 
     ids = classes.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     name = classes.select(F.col("c").alias("comp"),
@@ -325,10 +343,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             percent: int = KEEP_PERCENT) -> DataFrame:
     """The rows of ``docs`` that name their component: one per group of near
     duplicates, and every text without words."""
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, percent)
     gone = (found.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
                  .select(F.col("id0").alias("__id0"), F.col("nul").alias("__nul"),
                          F.col("th").alias("__th")).distinct())
@@ -341,7 +360,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components over all ``documents``."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=PERCENT)
     return found.select("doc_id", "n_shingles", "component_id",
                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -100,3 +100,25 @@ def test_shingle_sets():
     texts = [t for _, t, *_ in nasty_rows()]
     h, row, rows = N.shingle_sets(pa.array(texts))
     assert np.bincount(row, minlength=rows).tolist() == [len(shingles(t)) for t in texts]
+
+
+def test_bands_catch_pairs_at_the_threshold():
+    assert N.band_count(85) == 16 and N.band_count(80) == 21  # 4 and 3 ranks each
+    for percent in (50, 70, 80, 85, 95, 100):
+        bands = N.band_count(percent)
+        assert (1 - (percent / 100) ** (N.SLOTS // bands)) ** bands <= 1e-5
+
+
+def test_keep_one_drops_copies_from_80_percent(spark):
+    """Pairs of 56 shingles with 51 (0.836) and 49 (0.778) in common."""
+    rows = []
+    for k in range(30):
+        w = prose(800 + k).split()
+        rows += [(k, " ".join(w)), (100 + k, " ".join(w[:-5] + [f"x{i}" for i in range(5)])),
+                 (200 + k, " ".join(["y1", "y2"] + w[2:-5] + [f"z{i}" for i in range(5)]))]
+    sim = [[len(a & b) / len(a | b) for a, b in ((shingles(x), shingles(y)), (shingles(x), shingles(z)))]
+           for (_, x), (_, y), (_, z) in zip(rows[::3], rows[1::3], rows[2::3])]
+    assert all(0.8 <= a < 0.85 and b < 0.8 for a, b in sim)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in N.keep_one(df).collect()) == [*range(30), *range(200, 230)]
+    assert N.keep_one(df, percent=85).count() == 90
