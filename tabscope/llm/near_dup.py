@@ -48,6 +48,8 @@ KEEP_PERCENT = 80  # keep_one's
 MISS = 1e-5  # probability that a pair at the threshold shares no band
 PIVOTS = 32  # growth of the number of pivots per bucket and round
 EDGES = 1_000_000  # edges that one task's union-find takes
+DIGEST = ["n", "d1", "d2"]
+_WORD = r"[^\x20\x09-\x0D]"
 
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
@@ -308,19 +310,18 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rows = rows.join(chosen.select(*key, F.col("v.c").alias("c")), [*key, "c"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    percent: int = PERCENT) -> DataFrame:
-    """``(id0, nul, th, n_shingles, component_id)`` per row: ``id0``/``nul`` the
-    id, ``th`` the text's hash. Sets are linked at ``percent`` (of 100)."""
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(signed, classes, labels)``: each row's digest, the classes of equal
+    sets with their first row ``(nul, id0, th)``, and ``(c, comp)`` of those
+    classes that are not their component's first."""
     configure(docs.sparkSession)
     key, text = docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit(""))
     base = docs.select(F.coalesce(key, F.lit(0)).alias("id0"), key.isNull().alias("nul"),
                        F.xxhash64(text).alias("th"), text.alias("text"))
     signed = materialize(base.mapInArrow(_sign(band_count(percent)), SIGNED), "signatures")
-    digest = ["n", "d1", "d2"]
     first = F.min(F.struct("nul", "id0", "th")).alias("rep")
-    classes = (signed.where("n > 0").groupBy(*digest)
-                     .agg(first, F.first("bands").alias("bands")).select(*digest, "rep.*", "bands"))
+    classes = (signed.where("n > 0").groupBy(*DIGEST)
+                     .agg(first, F.first("bands").alias("bands")).select(*DIGEST, "rep.*", "bands"))
     classes = materialize(row_index(classes, ["nul", "id0", "th"], "c"), "classes")
 
     banded = classes.select("c", F.posexplode("bands").alias("b", "h"))
@@ -331,31 +332,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = base.withColumn("k", F.row_number().over(once)).where("k = 1").drop("k")
     sets = materialize(texts.join(wanted, ["id0", "nul", "th"]).select("c", "text")
                        .mapInArrow(_sets, "c bigint, set binary"), "sets")
-    labels = _links(buckets, sets, percent)
+    return signed, classes, _links(buckets, sets, percent)
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    percent: int = PERCENT) -> DataFrame:
+    """``(id0, nul, th, n_shingles, component_id)`` per row: ``id0``/``nul`` the
+    id, ``th`` the text's hash. Sets are linked at ``percent`` (of 100)."""
+    signed, classes, labels = _components(docs, id_col, text_col, percent)
     ids = classes.join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     name = classes.select(F.col("c").alias("comp"),
                           F.when(~F.col("nul"), F.col("id0")).alias("component_id"))
-    named = ids.join(name, "comp").select(*digest, "component_id")
+    named = ids.join(name, "comp").select(*DIGEST, "component_id")
     own = F.when(~F.col("nul"), F.col("id0"))
-    rows = signed.drop("bands").join(named, digest, "left")
+    rows = signed.drop("bands").join(named, DIGEST, "left")
     return rows.select("id0", "nul", "th", own.alias(id_col), F.col("n").alias("n_shingles"),
                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              percent: int = KEEP_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that name their component: one per group of near
-    duplicates, and every text without words."""
-    found = near_duplicates(docs, id_col, text_col, percent)
-    gone = (found.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-                 .select(F.col("id0").alias("__id0"), F.col("nul").alias("__nul"),
-                         F.col("th").alias("__th")).distinct())
+    """One row of ``docs`` per group of near duplicates, whatever its ids, and
+    every text without words. The row is one with the group's smallest id (NULL
+    ids last) and text hash; of rows equal in both, the one with the smallest row
+    hash. Repeated rows are reduced in each task before the exchange."""
+    _, classes, labels = _components(docs, id_col, text_col, percent)
+    at = ["__id0", "__nul", "__th"]
+    first = (classes.join(labels, "c", "left_anti")
+                    .select(*[F.col(c[2:]).alias(c) for c in at]))
     key, text = docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"),
                        F.coalesce(key, F.lit(0)).alias("__id0"), key.isNull().alias("__nul"),
-                       F.xxhash64(text).alias("__th"))
-    return rows.join(gone, ["__id0", "__nul", "__th"], "left_anti").select("__row.*")
+                       F.xxhash64(text).alias("__th"), text.rlike(_WORD).alias("__words"))
+    one = rows.where("__words").groupBy(*at).agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    kept = one.join(first, at, "left_semi").select("__row.*")
+    return kept.unionByName(rows.where("not __words").select("__row.*"))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -122,3 +122,20 @@ def test_keep_one_drops_copies_from_80_percent(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     assert sorted(r["doc_id"] for r in N.keep_one(df).collect()) == [*range(30), *range(200, 230)]
     assert N.keep_one(df, percent=85).count() == 90
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (prose(900 + k) for k in range(4))
+    near = [t.rsplit(" ", 1)[0] + " changed" for t in (a, b, c, d)]
+    rows = [(1, a, "x")] * 40 + [(1, a, "w")]  # one row repeated, and its text with another column
+    rows += [(2, b, "x"), (2, near[1], "x")]  # near texts under one id
+    rows += [(None, c, "x"), (None, c, "x"), (None, near[2], "x")]  # a group of NULL ids
+    rows += [(None, d, "x"), (7, near[3], "x")]
+    rows += [(8, "", "x"), (8, "", "x"), (9, " \n", "x"), (None, None, "x")]  # no words: all stay
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6)
+    kept = [tuple(r) for r in N.keep_one(df).collect()]
+    assert len(kept) == 8 and set(kept) <= set(rows)
+    groups = [{a}, {b, near[1]}, {c, near[2]}, {d, near[3]}]
+    assert [sum(t in g for _, t, _ in kept) for g in groups] == [1, 1, 1, 1]
+    assert sorted(str(i) for i, t, _ in kept if t and t.strip()) == ["1", "2", "7", "None"]
+    assert kept.count((8, "", "x")) == 2
