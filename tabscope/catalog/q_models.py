@@ -20,11 +20,9 @@ from ..sources import model_store as S
 from . import register
 from ._common import r, rounded, table
 
-PART_FEATURES = ["p_partkey", "p_brand", "p_size", "p_retailprice"]
-
 
 def _part(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    return table(spark, d, "part")
 
 
 @register("m1_linear_regression", f"""
@@ -127,8 +125,8 @@ def m10_train_library_regression(spark, d):
 @register("m11_batch_scoring")
 def m11_batch_scoring(spark, d):
     res = _route(spark, d, "LinearRegression")
-    return M.score(res.model, TR._prepare(_part(spark, d), PART_FEATURES + ["p_type"])).select(
-        "p_partkey", "prediction")
+    part = _part(spark, d)
+    return M.score(res.model, TR._prepare(part, part.columns)).select("p_partkey", "prediction")
 
 
 @register("m12_cross_validation")

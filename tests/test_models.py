@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tabscope.catalog import q_models as Q
 from tabscope.operators import evaluate as E
 from tabscope.operators import features as FT
 from tabscope.operators import models as M
@@ -92,3 +93,10 @@ def test_class_metrics_zero_division(spark):
     df = spark.createDataFrame([(0, 1), (0, 1), (1, 1)], "a int, p int")
     m = E.classification_metrics(df, "a", "p").first()
     assert math.isclose(m["accuracy"], 1 / 3) and math.isclose(m["precision"], (1 / 3) * (1 / 3))
+
+
+def test_queries_train_on_all_of_part(spark):
+    p = load(spark, SF001, "part")
+    assert Q._part(spark, SF001).columns == p.columns
+    res = Q._route(spark, SF001, "LinearRegression")
+    assert sum(n.startswith("p_name_") for n in res.features) == res.train.select("p_name").distinct().count() > 0
