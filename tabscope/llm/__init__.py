@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("mixing", "sharding", "fingerprint", "near_dup", "token_files", "quality", "line_dedup", "pieces", "substring_dedup", "pii")
+_MODULES = ("mixing", "sharding", "fingerprint", "near_dup", "token_files", "quality", "line_dedup", "pieces", "substring_dedup", "pii",
+            "language", "divergence", "dual_tree")
 
 
 def _all() -> dict:

@@ -13,7 +13,7 @@ from ..conftest import SF01
 
 def test_one_query_per_operator():
     keys = [k for k in E.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in keys) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in keys) == list(range(1, 14))
     assert "pipeline" in E.queries()
 
 
