@@ -39,8 +39,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from ._text import utf8
+from ..session import configure, materialize
+from ._text import blocks, utf8
 
 ORDER = 3
 SAMPLE_ROWS = 6_000
@@ -57,48 +57,52 @@ _FOLD[128:] = np.arange(128, 256)
 
 # ------------------------------------------------------- texts as byte runs
 
+def _pieces(data: np.ndarray, off: np.ndarray, segment: int):
+    """(begin, end, rows with bytes in it, where each begins in it) of each segment."""
+    for a in range(0, len(data), segment):
+        b = min(len(data), a + segment)
+        rows = np.arange(np.searchsorted(off, a, "right") - 1, np.searchsorted(off, b, "left"), dtype=np.int32)
+        edge = np.maximum(off[rows], a) - a
+        some = np.diff(np.r_[edge, b - a]) > 0
+        yield a, b, rows[some], edge[some]
+
+
 def runs(column: pa.Array, segment: int = SEGMENT):
     """``(run, row)`` arrays by segment: for each folded byte of a text, it and
     the ``ORDER`` bytes before it as one 32-bit number, oldest byte first."""
     data, off = utf8(column)
-    tail = np.zeros(0, np.uint8), np.zeros(0, np.int64)  # last bytes and their rows
-    a = 0
-    while a < len(data):
-        b = min(len(data), a + segment)
+    tail = np.zeros(0, np.uint8), np.zeros(0, np.int32)  # last bytes and their rows
+    for a, b, rows, edge in _pieces(data, off, segment):
         byte = _FOLD[data[a:b]]
-        row = np.searchsorted(off, np.arange(a, b), "right") - 1
+        row = np.repeat(rows, np.diff(np.r_[edge, b - a]))
         last = tail[0][-1:], tail[1][-1:]
         before = np.r_[last[0] if len(last[0]) else np.uint8(0x20), byte[:-1]]
         same = np.r_[last[1] if len(last[1]) else -1, row[:-1]] == row
         keep = (byte != 0x20) | (np.where(same, before, 0x20) != 0x20)  # one space of a run, none in front
-        s = np.r_[tail[0], byte[keep]]
-        r = np.r_[tail[1], row[keep]]
         k = len(tail[0])
-        run = s[k:].astype(np.uint32)
+        # In front: the bytes handed on, and before the first segment bytes of no row.
+        s = np.r_[np.zeros(ORDER - k, np.uint8), tail[0], byte[keep]]
+        r = np.r_[np.full(ORDER - k, -1, np.int32), tail[1], row[keep]]
+        run = s[ORDER:].astype(np.uint32)
         for back in range(1, ORDER + 1):
-            p = np.full(len(s) - k, 0x20, np.uint8)
-            there = np.arange(k, len(s)) - back
-            ok = there >= 0
-            ok[ok] &= r[there[ok]] == r[k:][ok]
-            p[ok] = s[there[ok]]
-            run |= p.astype(np.uint32) << np.uint32(8 * back)
-        yield run, r[k:]
+            own = r[ORDER - back:len(r) - back] == r[ORDER:]
+            run |= np.where(own, s[ORDER - back:len(s) - back], np.uint8(0x20)).astype(np.uint32) << np.uint32(8 * back)
+        yield run, r[ORDER:]
         # A dropped space is no byte of the text, so the tail holds kept bytes only.
         tail = s[-ORDER:], r[-ORDER:]
-        a = b
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
     """Which texts have a letter (of any script)."""
     data, off = utf8(column)
-    kind = np.zeros(256, np.uint8)
-    kind[65:91] = kind[97:123] = 1
-    hit = np.r_[0, np.cumsum(kind[data], dtype=np.int64)]
-    out = hit[off[1:]] > hit[off[:-1]]
-    wide = np.r_[0, np.cumsum(data >= 128, dtype=np.int64)]
-    for i in np.flatnonzero(~out & (wide[off[1:]] > wide[off[:-1]])):
-        out[i] = regex.search(r"\p{L}", column[int(i)].as_py()) is not None
-    return out
+    ascii_, wide = np.zeros(len(off) - 1, bool), np.zeros(len(off) - 1, bool)
+    for a, b, rows, edge in _pieces(data, off, SEGMENT):
+        byte = _FOLD[data[a:b]]
+        ascii_[rows] |= np.logical_or.reduceat((byte != 0x20) & (byte < 128), edge)
+        wide[rows] |= np.logical_or.reduceat(byte >= 128, edge)
+    for i in np.flatnonzero(~ascii_ & wide):
+        ascii_[i] = regex.search(r"\p{L}", column[int(i)].as_py()) is not None
+    return ascii_
 
 
 # ---------------------------------------------------------------- the model
@@ -215,6 +219,7 @@ def _sampled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def train(docs: DataFrame, trained_on: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fit the model on the rows of ``docs`` with a language for which
     ``trained_on`` holds; None if there are none."""
+    configure(docs.sparkSession)
     rows = docs if trained_on is None else docs.where(trained_on)
     rows = rows.where(rows[lang_col].isNotNull()).select(
         rows[lang_col].cast("string").alias("lang"), F.coalesce(rows[text_col], F.lit("")).alias("text"),
@@ -222,7 +227,7 @@ def train(docs: DataFrame, trained_on: Column | None = None, text_col: str = "te
     sample, per = _sampled(rows)
 
     def count(batches):
-        for batch in batches:
+        for batch in blocks(batches):
             lang = batch.column("lang").dictionary_encode()
             code = lang.indices.to_numpy(zero_copy_only=False).astype(np.uint64)
             for run, row in runs(batch.column("text")):
@@ -252,13 +257,14 @@ def train(docs: DataFrame, trained_on: Column | None = None, text_col: str = "te
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``(row, lang_pred, score, bits)`` of every row; ``row`` is a struct of the
     ``carry`` columns (default: all), ``bits`` the winner's code length."""
+    configure(docs.sparkSession)
     cols = docs.columns if carry is None else carry
     work = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), docs[text_col].alias("text"))
     frozen = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = frozen.value
-        for batch in batches:
+        for batch in blocks(batches):
             text = batch.column("text")
             n = len(text)
             pred, score, bits = np.full(n, -1), np.zeros(n), np.zeros(n)
