@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import encoding as EN
 from ..operators import evaluate as E
 from ..operators import features as FT
 from . import register
@@ -41,15 +42,35 @@ def f2_label_codes(spark, d):
     return FT.label_codes(table(spark, d, "customer"), "c_mktsegment")
 
 
-@register("f3_one_hot", """
-SELECT k.c_custkey, k.c_nationkey, k.c_acctbal, s.* EXCLUDE (c_custkey), n.* EXCLUDE (c_custkey)
-FROM customer k
-JOIN (PIVOT (SELECT c_custkey, 'c_mktsegment_' || c_mktsegment AS v FROM customer)
-      ON v USING count(*)::INTEGER GROUP BY c_custkey) s USING (c_custkey)
-JOIN (PIVOT (SELECT c_custkey, 'c_name_' || c_name AS v FROM customer)
-      ON v USING count(*)::INTEGER GROUP BY c_custkey) n USING (c_custkey)""")
+@register("f2_label_codes_wide", """
+SELECT value, CAST(dense_rank() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+FROM (SELECT DISTINCT CAST(l_comment AS VARCHAR) AS value FROM (SELECT o_orderkey || '/' || o_orderdate AS l_comment FROM orders))""")
+def f2_label_codes_wide(spark, d):
+    """Codes of a text column with a value per row."""
+    o = table(spark, d, "orders").select(F.concat_ws("/", "o_orderkey", "o_orderdate").alias("label"))
+    return FT.label_codes(o, "label")
+
+
+CUSTOMER_TEXT_SQL = """(SELECT c_custkey, 0 AS pos, 'c_name' AS col, c_name AS v FROM customer WHERE c_name IS NOT NULL
+ UNION ALL SELECT c_custkey, 1, 'c_mktsegment', c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)"""
+
+
+@register("f3_text_dictionary", f"""
+SELECT col AS "column", v AS value, row_number() OVER (ORDER BY pos, v) - 1 AS slot
+FROM (SELECT DISTINCT pos, col, v FROM {CUSTOMER_TEXT_SQL})""")
+def f3_text_dictionary(spark, d):
+    return EN.dictionary(table(spark, d, "customer"), ["c_name", "c_mktsegment"])
+
+
+@register("f3_one_hot", f"""
+WITH t AS {CUSTOMER_TEXT_SQL},
+s AS (SELECT pos, col, v, row_number() OVER (ORDER BY pos, v) + 1 AS slot FROM (SELECT DISTINCT pos, col, v FROM t))
+SELECT c_custkey, 0 AS slot, 'c_nationkey' AS feature, c_nationkey::DOUBLE AS x FROM customer
+UNION ALL SELECT c_custkey, 1, 'c_acctbal', c_acctbal::DOUBLE FROM customer
+UNION ALL SELECT t.c_custkey, s.slot, s.col || '_' || s.v, 1.0::DOUBLE FROM t JOIN s ON s.pos = t.pos AND s.v = t.v""")
 def f3_one_hot(spark, d):
-    return FT.one_hot(table(spark, d, "customer"))
+    """All of ``customer`` as cells; no category becomes a column."""
+    return EN.one_hot_cells(table(spark, d, "customer"), "c_custkey", ["c_name", "c_mktsegment"])
 
 
 @register("f5_split", f"""

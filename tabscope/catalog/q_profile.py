@@ -31,6 +31,18 @@ def value_counts_sql(tbl: str, cols: list[str]) -> str:
         f"FROM {tbl} WHERE {c} IS NOT NULL GROUP BY {c}" for c in cols)
 
 
+def categorical_sql(tbl: str, cols: list[str]) -> str:
+    places = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(cols))
+    return f"""WITH vc AS ({value_counts_sql(tbl, cols)})
+SELECT "column", CAST(CASE "column" {places} END AS INTEGER) AS position,
+       count(*) OVER (PARTITION BY "column") AS unique_values, value, count FROM vc"""
+
+
+def options_sql(tbl: str, cols: list[str]) -> str:
+    return f"""WITH vc AS ({value_counts_sql(tbl, cols)})
+SELECT "column", list_sort(list(value)) AS options FROM vc GROUP BY "column" HAVING count(*) < 20"""
+
+
 @register("c1_numeric_profile", numeric_profile_sql("lineitem", LINE_NUM))
 def c1_numeric_profile(spark, d):
     return rounded(P.numeric_profile(table(spark, d, "lineitem")))

@@ -6,9 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import browse as B
 from ..operators import evaluate as E
 from ..operators import export as X
 from ..operators import features as FT
+from ..operators import insights as I
+from ..plans import ingest as IN
 from ..plans import report as R
 from ..session import checkpoint_dir
 from ..sources import csv as CSV
@@ -18,7 +21,9 @@ from . import register
 from ._common import r, rounded, table
 from .fixtures import PART_NULLS_SQL, part_nulls
 from .q_features import LINE_FIT_SQL, ORDERS_CAT_SQL, _line_fit
-from .q_profile import numeric_profile_sql
+from .q_insights import EV_NUM
+from .q_insights import _examples_sql as examples_sql
+from .q_profile import categorical_sql, numeric_profile_sql, options_sql
 
 
 def _scratch(spark, kind: str) -> str:
@@ -34,6 +39,68 @@ def s1_csv_roundtrip(spark, d):
     return CSV.load_csv(spark, path)
 
 
+BROKEN = """CASE WHEN p_partkey % 5 = 0 THEN p_name || chr(10) || '"' || p_brand || '", ' || chr(10) || 'x' ELSE p_name END"""
+
+
+@register("s1_csv_line_breaks", f"""
+SELECT p_partkey, {BROKEN} AS p_name, p_brand, CAST(p_size AS BIGINT) AS p_size, p_retailprice, p_type FROM part""")
+def s1_csv_line_breaks(spark, d):
+    """Quotes, commas and line breaks inside quoted fields, read with the default
+    options from several files, some of them without any."""
+    path = _scratch(spark, "csv")
+    p = table(spark, d, "part").withColumn("p_name", F.expr(BROKEN.replace("chr(10)", r"'\n'")))
+    p = p.select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice", "p_type")
+    out = p.repartitionByRange(4, F.col("p_partkey") % 5, "p_partkey").write
+    out.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return CSV.load_csv(spark, path)
+
+
+# Rows of orders and events in an order that no column has: by md5 of the key.
+def _shuffled_csv(spark, d, name: str, key: str):
+    path = _scratch(spark, "csv")
+    rows = table(spark, d, name).withColumn("_h", F.md5(F.col(key).cast("string")))
+    rows.repartitionByRange(5, "_h").sortWithinPartitions("_h").drop("_h").write.option("header", True).csv(path)
+    return path
+
+
+def _rows_sql(name: str, key: str) -> str:
+    return f"(SELECT *, row_number() OVER (ORDER BY md5(CAST({key} AS VARCHAR))) - 1 AS k FROM {name})"
+
+
+@register("s1_row_order", f"SELECT o_orderkey, k AS _row FROM {_rows_sql('orders', 'o_orderkey')}")
+def s1_row_order(spark, d):
+    """Row numbers of several CSV files, from the scan's metadata."""
+    out = CSV.load_csv(spark, _shuffled_csv(spark, d, "orders", "o_orderkey"), multi_line=False, row_order="_row")
+    return out.select("o_orderkey", "_row")
+
+
+@register("f1_file_order", f"""
+WITH c AS ({ORDERS_CAT_SQL.replace("FROM orders", "FROM " + _rows_sql("orders", "o_orderkey")).replace(", o_orderkey", ", k")}),
+f AS (SELECT "column", value, min(k) AS first FROM c GROUP BY ALL),
+nd AS (SELECT "column" FROM f GROUP BY 1 HAVING count(*) < 20)
+SELECT "column", value, CAST(row_number() OVER (PARTITION BY "column" ORDER BY first, value) - 1 AS INTEGER) AS code
+FROM f JOIN nd USING ("column")""")
+def f1_file_order(spark, d):
+    """Codes by first appearance in the files; no key is named."""
+    return FT.first_appearance_codes(CSV.load_csv(spark, _shuffled_csv(spark, d, "orders", "o_orderkey"), False))
+
+
+@register("b6_file_order", "SELECT * REPLACE (c_nationkey::BIGINT AS c_nationkey) FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR)) LIMIT 10")
+def b6_file_order(spark, d):
+    return B.preview(CSV.load_csv(spark, _shuffled_csv(spark, d, "customer", "c_custkey"), False))
+
+
+@register("f6_file_order", f"""
+SELECT o_orderkey, CAST(ntile(5) OVER (ORDER BY k) - 1 AS INTEGER) AS fold FROM {_rows_sql('orders', 'o_orderkey')}""")
+def f6_file_order(spark, d):
+    return FT.kfold(CSV.load_csv(spark, _shuffled_csv(spark, d, "orders", "o_orderkey"), False).select("o_orderkey"))
+
+
+@register("i5_file_order", examples_sql(_rows_sql("events", "event_id"), "k", EV_NUM))
+def i5_file_order(spark, d):
+    return I.outlier_examples(CSV.load_csv(spark, _shuffled_csv(spark, d, "events", "event_id"), False))
+
+
 PN_TEXT = ("(SELECT " + ", ".join(
     f"coalesce(CAST({c} AS VARCHAR), 'NA') AS {c}"
     for c in ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
@@ -120,6 +187,56 @@ def s5_profile_cache(spark, d):
     return rounded(again["numeric"])
 
 
+# The CSV of part_nulls, cleaned: all-null rows gone, medians and 'Unknown' filled in.
+CLEANED_SQL = f"""(SELECT p_partkey, p_name, p_brand, COALESCE(p_type, 'Unknown') AS p_type,
+  COALESCE(p_size, (SELECT median(p_size) FROM {PART_NULLS_SQL}))::DOUBLE AS p_size, p_retailprice
+  FROM {PART_NULLS_SQL} WHERE p_partkey IS NOT NULL)"""
+CLEANED_TEXT = ["p_name", "p_brand", "p_type"]
+
+
+def _ingested(spark, d):
+    path = _scratch(spark, "csv")
+    (part_nulls(spark, d).withColumn("_k", F.monotonically_increasing_id()).repartitionByRange(3, "_k")
+     .sortWithinPartitions("_k").drop("_k").write.option("header", True).csv(path))
+    return IN.ingest(spark, path, _scratch(spark, "store"), "part")
+
+
+@register("s5_ingest_table", f"SELECT * FROM {CLEANED_SQL}")
+def s5_ingest_table(spark, d):
+    """CSV to kept table: read, validated, typed, cleaned."""
+    return _ingested(spark, d).table.drop(IN.ROW)
+
+
+@register("s5_ingest_numeric", numeric_profile_sql(CLEANED_SQL, ["p_partkey", "p_size", "p_retailprice"]))
+def s5_ingest_numeric(spark, d):
+    return rounded(_ingested(spark, d).profile["numeric"])
+
+
+@register("s5_ingest_categorical", categorical_sql(CLEANED_SQL, CLEANED_TEXT))
+def s5_ingest_categorical(spark, d):
+    return _ingested(spark, d).profile["categorical"]
+
+
+@register("s5_ingest_options", options_sql(CLEANED_SQL, CLEANED_TEXT))
+def s5_ingest_options(spark, d):
+    return _ingested(spark, d).profile["options"]
+
+
+@register("s5_ingest_card", f"""
+SELECT count(*) AS rows, 6 AS columns, 3 AS numeric_columns, 3 AS categorical_columns FROM {CLEANED_SQL}""")
+def s5_ingest_card(spark, d):
+    return _ingested(spark, d).card
+
+
+@register("s9_ingest_encoders", "\nUNION ALL\n".join(f"""
+SELECT "column", value, CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS code
+FROM (SELECT '{c}' AS "column", {c} AS value, min(p_partkey) AS k, count(*) OVER () AS nd FROM {CLEANED_SQL} GROUP BY {c})
+WHERE nd < 20""" for c in CLEANED_TEXT))
+def s9_ingest_encoders(spark, d):
+    """Encoders by first appearance in the CSV."""
+    return _ingested(spark, d).encoders
+
+
 @register("s9_encoders", f"""
 WITH f AS (SELECT "column", value, min(k) AS first FROM ({ORDERS_CAT_SQL}) GROUP BY ALL),
 nd AS (SELECT "column" FROM f GROUP BY 1 HAVING count(*) < 20)
@@ -157,6 +274,29 @@ def c7_filter_profile(spark, d):
     return rounded(out["numeric"])
 
 
+BUILDING = "(SELECT * FROM customer WHERE lower(CAST(c_mktsegment AS VARCHAR)) = 'building')"
+
+
+def _building(spark, d):
+    return R.filter_profile(table(spark, d, "customer"), {"c_mktsegment": "Building"})
+
+
+@register("c7_card", f"""
+SELECT count(*) AS rows, 5 AS columns, 3 AS numeric_columns, 2 AS categorical_columns FROM {BUILDING}""")
+def c7_card(spark, d):
+    return _building(spark, d)["card"]
+
+
+@register("c7_categorical", categorical_sql(BUILDING, ["c_name", "c_mktsegment"]))
+def c7_categorical(spark, d):
+    return _building(spark, d)["categorical"]
+
+
+@register("c7_options", options_sql(BUILDING, ["c_name", "c_mktsegment"]))
+def c7_options(spark, d):
+    return _building(spark, d)["options"]
+
+
 @register("i13_insight_report")
 def i13_insight_report(spark, d):
     o = table(spark, d, "orders").withColumn(

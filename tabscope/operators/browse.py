@@ -7,6 +7,7 @@ merge of k rows per partition), so no step gathers the table in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 from decimal import Decimal
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.order import PLACE, placed
 from ._long import col
 
 
@@ -78,9 +80,18 @@ def isin_filter(df: DataFrame, filters: Mapping[str, Sequence[object]]) -> DataF
     return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
-def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
-    """First ``n`` rows in key order (``TakeOrderedAndProject``)."""
-    return df.orderBy(*[col(c) for c in order_by]).limit(n)
+def preview(df: DataFrame, order_by: Sequence[str] | None = None, n: int = 10) -> DataFrame:
+    """First ``n`` rows in key order (``TakeOrderedAndProject``), or without
+    keys the first rows of a file scan in file order: those of its first file, if
+    it has enough of them, else of all."""
+    if order_by is not None:
+        return df.orderBy(*[col(c) for c in order_by]).limit(n)
+    rows = placed(df)
+    # The scan's metadata spell a local path with one slash.
+    first = re.sub("^file:/+", "file:/", min(df.inputFiles(), default=""))
+    head = rows.where(F.col("__file") == F.lit(first))
+    rows = head if head.limit(n).count() == n else rows
+    return rows.orderBy(*PLACE).limit(n).drop(*PLACE)
 
 
 def _search_cond(df: DataFrame, term: str, column: str | None) -> Column:

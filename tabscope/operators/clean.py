@@ -17,10 +17,13 @@ from .profile import medians, numeric_stats
 UNKNOWN = "Unknown"
 
 
-def drop_all_null(df: DataFrame) -> DataFrame:
-    """B1: drop rows where every column is null (NaN counts as null)."""
+def drop_all_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """B1: drop rows where every column (of ``columns``) is null (NaN counts as
+    null)."""
     conds = []
     for f in df.schema.fields:
+        if columns is not None and f.name not in columns:
+            continue
         c = col(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             conds.append(c.isNotNull() & ~F.isnan(c))

@@ -91,6 +91,18 @@ def importances(spark, names: Sequence[str], values: Sequence[float], top: int |
     return df.withColumn("percent", F.round(F.col("importance") * 100, 1))
 
 
+def importance_table(names: DataFrame, values: Sequence[float], normalise: bool = False) -> DataFrame:
+    """E3/E4 for names that stay a table: as :func:`importances`, with ``names``
+    ``(slot, feature)``. Only the model's own numbers come from the driver."""
+    vals = [float(abs(v)) for v in values]
+    if normalise:
+        s = sum(vals)
+        vals = [v / s if s else 0.0 for v in vals]
+    table = names.sparkSession.createDataFrame(list(enumerate(vals)), "slot long, importance double")
+    return (names.join(table, "slot").select("feature", "importance", F.round(F.col("importance") * 100, 1).alias("percent"))
+            .orderBy(F.desc("importance"), "feature"))
+
+
 def prediction_sample(df: DataFrame, key: str, n: int = 50) -> DataFrame:
     """≤ ``n`` prediction rows in md5 order of the key (seeded sample)."""
     return df.orderBy(hash_order(key), col(key)).limit(n)

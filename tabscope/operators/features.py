@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.order import PLACE, placed, with_row_order
 from ..types import PROFILE, classify
 from ._long import bounded_broadcast, col, to_long
+from .encoding import label_codes  # noqa: F401  (F2)
 from .rank import row_index
 
 # Fixed value: text columns with fewer distinct values than this get encoders.
 ENCODER_MAX_DISTINCT = 20
 
 
-def first_appearance_codes(df: DataFrame, order_by: str, columns: Sequence[str] | None = None,
+def first_appearance_codes(df: DataFrame, order_by: str | None = None, columns: Sequence[str] | None = None,
                            max_distinct: int | None = ENCODER_MAX_DISTINCT) -> DataFrame:
     """``(column, value, code)``: codes 0, 1, … in order of first appearance
-    (by ``order_by``); NULL is a category of its own.
+    (by ``order_by``, or without it in the row order of a file scan); NULL is a
+    category of its own.
 
     With ``max_distinct`` only columns with fewer distinct values are encoded
     and the per-column numbering window is bounded by that guard. Without it
@@ -27,8 +30,10 @@ def first_appearance_codes(df: DataFrame, order_by: str, columns: Sequence[str]
     come from the distributed :func:`rank.row_index`.
     """
     cols = list(columns) if columns is not None else list(classify(df, PROFILE).categorical)
-    long = to_long(df, cols, numeric=False, keep=[order_by], drop_nulls=False)
-    first = long.groupBy("column", "value").agg(F.min(col(order_by)).alias("_first"))
+    by = [order_by] if order_by is not None else list(PLACE)
+    long = to_long(df if order_by is not None else placed(df), cols, numeric=False, keep=by, drop_nulls=False)
+    at = col(by[0]) if len(by) == 1 else F.struct(*[col(c) for c in by])
+    first = long.groupBy("column", "value").agg(F.min(at).alias("_first"))
     if max_distinct is None:
         if len(cols) != 1:
             raise ValueError("unbounded codes need exactly one column")
@@ -41,22 +46,13 @@ def first_appearance_codes(df: DataFrame, order_by: str, columns: Sequence[str]
                  .select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code")))
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """``(value, code)``: alphabetical codes (scikit ``LabelEncoder``),
-    via ``StringIndexer(stringOrderType='alphabetAsc')``. Labels are classes,
-    so the fitted label list is driver-sized."""
-    idx = StringIndexer(inputCol=column, outputCol="_code", stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(df.select(col(column).cast("string").alias(column)))
-    spark = df.sparkSession
-    return spark.createDataFrame([(v, i) for i, v in enumerate(idx.labels)], "value string, code int")
-
-
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``get_dummies``: numeric columns first, then one 0/1 column
     ``<column>_<value>`` per category of each text column (sorted by value);
     NULL sets all of its columns to 0. The categories become the schema, so
-    they are known to the driver; :func:`one_hot_vector` is the form whose
-    schema does not grow with the data."""
+    they are known to the driver; :func:`tabscope.operators.encoding.one_hot_cells`
+    and :class:`~tabscope.operators.encoding.TextEncoder` give the same cells
+    with a schema that does not grow with the data."""
     cls = classify(df, PROFILE)
     cats = list(columns) if columns is not None else list(cls.categorical)
     if not cats:
@@ -70,19 +66,6 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(*keep, *dummies)
 
 
-def one_hot_vector(columns: Sequence[str], suffix: str = "_ohe") -> list:
-    """F3 for any cardinality: ``StringIndexer(handleInvalid='keep')`` +
-    ``OneHotEncoder`` stages producing sparse vectors (the category names stay
-    in the vector metadata). The last index stands for NULL and unseen values;
-    the encoder drops it, so such rows are all zero."""
-    stages = []
-    for c in columns:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}{suffix}", dropLast=True))
-    return stages
-
-
 def split_bucket(key: str):
     """Deterministic 0..9999 bucket of a key: first 8 hex digits of md5(key)."""
     return F.conv(F.substring(F.md5(col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % 10000
@@ -96,16 +79,18 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2,
                          .otherwise("train"))
 
 
-def kfold(df: DataFrame, order_by: str, k: int = 5, out: str = "fold") -> DataFrame:
-    """``k`` contiguous folds in ``order_by`` order, the first ``n % k`` one
-    row larger (same sizes as ``ntile``), numbered without a global window."""
+def kfold(df: DataFrame, order_by: str | None = None, k: int = 5, out: str = "fold") -> DataFrame:
+    """``k`` contiguous folds in ``order_by`` order (without it in the row order
+    of a file scan), the first ``n % k`` one row larger (same sizes as ``ntile``),
+    numbered without a global window."""
+    rows = with_row_order(df, "_i") if order_by is None else row_index(df, [order_by], "_i")
     n = df.count()
     q, r = divmod(n, k)
     idx = F.col("_i")
     big = r * (q + 1)
     fold = F.when(idx < big, F.floor(idx / F.lit(q + 1))).otherwise(
         F.lit(r) + F.floor((idx - F.lit(big)) / F.lit(max(q, 1))))
-    return row_index(df, [order_by], "_i").withColumn(out, fold.cast("int")).drop("_i")
+    return rows.withColumn(out, fold.cast("int")).drop("_i")
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import pearson, skew_class, skew_corrected, t_two_sided_p
+from ..sources.order import PLACE, placed
 from ..types import INSIGHT, PROFILE, classify
 from ._long import bounded_broadcast, clean_number, col, histogram, order_expr, to_long
 from .profile import medians, numeric_stats
@@ -130,17 +131,19 @@ def _column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
 
 
-def outlier_rows(df: DataFrame, key: str, columns: Sequence[str] | None = None,
+def outlier_rows(df: DataFrame, key: str | None = None, columns: Sequence[str] | None = None,
                  z: float = 3.0) -> DataFrame:
     """The flagged values themselves: ``(column, key, value, z)`` where
     |value − mean| / population std > z. Columns whose sample std is 0 are
-    skipped."""
+    skipped. Without ``key``, a file scan's rows carry their place instead
+    (``sources.order.PLACE``)."""
     cols = list(columns) if columns is not None else numeric_columns(df)
+    keys = [key] if key is not None else list(PLACE)
     stats = _column_stats(df, cols).where(F.col("sd_samp") != 0)
-    long = to_long(df, cols, numeric=True, keep=[key])
+    long = to_long(df if key is not None else placed(df), cols, numeric=True, keep=keys)
     zc = (F.col("value") - F.col("mu")) / F.col("sd_pop")
     return (long.join(bounded_broadcast(stats), "column")
-                .select("column", col(key).alias(key), "value", zc.alias("z"), "rows")
+                .select("column", *[col(k) for k in keys], "value", zc.alias("z"), "rows")
                 .where(F.abs("z") > z))
 
 
@@ -166,12 +169,12 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, z: float = 3.0
                         F.round(F.col("count") * 100.0 / F.col("rows"), 2).alias("percent")))
 
 
-def outlier_examples(df: DataFrame, key: str, columns: Sequence[str] | None = None,
+def outlier_examples(df: DataFrame, key: str | None = None, columns: Sequence[str] | None = None,
                      z: float = 3.0, k: int = 5) -> DataFrame:
-    """First ``k`` outlier values per column in ``key`` order, 2 decimals:
-    ``(column, rank, value)``."""
+    """First ``k`` outlier values per column in ``key`` order (without it in the
+    row order of a file scan), 2 decimals: ``(column, rank, value)``."""
     flagged = outlier_rows(df, key, columns, z)
-    w = Window.partitionBy("column").orderBy(col(key))
+    w = Window.partitionBy("column").orderBy(*[col(c) for c in ([key] if key is not None else PLACE)])
     return (flagged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                    .select("column", "rank", F.round("value", 2).alias("value")))
 

@@ -1,10 +1,11 @@
 """Training pipelines M9 (route) and M10 (library), cross-validation M12,
 importances E3/E4 (SURVEY §2.6–2.7).
 
-Both pipelines are Spark ML ``Pipeline``s: text features go through
-``StringIndexer`` + ``OneHotEncoder`` into sparse vectors (any cardinality),
-numeric ones straight into ``VectorAssembler``. Only model parameters,
-metrics (a handful of numbers) and ≤ 50 sample rows reach the driver.
+Both pipelines are Spark ML ``Pipeline``s: a :class:`~tabscope.operators.encoding.TextEncoder`
+turns numeric and text features into sparse vectors (its dictionary is a table,
+so text columns may have any number of values), behind it stands the model.
+Only model parameters, metrics (a handful of numbers) and ≤ 50 sample rows reach
+the driver.
 """
 
 from __future__ import annotations
@@ -13,9 +14,8 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import OneVsRestModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +25,7 @@ from ..operators import evaluate as E
 from ..operators import features as FT
 from ..operators import models as M
 from ..operators._long import col
+from ..operators.encoding import TextEncoder, TextEncoderModel
 from ..session import materialize
 from ..types import PROFILE, classify
 
@@ -39,21 +40,22 @@ class TrainResult:
     sample: DataFrame
     test: DataFrame
     train: DataFrame
-    features: list[str]
+    names: DataFrame
     task: str
     mapping: DataFrame | None = None
     cv_scores: list[float] = field(default_factory=list)
     record: dict = field(default_factory=dict)
 
+    @property
+    def features(self) -> list[str]:
+        """The names of all feature slots, in order, collected from ``names``."""
+        return [r["feature"] for r in self.names.orderBy("slot").collect()]
 
-def _feature_stages(df: DataFrame, feature_cols: list[str]):
+
+def _encoder(df: DataFrame, feature_cols: list[str]) -> TextEncoder:
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     nums = [c for c in feature_cols if isinstance(dtypes[c], (T.NumericType, T.BooleanType))]
-    texts = [c for c in feature_cols if c not in nums]
-    stages = FT.one_hot_vector(texts)
-    inputs = nums + [f"{c}_ohe" for c in texts]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return stages, nums, texts
+    return TextEncoder(textCols=[c for c in feature_cols if c not in nums], numericCols=nums)
 
 
 def _prepare(df: DataFrame, feature_cols: list[str]) -> DataFrame:
@@ -70,25 +72,11 @@ def _prepare(df: DataFrame, feature_cols: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def feature_names(fitted: DataFrame) -> list[str]:
-    """Names of the assembled vector slots, ``get_dummies`` style
-    (``<column>_<value>`` for one-hot slots)."""
-    meta = fitted.schema["features"].metadata.get("ml_attr", {})
-    attrs = []
-    for group in meta.get("attrs", {}).values():
-        attrs.extend(group)
-    names = [None] * meta.get("num_attrs", len(attrs))
-    for a in attrs:
-        names[a["idx"]] = a.get("name", str(a["idx"])).replace("_ohe_", "_")
-    return names
-
-
-def _fit(estimator, prep: Pipeline, train: DataFrame):
-    if isinstance(estimator, M.KernelRegression):
-        pm = prep.fit(train)
-        km = estimator.fit(pm.transform(train))
-        return _Chain(pm, km)
-    return Pipeline(stages=prep.getStages() + [estimator]).fit(train)
+def _fit(estimator, encoder: TextEncoderModel, vectors: DataFrame):
+    """Fit on the encoder's vectors; the result starts at the raw columns."""
+    model = estimator.fit(vectors)
+    prep = PipelineModel(stages=[encoder])
+    return _Chain(prep, model) if isinstance(estimator, M.KernelRegression) else PipelineModel(stages=[encoder, model])
 
 
 class _Chain:
@@ -101,21 +89,21 @@ class _Chain:
         return self.model.transform(self.prep.transform(df))
 
 
-def _importances(spark, model, names, normalise: bool):
+def _importances(model, names: DataFrame, normalise: bool):
     last = model.stages[-1]
     if isinstance(last, OneVsRestModel):  # M8: mean over the binary models
         each = [m.featureImportances.toArray() for m in last.models]
-        return E.importances(spark, names, (sum(each) / len(each)).tolist())
+        return E.importance_table(names, (sum(each) / len(each)).tolist())
     if hasattr(last, "featureImportances"):
         vals = last.featureImportances.toArray().tolist()
-        return E.importances(spark, names, vals)
+        return E.importance_table(names, vals)
     if hasattr(last, "coefficientMatrix") and last.numClasses > 2:
         mat = last.coefficientMatrix.toArray()
         vals = [float(sum(abs(mat[k][j]) for k in range(mat.shape[0])) / mat.shape[0])
                 for j in range(mat.shape[1])]
-        return E.importances(spark, names, vals, normalise=normalise)
+        return E.importance_table(names, vals, normalise)
     if hasattr(last, "coefficients"):
-        return E.importances(spark, names, last.coefficients.toArray().tolist(), normalise=normalise)
+        return E.importance_table(names, last.coefficients.toArray().tolist(), normalise)
     return None
 
 
@@ -124,13 +112,16 @@ def _metrics_frame(spark, pairs: list[tuple[str, float | None]]) -> DataFrame:
                                  "metric string, value double")
 
 
-def cross_validate(estimator, prep: Pipeline, data: DataFrame, key: str, k: int = 5) -> list[float]:
+def cross_validate(estimator, encoder: TextEncoder, data: DataFrame, key: str, k: int = 5) -> list[float]:
     """R² on each of ``k`` contiguous folds (F6) after fitting on the
-    others; returns the per-fold scores."""
-    folds = materialize(FT.kfold(data, key, k), "folds")
+    others; returns the per-fold scores. The rows are encoded and numbered once,
+    before they are dealt out to folds (a value that only the left-out fold has
+    is an all-zero slot in the others, which no model here gives any weight)."""
+    vectors = encoder.fit(data).transform(data).select(col(key), LABEL, "features")
+    folds = materialize(FT.kfold(vectors, key, k), "folds")
 
     def score(f: int) -> float | None:
-        m = _fit(estimator.copy() if hasattr(estimator, "copy") else estimator, prep, folds.where(F.col("fold") != f))
+        m = (estimator.copy() if hasattr(estimator, "copy") else estimator).fit(folds.where(F.col("fold") != f))
         pred = m.transform(folds.where(F.col("fold") == f))
         return E.regression_metrics(pred, LABEL, "prediction").first()["r2_score"]
 
@@ -162,14 +153,14 @@ def train_route(df: DataFrame, target: str, key: str, model_type: str = "LinearR
         data = df.withColumn(LABEL, col(target).cast("double"))
     feats = [c for c in df.columns if c != target]
     data = _prepare(data, feats)
-    stages, _nums, _texts = _feature_stages(data, feats)
-    prep = Pipeline(stages=stages)
     estimator = M.route_model(model_type, params)
     data = materialize(FT.train_test_split(data, key, test_size), "train")
+    encoder = _encoder(data, feats)
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    cv = cross_validate(estimator, prep, data.drop("split"), key) if use_cross_validation else []
-    model = _fit(estimator, prep, train)
+    cv = cross_validate(estimator, encoder, data.drop("split"), key) if use_cross_validation else []
+    fitted = encoder.fit(train)
+    model = _fit(estimator, fitted, materialize(fitted.transform(train).select(LABEL, "features"), "vectors"))
     pred = model.transform(test)
     row = E.regression_metrics(pred, LABEL, "prediction").first()
     pairs = [(n, row[n]) for n in E.ROUTE_NAMES]
@@ -177,9 +168,8 @@ def train_route(df: DataFrame, target: str, key: str, model_type: str = "LinearR
         mean = sum(cv) / len(cv)
         pairs += [("cv_mean_score", mean),
                   ("cv_std_score", math.sqrt(sum((s - mean) ** 2 for s in cv) / len(cv)))]
-    names = feature_names(model.prep.transform(train.limit(1)) if isinstance(model, _Chain)
-                          else model.transform(train.limit(1)))
-    imp = None if isinstance(model, _Chain) else _importances(spark, model, names, normalise=True)
+    names = fitted.names()
+    imp = None if isinstance(model, _Chain) else _importances(model, names, normalise=True)
     sample = E.prediction_sample(pred.select(col(key), F.col(LABEL).alias("actual"),
                                              F.col("prediction").alias("predicted")), key)
     if categorical:
@@ -224,14 +214,12 @@ def train_library(df: DataFrame, target: str, key: str, model_type: str = "class
     if not pre.get("encode_categorical", True):
         feats = [c for c in feats if c in cls.numeric]
     data = _prepare(data, feats)
-    stages, _n, _t = _feature_stages(data, feats)
-    prep = Pipeline(stages=stages)
     data = materialize(FT.train_test_split(data, key, 0.2), "train")
     train = data.where(F.col("split") == "train")
     test = data.where(F.col("split") == "test")
-    n_train = train.count()
-    estimator = M.library_model(t, task, n_train)
-    model = _fit(estimator, prep, train)
+    fitted = _encoder(data, feats).fit(train)
+    vectors = materialize(fitted.transform(train).select(LABEL, "features"), "vectors")
+    model = _fit(M.library_model(t, task, vectors.count()), fitted, vectors)
     pred = model.transform(test)
     if task == "classification":
         metrics = E.classification_metrics(pred, LABEL, "prediction")
@@ -240,8 +228,8 @@ def train_library(df: DataFrame, target: str, key: str, model_type: str = "class
     else:
         row = E.regression_metrics_library(pred, LABEL, "prediction").first()
         pairs = [(n, row[n]) for n in E.LIBRARY_NAMES]
-    names = feature_names(model.transform(train.limit(1)))
-    imp = _importances(spark, model, names, normalise=False)
+    names = fitted.names()
+    imp = _importances(model, names, normalise=False)
     sample = E.prediction_sample(pred.select(col(key), F.col(LABEL).alias("actual"),
                                              F.col("prediction").alias("predicted")), key)
     return TrainResult(model, _metrics_frame(spark, pairs), imp, sample, test, train, names,

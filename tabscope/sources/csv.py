@@ -8,11 +8,14 @@ date-like text into dates; the source tool keeps dates as text.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import INSIGHT, classify
 from ..operators._long import col
+from .order import numbered, placed
 
 # The text tokens read as missing (pandas ``read_csv`` defaults),
 # the boolean spellings, and the number patterns.
@@ -26,13 +29,44 @@ FLOAT_PATTERN = (r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
                  r"|^[+-]?(inf|Inf|INF|infinity|Infinity)$")
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Header row, comma separated, ``"``-quoted fields (``""`` inside a
-    quote), every field as text. ``multi_line=True`` allows line breaks
-    inside quotes but makes each file one task; leave it off for big inputs."""
+def _reader(spark: SparkSession, multi_line: bool):
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-                 .option("multiLine", multi_line).option("inferSchema", False)
-                 .csv(path))
+                 .option("multiLine", multi_line).option("inferSchema", False))
+
+
+def _parts(spark: SparkSession, path: str, multi_line: bool | None) -> list[tuple[object, bool]]:
+    """The files of a CSV in one or two lots ``(paths, multi_line)``.
+
+    With ``multi_line=None`` one scan of the lines looks for files with line breaks
+    inside quotes: there a line has an odd number of quotes. Only those files are
+    read as wholes (a task each); the others are split into blocks as usual."""
+    if multi_line is not None:
+        return [(path, multi_line)]
+    lines = spark.read.text(path)
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    found = (lines.groupBy("_metadata.file_path").agg(F.max(quotes % 2).alias("odd")).collect())  # a row per file
+    broken = sorted(r["file_path"] for r in found if r["odd"])
+    if not broken:
+        return [(path, False)]
+    others = sorted(r["file_path"] for r in found if not r["odd"])
+    return [(broken, True), *([(others, False)] if others else [])]
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None, row_order: str | None = None) -> DataFrame:
+    """Header row, comma separated, ``"``-quoted fields (``""`` inside a
+    quote, line breaks too), every field as text.
+
+    Files with line breaks inside quotes are found by a scan of their own and read
+    as wholes; ``multi_line=False`` spares that scan where it is known that there are
+    none, ``True`` reads every file as a whole. ``row_order`` adds a column with the
+    rows' 0-based numbers in file order (files by path)."""
+    schema = _reader(spark, False).csv(path).schema
+    out = None
+    for paths, whole in _parts(spark, path, multi_line):
+        part = _reader(spark, whole).schema(schema).csv(paths)
+        part = placed(part) if row_order else part
+        out = part if out is None else out.unionByName(part)
+    return numbered(out, row_order) if row_order else out
 
 
 def raw_header(spark: SparkSession, path: str) -> list[str]:
@@ -43,19 +77,21 @@ def raw_header(spark: SparkSession, path: str) -> list[str]:
     return [] if not row else [v if v is not None else "" for v in row[0]]
 
 
-def malformed_rows(spark: SparkSession, path: str, width: int, multi_line: bool = False) -> int:
+def malformed_rows(spark: SparkSession, path: str, width: int, multi_line: bool | None = None) -> int:
     """Rows with more fields than the header (fewer are filled with NULL). The
     reader gets one column more than the header has; what lands there is extra."""
     fields = ", ".join(f"_{i} string" for i in range(width)) + ", __extra string"
-    rows = (spark.read.schema(fields).option("header", True).option("quote", '"').option("escape", '"')
-                 .option("multiLine", multi_line).option("enforceSchema", True).csv(path))
-    return rows.where(F.col("__extra").isNotNull()).count()
+    return sum(_reader(spark, whole).schema(fields).option("enforceSchema", True).csv(paths)
+               .where(F.col("__extra").isNotNull()).count() for paths, whole in _parts(spark, path, multi_line))
+
+
+def na_columns(columns: Sequence[str], tokens=NA_TOKENS) -> list:
+    return [F.when(col(c).isin(list(tokens)), F.lit(None).cast("string")).otherwise(col(c)).alias(c) for c in columns]
 
 
 def na_to_null(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
     """Missing-value tokens → NULL in every text column."""
-    return df.select(*[F.when(col(c).isin(list(tokens)), F.lit(None).cast("string"))
-                       .otherwise(col(c)).alias(c) for c in df.columns])
+    return df.select(*na_columns(df.columns, tokens))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -83,11 +119,13 @@ def infer_types(df: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*parts)).alias("t")).select("t.*")
 
 
-def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast text columns to the inferred types (NA tokens → NULL first)."""
-    df = na_to_null(df)
-    out = []
-    for c in df.columns:
+def apply_types(df: DataFrame, types: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """Cast text columns to the inferred types (NA tokens → NULL first); columns in
+    ``keep`` stay as they are, at the end."""
+    names = [c for c in df.columns if c not in keep]
+    df = df.select(*na_columns(names), *[col(c) for c in keep])
+    out = [col(c) for c in keep]
+    for c in reversed(names):
         t = types.get(c, "string")
         x = col(c)
         if t == "boolean":
@@ -99,15 +137,17 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
                  .otherwise(x.try_cast("double")))
         elif t == "bigint":
             x = x.try_cast("bigint")
-        out.append(x.alias(c))
+        out.insert(0, x.alias(c))
     return df.select(*out)
 
 
-def load_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """S1 + S2: read a CSV and type its columns (one inference job)."""
-    raw = read_csv(spark, path, multi_line)
-    types = {r["column"]: r["type"] for r in infer_types(raw).collect()}
-    return apply_types(raw, types)
+def load_csv(spark: SparkSession, path: str, multi_line: bool | None = None, row_order: str | None = None) -> DataFrame:
+    """S1 + S2: read a CSV and type its columns (one inference job). ``row_order``
+    as in :func:`read_csv`."""
+    raw = read_csv(spark, path, multi_line, row_order)
+    texts = raw.drop(row_order) if row_order else raw
+    types = {r["column"]: r["type"] for r in infer_types(texts).collect()}
+    return apply_types(raw, types, keep=[row_order] if row_order else [])
 
 
 # The rule names and messages of the validation, in order.
@@ -154,23 +194,32 @@ def verdict(checks: DataFrame) -> DataFrame:
     return spark.createDataFrame([(True, "File validation successful.")], "valid boolean, message string")
 
 
-def validate_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3 for a CSV path: existence and size from the file system, then the
-    table rules on the typed frame."""
+def checked_csv(spark: SparkSession, path: str, multi_line: bool | None = None,
+                row_order: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """S3 for a CSV path with the table it has judged: existence and size from the
+    file system, then the table rules on the typed frame (read once; None if there
+    is nothing to read). Options as in :func:`read_csv`."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(conf)
+    nothing = spark.createDataFrame([], "x string")
     if not fs.exists(p):
-        return validate_frame(spark.createDataFrame([], "x string"), [], exists=False)
+        return validate_frame(nothing, [], exists=False), None
     size = fs.getContentSummary(p).getLength()
     if size == 0:
-        return validate_frame(spark.createDataFrame([], "x string"), [], size=0)
+        return validate_frame(nothing, [], size=0), None
     header = raw_header(spark, path)
-    checks = validate_frame(load_csv(spark, path), header, size=size)
-    extra = malformed_rows(spark, path, len(header))
+    table = load_csv(spark, path, multi_line, row_order)
+    checks = validate_frame(table.drop(row_order) if row_order else table, header, size=size)
+    extra = malformed_rows(spark, path, len(header), multi_line)
     if extra:
         checks = checks.union(spark.createDataFrame(
             [(1, "parses", False, f"Error validating file: {extra} rows have more fields than the header.")],
             checks.schema))
-    return checks
+    return checks, table
+
+
+def validate_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """S3 for a CSV path: the checks of :func:`checked_csv`."""
+    return checked_csv(spark, path, multi_line)[0]
