@@ -11,6 +11,7 @@ text costs a few numbers per word, not per byte.
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -78,7 +79,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches, column: str = "text", limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows of about ``limit`` text bytes (a row
-    is never cut)."""
+    is never cut). Behind the last one, memory that is free goes back to the
+    system: the worker may be kept for tasks of other stages."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -90,6 +92,15 @@ def blocks(batches, column: str = "text", limit: int = BLOCK) -> Iterator[pa.Rec
             stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release()
+
+
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Words:
