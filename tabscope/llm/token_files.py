@@ -55,13 +55,8 @@ MAGIC = b"DAC1"
 
 def chunk_widths(ids: np.ndarray, most: int = 3) -> tuple[int, ...]:
     """Widths of at most ``most`` levels with the fewest bits for ``ids``."""
-    lengths = np.zeros(34, np.int64)
-    if len(ids):
-        bits = np.zeros(len(ids), np.int64)
-        v = ids.astype(np.int64)
-        for k in range(33):
-            bits += (v >> k) > 0
-        lengths += np.bincount(np.maximum(bits, 1), minlength=34)
+    # The binary exponent of an id is its number of bits.
+    lengths = np.bincount(np.maximum(np.frexp(ids.astype(np.float64))[1], 1), minlength=34)
     top = int(np.flatnonzero(lengths)[-1]) if lengths.any() else 1
     longer = np.r_[np.cumsum(lengths[::-1])[::-1], 0]  # ids of at least k bits
     best = None
@@ -76,18 +71,33 @@ def chunk_widths(ids: np.ndarray, most: int = 3) -> tuple[int, ...]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little").tobytes()
+    """Values of ``width`` bits side by side: each 64 of them fill ``width`` words
+    of 64 bits, and the ``j``-th of 64 lies at the same place in all of them."""
+    n = len(values)
+    rows = np.zeros((-(-n // 64), 64), np.uint64)
+    rows.reshape(-1)[:n] = values
+    words = np.zeros((len(rows), width), np.uint64)
+    for j in range(64):
+        at, shift = divmod(j * width, 64)
+        words[:, at] |= rows[:, j] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, at + 1] |= rows[:, j] >> np.uint64(64 - shift)
+    return words.astype("<u8", copy=False).view(np.uint8).reshape(-1)[:-(-n * width // 8)].tobytes()
 
 
 def _unpack(data: np.ndarray, width: int, start: int, stop: int) -> np.ndarray:
-    """Values ``start:stop`` of a packed level."""
+    """Values ``start:stop`` of a packed level: the bytes each one touches (at most
+    5), put together and shifted."""
     if stop <= start:
         return np.zeros(0, np.uint32)
-    a, b = start * width, stop * width
-    bits = np.unpackbits(data[a // 8:-(-b // 8)], bitorder="little")[a % 8:a % 8 + b - a]
-    weight = (1 << np.arange(width, dtype=np.int64))
-    return (bits.reshape(-1, width) @ weight).astype(np.uint32)
+    first = start * width // 8
+    part = np.r_[data[first:-(-stop * width // 8)], np.zeros(5, np.uint8)]
+    bit = np.arange(start * width - 8 * first, stop * width - 8 * first, width)
+    byte = bit >> 3
+    value = part[byte].astype(np.uint64)
+    for k in range(1, (width + 14) // 8):
+        value |= part[byte + k].astype(np.uint64) << np.uint64(8 * k)
+    return ((value >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -298,8 +308,8 @@ def _documents(batches):
             dac, first = Dac(row["code"].as_py()), row["begin"].as_py() + row["first"].as_py()
             off = row["offsets"].values.to_numpy()
             ids = row["doc_ids"].values
-            crc = [zlib.crc32(dac.slice(int(a), int(b)).astype("<u4").tobytes())
-                   for a, b in zip(off[:-1], off[1:])]
+            tokens = memoryview(dac.slice(0, len(dac)).astype("<u4").tobytes())
+            crc = [zlib.crc32(tokens[4 * a:4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(off[:-1] + first), pa.array(np.diff(off)), pa.array(crc, pa.int64())],
                 names=["id", "start", "n_tokens", "ids_crc32"])
