@@ -6,21 +6,26 @@ A node that has to become ``k`` shards is split along its widest dimension
 (extent over the whole table's extent) at the weighted ``(k//2)/k`` quantile,
 until every leaf is one shard of about ``total / n_shards`` bytes.
 
+Coordinates. A source or language counts by its place among the distinct values
+(dense rank of the whole string), a size by itself.
+
 Balance. Coordinates repeat (a hot source holds a third of all rows), so along
 each dimension points are put into one strict order: coordinate, then text
 hash. Medians are taken on that order's ranks, so a split hits its target to
 one point. The few points heavier than 1/64 of a shard (fewer than
 ``64 * n_shards``) stand first in every order, which leaves light points to
 even out the cut. A group heavier than a whole shard cannot be kept together:
-only such a group is cut, by hash of the row's id, into pieces of about a
-quarter of a shard.
+only such a group is cut, along the order of its rows' ids, into equal pieces of
+1/64 of a shard or less; each piece is a light point, and a shard misses its target
+by about one of them.
 
 Defined results: NULL text is an empty text (size 1, crc32 0); NULL source or
 language sorts first; equal rows are separate rows of one group; an empty table
 gives no rows; the caller's columns travel in one struct.
 
 Native: DataFrame operations only. The driver sees one row per tree node (at
-most ``n_shards``) and the few groups heavier than a shard.
+most ``n_shards``); the groups heavier than a shard (fewer than ``n_shards``) are a
+broadcast table.
 """
 
 from __future__ import annotations
@@ -36,10 +41,10 @@ HEAVY = 64  # a point is heavy above 1/HEAVY of a shard
 DIMS = 3
 
 
-def text_code(c: Column) -> Column:
-    """First 6 bytes of a string as a number: keeps the strings' order."""
-    h = F.hex(F.substring(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"), 1, 6))
-    return F.conv(F.rpad(h, 12, "0"), 16, 10).cast("long")
+def text_codes(points: DataFrame, name: str, out: str) -> DataFrame:
+    """Add the 0-based place of ``name`` among its distinct values."""
+    codes = row_index(points.select(name).distinct(), [name], out)
+    return points.join(codes, name)
 
 
 def _rows(docs: DataFrame, cols, id_col, text_col, source_col, lang_col) -> DataFrame:
@@ -48,30 +53,34 @@ def _rows(docs: DataFrame, cols, id_col, text_col, source_col, lang_col) -> Data
         F.struct(*[docs[c] for c in cols]).alias("row"), docs[id_col].alias("__id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("__h"),
-        text_code(docs[source_col]).alias("__x0"), text_code(docs[lang_col]).alias("__x1")),
-        "shard-rows")
+        F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("__source"),
+        F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("__lang")), "shard-rows")
 
 
-def _points(rows: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame, float]:
-    """(rows with their group's piece number, points, total bytes)."""
+def _points(rows: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their group's piece number, points)."""
     key = ["__h", "text_crc32", "size"]
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    target = total / n_shards
+    target = (rows.agg(F.sum("size")).first()[0] or 0) / n_shards
     # Each giant holds more than 1/n_shards of all bytes: fewer than n_shards.
-    giants = (rows.groupBy(*key).agg(F.sum("size").alias("w"))
-                  .where(F.col("w") > F.lit(target)).collect() if total else [])
-    piece = F.lit(0)
-    for g in giants:
-        same = (F.col("__h") == g["__h"]) & (F.col("size") == g["size"]) \
-            & (F.col("text_crc32") == g["text_crc32"])
-        parts = int(-(-4 * g["w"] // max(1, target)))
-        piece = F.when(same, F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(parts))).otherwise(piece)
-    rows = rows.withColumn("__piece", piece.cast("int"))
-    points = rows.groupBy(*key, "__piece").agg(
-        F.sum("size").alias("w"), F.min("__x0").alias("x0"), F.min("__x1").alias("x1"))
+    giants = materialize(rows.groupBy(*key).agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
+                         .where(F.col("w") > F.lit(target))
+                         .select(*key, "n", F.ceil(F.col("w") * HEAVY / F.lit(max(target, 1.0))).alias("parts")), "giants")
+    if giants.isEmpty():
+        rows = rows.withColumn("__piece", F.lit(0))
+    else:
+        apart = rows.join(F.broadcast(giants), key)
+        placed = row_index(apart, [*key, "__id"], "__i")
+        first = placed.groupBy(*key).agg(F.min("__i").alias("__first"))
+        piece = F.floor((F.col("__i") - F.col("__first")) * F.col("parts") / F.col("n")).cast("int")
+        placed = placed.join(F.broadcast(first), key).withColumn("__piece", piece).select(*rows.columns, "__piece")
+        rest = rows.join(F.broadcast(giants), key, "left_anti").withColumn("__piece", F.lit(0))
+        rows = materialize(rest.unionByName(placed), "shard-pieces")
+    points = materialize(rows.groupBy(*key, "__piece").agg(
+        F.sum("size").alias("w"), F.min("__source").alias("__source"), F.min("__lang").alias("__lang")), "points")
+    points = text_codes(text_codes(points, "__source", "x0"), "__lang", "x1").drop("__source", "__lang")
     points = points.withColumn("x2", F.col("size").cast("long")) \
-                   .withColumn("light", F.col("w") <= F.lit(target / HEAVY))
-    return rows, points, total
+                   .withColumn("light", F.col("w") <= F.lit(target / HEAVY) * (1 + 1 / HEAVY))
+    return rows, points
 
 
 def _ranked(points: DataFrame) -> DataFrame:
@@ -139,7 +148,7 @@ def kd_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     cols = docs.columns if carry is None else carry
     rows = _rows(docs, cols, id_col, text_col, source_col, lang_col)
-    rows, points, _ = _points(rows, n_shards)
+    rows, points = _points(rows, n_shards)
     points = materialize(_ranked(points).withColumn("first", F.lit(0))
                          .withColumn("k", F.lit(n_shards)), "points")
     n = points.count()
