@@ -11,6 +11,7 @@ months.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import pearson, skew_class, skew_corrected, t_two_sided_p
+from ..session import materialize
 from ..sources.order import PLACE, placed
 from ..types import INSIGHT, PROFILE, classify
 from ._long import bounded_broadcast, clean_number, col, histogram, order_expr, to_long
@@ -42,16 +44,21 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 # --------------------------------------------------------------------- I1–I3
+#: Columns whose pairs (at most 32,000) are held by the driver.
+FEW_COLUMNS = 250
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(i, j, col1, col2, r, abs_r)`` for every numeric pair i < j, over
     pairwise-complete rows; NULL r when a side is constant.
 
-    Two passes whatever the number of columns. Pass 1: per column count, mean,
-    min, max (one aggregate). Pass 2: the Gram matrix of the mean-centred
-    columns (centring keeps the sums free of cancellation): each task adds up
-    ``X'X``, ``X'M``, ``(X*X)'M`` and ``M'M`` batch by batch, ``M`` being the
-    mask of present values, and sends one row per pair, which are summed. An
-    infinite value makes its column's r NULL.
+    One scan whatever the number of columns: each task adds up ``X'X``, ``X'M``,
+    ``(X*X)'M`` and ``M'M`` batch by batch, ``M`` being the mask of present values
+    and ``X`` the values less a mark near them (the mean of some first rows), and
+    sends one row per pair, which are summed; the diagonal carries count, smallest
+    and largest. A column whose mean turns out to be a thousand standard deviations
+    from its mark (the sums would lose digits) is marked with its mean, and the
+    scan is done again. An infinite value makes its column's r NULL.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     spark = df.sparkSession
@@ -60,11 +67,27 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         return spark.createDataFrame([], schema)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     x = df.select(*[clean_number(c, dtypes[c]).alias(f"x{i}") for i, c in enumerate(cols)])
-    first = x.selectExpr(*[f"{f}(x{i}) AS {f}{i}" for i in range(len(cols)) for f in ("avg", "min", "max")]).first()
-    mean = np.array([first[f"avg{i}"] or 0.0 for i in range(len(cols))])
-    const = [first[f"min{i}"] is None or first[f"min{i}"] == first[f"max{i}"] for i in range(len(cols))]
-    gram = (x.mapInArrow(_gram(mean), "i int, j int, n double, sa double, sb double, qa double, qb double, p double")
-             .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")]))
+    some = np.array(x.limit(1000).toArrow().to_pandas(), dtype=float).reshape(-1, len(cols))
+    finite = np.where(np.isfinite(some), some, np.nan)
+    mark = np.array([float(np.nanmean(v)) if np.isfinite(v).any() else 0.0 for v in finite.T])
+    while True:
+        gram = x.mapInArrow(_gram(mark), GRAM).groupBy("i", "j").agg(
+            *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        # A row per pair: few enough to come here, or else written.
+        gram = spark.createDataFrame(gram.toArrow()) if len(cols) <= FEW_COLUMNS else materialize(gram, "gram")
+        own = {r["i"]: r for r in gram.where("i = j").collect()}  # a row per column
+        const = [i not in own or own[i]["n"] == 0 or own[i]["lo"] == own[i]["hi"] for i in range(len(cols))]
+        far = {}
+        for i, r in own.items():
+            if r["n"] and math.isfinite(r["qa"]):
+                off = r["sa"] / r["n"]
+                if off * off > 1e6 * max(r["qa"] / r["n"] - off * off, 0.0) and not const[i]:
+                    far[i] = mark[i] + off
+        if not any(abs(mark[i] - v) > 1e-9 * abs(v) for i, v in far.items()):
+            break
+        for i, v in far.items():
+            mark[i] = v
+    gram = gram.where("i < j")
     cov = F.col("p") - F.col("sa") * F.col("sb") / F.col("n")
     va, vb = (F.col(q) - F.col(s) * F.col(s) / F.col("n") for q, s in (("qa", "sa"), ("qb", "sb")))
     names = spark.createDataFrame([(i, c, const[i]) for i, c in enumerate(cols)], "k int, name string, const boolean")
@@ -77,26 +100,34 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return out.withColumn("abs_r", F.abs("r"))
 
 
-def _gram(mean: np.ndarray):
-    """Partial Gram sums of one task, one row per pair i < j."""
+GRAM = "i int, j int, n double, sa double, sb double, qa double, qb double, p double, lo double, hi double"
+
+
+def _gram(mark: np.ndarray):
+    """Partial Gram sums of one task, one row per pair i <= j."""
     def run(batches):
-        d = len(mean)
+        d = len(mark)
         n, s, q, p = (np.zeros((d, d)) for _ in range(4))
+        lo, hi = np.full(d, np.inf), np.full(d, -np.inf)
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
             m = ~np.isnan(x)
-            z = np.where(m, x - mean, 0.0)
+            if len(x):
+                lo, hi = np.minimum(lo, np.where(m, x, np.inf).min(0)), np.maximum(hi, np.where(m, x, -np.inf).max(0))
+            z = np.where(m, x - mark, 0.0)
             m = m.astype(float)
             with np.errstate(invalid="ignore", over="ignore"):
                 n += m.T @ m
                 s += z.T @ m
                 q += (z * z).T @ m
                 p += z.T @ z
-        i, j = np.triu_indices(d, 1)
+        i, j = np.triu_indices(d)
+        none = np.where((i == j) & (lo[i] <= hi[i]), 0.0, np.nan)
         yield pa.RecordBatch.from_arrays(
             [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
-             *[pa.array(v) for v in (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])]],
-            names=["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+             *[pa.array(v) for v in (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])],
+             *[pa.array(np.where(np.isnan(none), np.nan, v), from_pandas=True) for v in (lo[i], hi[i])]],
+            names=["i", "j", "n", "sa", "sb", "qa", "qb", "p", "lo", "hi"])
     return run
 
 

@@ -5,9 +5,8 @@ numeric columns go in one wide ``agg`` (partial + final hash aggregate, one
 row out). Everything that needs distinct values – distinct counts, value
 counts, medians, filter options – comes from one ``(column, value)`` group-by
 (:func:`_long.histogram`), which is distributed by value. Exact medians use
-:func:`rank.exact_quantiles` over that histogram instead of the ``median``
-aggregate, whose final buffer would hold every distinct value of a column in
-one task.
+:func:`rank.bracketed_quantiles` instead of the ``median`` aggregate, whose final
+buffer would hold every distinct value of a column in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..types import PROFILE, classify
 from ._long import bounded_broadcast, clean_number, col, histogram, order_expr, text_form, to_long
-from .rank import exact_quantiles
+from .rank import bracketed_quantiles
 
 NUMERIC_PROFILE_SCHEMA = (
     "column string, position int, n bigint, min double, max double, mean double, "
@@ -54,13 +53,17 @@ def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict:
 
 
 def medians(df: DataFrame, columns: Sequence[str], stats: dict | None = None) -> dict:
-    """Exact interpolated median per numeric column (pandas ``median``), by
-    bucket counts straight from the scan: no value is shuffled or kept."""
-    if not columns:
-        return {}
-    stats = stats if stats is not None else numeric_stats(df, columns)
-    values = to_long(df, columns, numeric=True).withColumn("cnt", F.lit(1).cast("long"))
-    return exact_quantiles(values, {c: stats[c][:3] for c in columns}, 0.5)
+    """Exact interpolated median per numeric column (pandas ``median``), by two
+    scans (:func:`rank.bracketed_quantiles`): no value is shuffled but the few that
+    lie near the middle. Columns that ``stats`` shows to be constant need none."""
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    stats = stats or {}
+    known = {c: _f(stats[c][1]) for c in columns if c in stats and (not stats[c][0] or stats[c][1] == stats[c][2])}
+    rest = [c for c in columns if c not in known]
+    if not rest:
+        return known
+    wide = df.select(*[clean_number(c, dtypes[c]).alias(c) for c in rest])
+    return known | bracketed_quantiles(wide)
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 ``median``/``percentile``/``mode`` aggregates and un-partitioned windows keep a
 whole column (all distinct values, or all rows) in one task. At 100 TB that is
-the one reducer that never finishes. The two helpers here do the same work
+the one reducer that never finishes. The helpers here do the same work
 with bounded per-task and per-driver state:
 
 * :func:`exact_quantiles` – exact, interpolated quantiles per group from a
@@ -10,6 +10,8 @@ with bounded per-task and per-driver state:
   counts rows per value bucket (a partial aggregate), the driver picks the
   bucket holding the wanted rank (≤ ``buckets`` rows per search), and the next
   round looks only inside it. Typical data ends after 1–3 rounds.
+* :func:`bracketed_quantiles` – the same quantiles straight from the rows of wide
+  columns, with two scans.
 * :func:`row_index` – 0-based global row numbers in a key order: the engine's
   range exchange, a sort inside each partition, and per-partition offsets.
 """
@@ -19,6 +21,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +71,8 @@ def _bucket_round(h: DataFrame, plan_rows: list, spark) -> dict:
 
 def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
                     group_col: str = "column", value_col: str = "value",
-                    count_col: str = "cnt", distinct: dict | None = None) -> dict:
+                    count_col: str = "cnt", distinct: dict | None = None,
+                    positions: dict | None = None) -> dict:
     """Exact linear-interpolated ``q``-quantile per group (pandas/Spark/DuckDB
     ``median`` semantics for q = 0.5).
 
@@ -77,7 +82,8 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
     caller's wide aggregate). Returns ``{group: quantile}``; groups with n = 0
     map to ``None``. When ``distinct`` is a dict it receives each group's
     number of rows of ``hist`` (distinct values, if it is a histogram), counted
-    in the first round for free.
+    in the first round for free. ``positions`` gives, instead of ``q``, the 0-based
+    ranks to find per group and the weight of the second: ``(k1, k2, frac)``.
 
     A search ends on the driver once its bucket holds at most ``FINISH_ROWS``
     rows, or when no bucket is smaller than its range: then the range holds
@@ -95,7 +101,7 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
             if distinct is not None:
                 distinct[g] = 0
             continue
-        k1, k2, frac = _positions(int(n), q)
+        k1, k2, frac = positions[g] if positions else _positions(int(n), q)
         wanted[g] = (k1, k2, frac)
         if lo == hi:
             result[(g, k1)] = result[(g, k2)] = float(lo)
@@ -169,6 +175,87 @@ def exact_quantiles(hist: DataFrame, stats: dict, q: float = 0.5,
     return out
 
 
+#: Items of the quantile sketch and its rank error (a chance far above 99 %).
+SKETCH_ITEMS = 2048
+SKETCH_ERROR = 0.005
+
+
+def bracketed_quantiles(wide: DataFrame, q: float = 0.5) -> dict:
+    """Exact linear-interpolated ``q``-quantile of every (double) column of ``wide``,
+    NULLs apart, with two scans whatever the data. ``{column: quantile}``; None for a
+    column without values.
+
+    Scan 1 makes a mergeable quantile sketch per column, which brackets the wanted
+    rank. Scan 2 counts, inside each task, the values below the bracket and each value
+    in it (about one in a hundred), column by column; nothing is unpivoted and only
+    these counts are kept. The counts prove that the wanted rank lies in the bracket;
+    the search for it goes on in the kept counts alone. Should a sketch be off by more
+    than its bound, the column is searched by :func:`exact_quantiles`.
+    """
+    spark, cols = wide.sparkSession, wide.columns
+    wide = wide.select(*[col(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    sketch = [F.kll_sketch_agg_double(f"x{i}", F.lit(SKETCH_ITEMS)) for i in range(len(cols))]
+    at = F.array(F.lit(max(0.0, q - SKETCH_ERROR)), F.lit(min(1.0, q + SKETCH_ERROR)))
+    row = wide.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(cols))],
+                   *[s.alias(f"s{i}") for i, s in enumerate(sketch)])
+    row = row.select(*[F.col(f"n{i}") for i in range(len(cols))],
+                     *[F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", at)).alias(f"b{i}")
+                       for i in range(len(cols))]).first()
+    brackets = {i: tuple(row[f"b{i}"]) for i in range(len(cols)) if row[f"n{i}"]}
+    if not brackets:
+        return dict.fromkeys(cols)
+
+    def count(batches):
+        for batch in batches:
+            out = []
+            for i, (lo, hi) in brackets.items():  # a batch's counts are at most its rows
+                v = batch.column(i).to_numpy(zero_copy_only=False).astype(float)  # NULL is NaN, which is nowhere
+                value, n = np.unique(v[(v >= lo) & (v <= hi)], return_counts=True)
+                out.append((np.full(len(value) + 1, i, np.int32), np.r_[value, np.nan], np.r_[n, int((v < lo).sum())]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]), from_pandas=True),
+                 pa.array(np.concatenate([o[2] for o in out]))], ["i", "v", "c"])
+    kept = wide.mapInArrow(count, "i int, v double, c long")
+    expected = sum(row[f"n{i}"] for i in brackets) * 2.5 * SKETCH_ERROR
+    if expected <= FINISH_ROWS * 5:  # the bracket's values are few: all of them come here
+        few = kept.toArrow()
+        code, value, n = (few.column(c).to_numpy() for c in ("i", "v", "c"))
+        sums, here = {}, {}
+        for i in brackets:
+            own = code == i
+            order = np.argsort(value[own], kind="stable")  # NaN, the number below, last
+            v, c = value[own][order], n[own][order]
+            inside = ~np.isnan(v)
+            here[i] = v[inside], np.cumsum(c[inside])
+            sums[str(i)] = {"below": int(c[~inside].sum()), "inside": int(c[inside].sum())}
+    else:
+        here = None
+        kept = materialize(kept.groupBy(F.col("i").cast("string").alias("i"), "v").agg(F.sum("c").alias("c")), "bracket")
+        sums = {r["i"]: r.asDict() for r in kept.groupBy("i").agg(
+            F.sum(F.when(F.col("v").isNull(), F.col("c"))).alias("below"), F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).alias("inside"),
+            F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    stats, places, missed, found = {}, {}, [], {}
+    for i in brackets:
+        r = sums[str(i)]
+        k1, k2, frac = _positions(int(row[f"n{i}"]), q)
+        if not r["below"] <= k1 <= k2 < r["below"] + (r["inside"] or 0):
+            missed.append(i)
+        elif here is not None:
+            v, upto = here[i]
+            a, b = (float(v[np.searchsorted(upto, k - r["below"], "right")]) for k in (k1, k2))
+            found[str(i)] = a if a == b else a + frac * (b - a)
+        else:
+            stats[str(i)], places[str(i)] = (r["inside"], r["lo"], r["hi"]), (k1 - r["below"], k2 - r["below"], frac)
+    if stats:
+        found |= exact_quantiles(kept.where(F.col("v").isNotNull()), stats, q, "i", "v", "c", positions=places)
+    if missed:
+        long = wide.select(F.explode(F.array(*[F.struct(F.lit(str(i)).alias("i"), F.col(f"x{i}").alias("v")) for i in missed])).alias("s"))
+        ends = wide.agg(*[f(f"x{i}").alias(f"{f.__name__}{i}") for i in missed for f in (F.min, F.max)]).first()
+        found |= exact_quantiles(long.select("s.i", "s.v", F.lit(1).cast("long").alias("c")).where(F.col("v").isNotNull()),
+                                 {str(i): (row[f"n{i}"], ends[f"min{i}"], ends[f"max{i}"]) for i in missed}, q, "i", "v", "c")
+    return {c: found.get(str(i)) for i, c in enumerate(cols)}
+
+
 def row_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "_row",
               stored: bool = False) -> DataFrame:
     """Add a 0-based global row number in ``order_cols`` order (nulls first).
