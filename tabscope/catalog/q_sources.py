@@ -11,6 +11,7 @@ from ..operators import evaluate as E
 from ..operators import export as X
 from ..operators import features as FT
 from ..operators import insights as I
+from ..operators import states as SK
 from ..plans import ingest as IN
 from ..plans import report as R
 from ..session import checkpoint_dir
@@ -237,6 +238,49 @@ def s9_ingest_encoders(spark, d):
     return _ingested(spark, d).encoders
 
 
+ORD_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+ORD_TEXT = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
+
+
+def _state_store(spark, d) -> str:
+    """States of orders, a part per month of the year; one part added twice."""
+    store = _scratch(spark, "states")
+    o = table(spark, d, "orders")
+    for m in (*range(1, 13, 3), 4):
+        month = F.month("o_orderdate")
+        ST.add_part(o.where((month >= m) & (month < m + 3)), store, "orders", f"months {m}-{m + 2}")
+    return store
+
+
+@register("s5_states_merged", "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS "column", count({c}) AS n, {r(f'min({c})')} AS min, {r(f'max({c})')} AS max,
+       {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std FROM orders""" for c in ORD_NUM))
+def s5_states_merged(spark, d):
+    """The exact part of a profile merged from the kept states of four parts."""
+    out = ST.stored_profile(spark, _state_store(spark, d), "orders").where("numeric")
+    return rounded(out.select("column", "n", "min", "max", "mean", "std"))
+
+
+@register("s5_states_bounds", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS exact, true AS distinct_within, true AS median_within FROM orders"""
+    for c in [*ORD_NUM, *ORD_TEXT]))
+def s5_states_bounds(spark, d):
+    """Exact distinct counts, and whether the merged sketches keep their bounds: the
+    estimate's relative error, and the rank of the estimated median."""
+    o = table(spark, d, "orders")
+    prof = ST.stored_profile(spark, _state_store(spark, d), "orders")
+    est = {x["column"]: x for x in prof.collect()}
+    cells = []
+    for c in [*ORD_NUM, *ORD_TEXT]:
+        m = est[c]["median"]
+        place = F.struct(*[(F.count_if(F.col(c).cast("double") < m) / F.count(c) <= 0.5 + SK.RANK_ERROR).alias("a"),
+                           (F.count_if(F.col(c).cast("double") <= m) / F.count(c) >= 0.5 - SK.RANK_ERROR).alias("b")]) if m is not None else None
+        cells.append(F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("exact"),
+                              (F.abs(F.count_distinct(c) - F.lit(est[c]["unique_values"])) <= F.count_distinct(c) * SK.DISTINCT_ERROR).alias("distinct_within"),
+                              (place["a"] & place["b"] if place is not None else F.lit(True)).alias("median_within")))
+    return o.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 @register("s9_encoders", f"""
 WITH f AS (SELECT "column", value, min(k) AS first FROM ({ORDERS_CAT_SQL}) GROUP BY ALL),
 nd AS (SELECT "column" FROM f GROUP BY 1 HAVING count(*) < 20)

@@ -66,13 +66,19 @@ def medians(df: DataFrame, columns: Sequence[str], stats: dict | None = None) ->
     return known | bracketed_quantiles(wide)
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """``(column, position, n, min, max, mean, median, std, unique_values)``.
 
     ``std`` is the sample standard deviation (NULL for one value), as pandas.
+    ``exact=False`` takes one scan and shuffles nothing: ``median`` and
+    ``unique_values`` then come from sketches, within the bounds of
+    :mod:`tabscope.operators.states`; the others stay exact.
     """
     spark = df.sparkSession
     cols = _numeric_columns(df, columns)
+    if cols and not exact:
+        from . import states as S
+        return S.profile_of(S.column_states(df.select(*[col(c) for c in cols]))).drop("numeric")
     if not cols:
         return spark.createDataFrame([], NUMERIC_PROFILE_SCHEMA)
     stats = numeric_stats(df, cols)

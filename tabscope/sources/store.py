@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators import profile as P
+from ..operators import states as ST
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -62,6 +63,35 @@ def profile_json(profile: dict[str, DataFrame]) -> DataFrame:
     return num.unionByName(cat)
 
 
+def add_part(df: DataFrame, store: str, dataset_id: str, part: str) -> None:
+    """Keep the profile state of one part (a file, a day) of a dataset: the only scan
+    that a new part needs. A part that is there is replaced."""
+    states = ST.column_states(df).withColumn("part", F.lit(part))
+    (states.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part")
+     .parquet(_part(store, "states", dataset_id)))
+
+
+def drop_part(spark: SparkSession, store: str, dataset_id: str, part: str) -> None:
+    """Take a part out of a dataset's profile."""
+    states = ST.column_states(spark.createDataFrame([], "x double")).limit(0)
+    path = f"{_part(store, 'states', dataset_id)}/part={_escaped(spark, part)}"
+    states.write.mode("overwrite").parquet(path)
+
+
+def _escaped(spark: SparkSession, value: str) -> str:
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def read_states(spark: SparkSession, store: str, dataset_id: str) -> DataFrame:
+    """The kept states of all parts, with their ``part``."""
+    return spark.read.schema(f"{ST.STATE}, part string").parquet(_part(store, "states", dataset_id))
+
+
+def stored_profile(spark: SparkSession, store: str, dataset_id: str) -> DataFrame:
+    """The dataset's profile from the states of its parts; no part is scanned."""
+    return ST.profile_of(ST.merge_states(read_states(spark, store, dataset_id), spread="part"))
+
+
 def save_encoders(codes: DataFrame, store: str, dataset_id: str) -> None:
     """F1 encoders ``(column, value, code)`` per dataset (the source tool
     overwrote one file shared by all datasets)."""
