@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import browse as B
 from ..operators import clean as C
 from . import register
@@ -85,11 +87,22 @@ SELECT count(*) AS matches, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM
 WHERE contains(lower(CAST(c_custkey AS VARCHAR)), 'customer#00000012')
    OR contains(lower(c_name), 'customer#00000012')
    OR contains(lower(CAST(c_nationkey AS VARCHAR)), 'customer#00000012')
+   OR contains(lower(CAST(c_acctbal AS VARCHAR)), 'customer#00000012')
    OR contains(lower(c_mktsegment), 'customer#00000012')
 """)
 def b7_search_summary(spark, d):
-    t = table(spark, d, "customer").drop("c_acctbal")
-    return B.search_summary(t, "Customer#00000012")
+    return B.search_summary(table(spark, d, "customer"), "Customer#00000012")
+
+
+@register("b7_search_numbers", "\nUNION ALL\n".join(f"""
+SELECT '{t}' AS term, count(*) AS matches, CAST(ceil(count(*) / 10.0) AS BIGINT) AS pages FROM customer
+WHERE contains(CAST(c_custkey AS VARCHAR), '{t}') OR contains(lower(c_name), '{t}') OR contains(CAST(c_nationkey AS VARCHAR), '{t}')
+   OR contains(CAST(c_acctbal AS VARCHAR), '{t}') OR contains(lower(c_mktsegment), '{t}')""" for t in ("-12", "99.5", "build")))
+def b7_search_numbers(spark, d):
+    """Any-column search for parts of numbers."""
+    c = table(spark, d, "customer")
+    parts = [B.search_summary(c, t).withColumn("term", F.lit(t)) for t in ("-12", "99.5", "build")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("b8_scatter_sample", """

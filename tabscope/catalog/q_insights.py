@@ -218,6 +218,25 @@ def i11_group_compare(spark, d):
     return I.group_compare(table(spark, d, "customer").select("c_mktsegment", "c_acctbal"))
 
 
+@register("i10_distribution_whole", _dist_sql("events", ["event_id", "user_id"]))
+def i10_distribution_whole(spark, d):
+    """The first two numeric columns, chosen by the operator."""
+    return rounded(I.distribution(table(spark, d, "events")))
+
+
+@register("i11_group_compare_whole", """
+WITH g AS (SELECT CAST(c_name AS VARCHAR) AS category, count(*) AS count, round(avg(c_custkey), 2) AS mean
+           FROM customer WHERE c_name IS NOT NULL GROUP BY 1 ORDER BY count DESC, category LIMIT 3),
+q AS (SELECT *, row_number() OVER (ORDER BY count DESC, category) AS _r FROM g)
+SELECT category, count, mean,
+       category = (SELECT category FROM q ORDER BY mean DESC, _r LIMIT 1) AS is_highest,
+       category = (SELECT category FROM q ORDER BY mean, _r LIMIT 1) AS is_lowest
+FROM q""")
+def i11_group_compare_whole(spark, d):
+    """The first categorical and numeric column, chosen by the operator."""
+    return I.group_compare(table(spark, d, "customer"))
+
+
 LI5 = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
 
 

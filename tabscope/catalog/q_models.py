@@ -19,6 +19,7 @@ from ..session import checkpoint_dir
 from ..sources import model_store as S
 from . import register
 from ._common import r, rounded, table
+from .fixtures import split_key_sql
 
 
 def _part(spark, d):
@@ -136,6 +137,66 @@ def m12_cross_validation(spark, d):
                                  "fold int, r2 double")
 
 
+# A line through orders: train and test rows by md5 of the key, as F5 deals them.
+SPLIT = f"(SELECT o_orderkey AS x, o_custkey AS z, o_totalprice AS y, {split_key_sql('o_orderkey')} >= 2000 AS train FROM orders)"
+LINE = f"(SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM {SPLIT} WHERE train)"
+TEST = f"(SELECT y, y - (a + b * x) AS e FROM {SPLIT}, {LINE} WHERE NOT train)"
+R2 = "1 - sum(e * e) / (var_pop(y) * count(*))"
+
+
+def _line(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+
+
+@register("m9_line", f"""
+SELECT 'r2_score' AS metric, {r(R2, 6)} AS value FROM {TEST}
+UNION ALL SELECT 'mean_absolute_error', {r('avg(abs(e))', 6)} FROM {TEST}
+UNION ALL SELECT 'mean_squared_error', {r('avg(e * e)', 6)} FROM {TEST}
+UNION ALL SELECT 'root_mean_squared_error', {r('sqrt(avg(e * e))', 6)} FROM {TEST}""")
+def m9_line(spark, d):
+    """The route's metrics for a model whose closed form SQL knows."""
+    return rounded(TR.train_route(_line(spark, d), "o_totalprice", "o_orderkey").metrics, 6)
+
+
+@register("m10_line", f"""
+SELECT 'mse' AS metric, {r('avg(e * e)', 6)} AS value FROM {TEST}
+UNION ALL SELECT 'rmse', {r('sqrt(avg(e * e))', 6)} FROM {TEST}
+UNION ALL SELECT 'r2', {r(R2, 6)} FROM {TEST}""")
+def m10_line(spark, d):
+    return rounded(TR.train_library(_line(spark, d), "o_totalprice", "o_orderkey", "regressor").metrics, 6)
+
+
+@register("m11_line", f"SELECT o_orderkey, {r('a + b * o_orderkey', 6)} AS prediction FROM orders, {LINE}")
+def m11_line(spark, d):
+    """Every order scored by the line fitted on the train rows."""
+    res = TR.train_route(_line(spark, d), "o_totalprice", "o_orderkey")
+    return rounded(M.score(res.model, _line(spark, d)).select("o_orderkey", "prediction"), 6)
+
+
+@register("m12_line", f"""
+WITH f AS (SELECT o_orderkey AS x, o_totalprice AS y, ntile(5) OVER (ORDER BY o_orderkey) - 1 AS fold FROM orders),
+m AS (SELECT g.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a
+      FROM f JOIN (SELECT DISTINCT fold FROM f) g ON f.fold <> g.fold GROUP BY g.fold)
+SELECT CAST(f.fold AS INTEGER) AS fold, {r('1 - sum(power(y - a - b * x, 2)) / (var_pop(y) * count(*))', 6)} AS r2
+FROM f JOIN m USING (fold) GROUP BY f.fold""")
+def m12_line(spark, d):
+    """R² of five folds, from one scan."""
+    res = TR.train_route(_line(spark, d), "o_totalprice", "o_orderkey", use_cross_validation=True)
+    return rounded(spark.createDataFrame([(i, float(s)) for i, s in enumerate(res.cv_scores)], "fold int, r2 double"), 6)
+
+
+@register("e4_plane", f"""
+WITH c AS (SELECT covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, covar_pop(x, z) AS xz, var_pop(x) AS xx, var_pop(z) AS zz
+           FROM {SPLIT} WHERE train),
+w AS (SELECT abs(xy * zz - zy * xz) AS x, abs(zy * xx - xy * xz) AS z FROM c),
+i AS (SELECT 'o_orderkey' AS feature, x / (x + z) AS importance FROM w UNION ALL SELECT 'o_custkey', z / (x + z) FROM w)
+SELECT feature, {r('importance', 6)} AS importance, round(importance * 100, 1) AS percent FROM i""")
+def e4_plane(spark, d):
+    """Normalised coefficient importances of two features."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return rounded(TR.train_route(o, "o_totalprice", "o_orderkey").importances, 6)
+
+
 @register("e3_tree_importances")
 def e3_tree_importances(spark, d):
     res = _route(spark, d, "RandomForest")

@@ -176,6 +176,13 @@ def s4_records(spark, d):
     return REC.to_records(c)
 
 
+@register("s4_records_whole", """
+SELECT CAST(to_json(struct_pack(c_custkey := c_custkey, c_name := c_name, c_nationkey := c_nationkey,
+                           c_acctbal := c_acctbal, c_mktsegment := c_mktsegment)) AS VARCHAR) AS record FROM customer""")
+def s4_records_whole(spark, d):
+    return REC.to_records(table(spark, d, "customer"))
+
+
 CUST_NUM = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
@@ -345,6 +352,5 @@ def c7_options(spark, d):
 def i13_insight_report(spark, d):
     o = table(spark, d, "orders").withColumn(
         "days", F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")))
-    return R.insight_report(o.select("o_orderkey", "o_orderdate", "days", "o_totalprice",
-                                     "o_orderstatus", "o_orderpriority"), "o_orderkey",
+    return R.insight_report(o, "o_orderkey",
                             {"o_orderstatus": ["F", "O"]}, "distribution vs priority")

@@ -14,8 +14,12 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import OneVsRestModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,6 +98,8 @@ def _importances(model, names: DataFrame, normalise: bool):
     if isinstance(last, OneVsRestModel):  # M8: mean over the binary models
         each = [m.featureImportances.toArray() for m in last.models]
         return E.importance_table(names, (sum(each) / len(each)).tolist())
+    if isinstance(last, M.KernelRegressionModel):  # only the linear kernel has weights per feature
+        return E.importance_table(names, last.linear.coefficients.toArray().tolist(), normalise) if last.weights is None else None
     if hasattr(last, "featureImportances"):
         vals = last.featureImportances.toArray().tolist()
         return E.importance_table(names, vals)
@@ -112,13 +118,90 @@ def _metrics_frame(spark, pairs: list[tuple[str, float | None]]) -> DataFrame:
                                  "metric string, value double")
 
 
+#: Feature slots up to which a linear model is cross-validated from sums.
+SUM_SLOTS = 512
+
+
+def fold_sums(folds: DataFrame, d: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """``{fold: Z'Z}`` with ``Z = [1, X - mark, y - mark]`` over the rows of each fold
+    and the marks (means of some first rows, so that sums of large numbers keep their
+    digits), in one scan of ``(fold, label, features)``: each task adds up one matrix
+    per fold and sends its upper half."""
+    rows = folds.select(F.col("fold").cast("int").alias("fold"), F.col(LABEL).cast("double").alias("y"), vector_to_array("features").alias("x"))
+
+    def matrix(batch) -> np.ndarray:
+        x = batch.column("x")
+        values = x.values.to_numpy()[x.offset * d:(x.offset + len(x)) * d] if d else np.zeros(0)
+        return np.column_stack([values.reshape(len(x), d), batch.column("y").to_numpy(zero_copy_only=False)])
+    head = rows.limit(1000).toArrow().combine_chunks().to_batches()
+    mark = np.concatenate([matrix(b) for b in head]).mean(0) if head else np.zeros(d + 1)
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            z = matrix(batch) - mark
+            z = np.column_stack([np.ones(len(z)), z])
+            fold = batch.column("fold").to_numpy()
+            for f in np.unique(fold):
+                own = z[fold == f]
+                sums[f] = sums.get(f, 0.0) + own.T @ own
+        i, j = np.triu_indices(d + 2)
+        for f, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), f, np.int32)), pa.array(i.astype(np.int32)),
+                                              pa.array(j.astype(np.int32)), pa.array(s[i, j])], ["fold", "i", "j", "v"])
+    found = rows.mapInArrow(run, "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+    fold, i, j, v = (found.column(c).to_numpy() for c in ("fold", "i", "j", "v"))
+    out = {}
+    for f in np.unique(fold):
+        own = fold == f
+        s = np.zeros((d + 2, d + 2))
+        s[i[own], j[own]] = s[j[own], i[own]] = v[own]
+        out[int(f)] = s
+    return out, mark
+
+
+def _scores_from_sums(sums: dict[int, np.ndarray], mark: np.ndarray, k: int, intercept: bool) -> list[float | None]:
+    """R² on each fold of the least-squares model of the others."""
+    d = len(mark) - 1
+    if not intercept:  # back to the raw values: z + mark
+        shift = np.eye(d + 2)
+        shift[0, 1:] = mark
+        sums = {f: shift.T @ s @ shift for f, s in sums.items()}
+    whole = sum(sums.values())
+    own = slice(0 if intercept else 1, d + 1)
+    scores = []
+    for f in range(k):
+        if f not in sums:
+            scores.append(None)
+            continue
+        test, train = sums[f], whole - sums[f]
+        scale = np.sqrt(np.diag(train)[own])
+        scale[scale == 0] = 1.0
+        beta = np.linalg.lstsq(train[own, own] / np.outer(scale, scale), train[own, -1] / scale, rcond=1e-12)[0] / scale
+        sse = test[-1, -1] - 2 * beta @ test[own, -1] + beta @ test[own, own] @ beta
+        sst = test[-1, -1] - test[0, -1] ** 2 / test[0, 0]
+        sse = max(float(sse), 0.0)
+        noise = 1e-12 * max(float(test[-1, -1]), 1.0)
+        scores.append(1.0 - sse / sst if sst > noise else float(sse <= noise))  # as E1 for a constant target
+    return scores
+
+
 def cross_validate(estimator, encoder: TextEncoder, data: DataFrame, key: str, k: int = 5) -> list[float]:
     """R² on each of ``k`` contiguous folds (F6) after fitting on the
     others; returns the per-fold scores. The rows are encoded and numbered once,
     before they are dealt out to folds (a value that only the left-out fold has
-    is an all-zero slot in the others, which no model here gives any weight)."""
-    vectors = encoder.fit(data).transform(data).select(col(key), LABEL, "features")
+    is an all-zero slot in the others, which no model here gives any weight).
+
+    A linear model of at most ``SUM_SLOTS`` slots is not fitted ``k`` times: the
+    folds' sums of products, from one scan, give each model (all sums less the
+    fold's own) and its score. Other models are refitted for each fold."""
+    coder = encoder.fit(data)
+    vectors = coder.transform(data).select(col(key), LABEL, "features")
     folds = materialize(FT.kfold(vectors, key, k), "folds")
+    if isinstance(estimator, LinearRegression) and estimator.getRegParam() == 0.0 and coder.size <= SUM_SLOTS:
+        sums, mark = fold_sums(folds, coder.size)
+        if all(np.isfinite(s).all() for s in sums.values()):
+            return [s for s in _scores_from_sums(sums, mark, k, estimator.getFitIntercept()) if s is not None]
 
     def score(f: int) -> float | None:
         m = (estimator.copy() if hasattr(estimator, "copy") else estimator).fit(folds.where(F.col("fold") != f))
@@ -169,7 +252,7 @@ def train_route(df: DataFrame, target: str, key: str, model_type: str = "LinearR
         pairs += [("cv_mean_score", mean),
                   ("cv_std_score", math.sqrt(sum((s - mean) ** 2 for s in cv) / len(cv)))]
     names = fitted.names()
-    imp = None if isinstance(model, _Chain) else _importances(model, names, normalise=True)
+    imp = _importances(model, names, normalise=True)
     sample = E.prediction_sample(pred.select(col(key), F.col(LABEL).alias("actual"),
                                              F.col("prediction").alias("predicted")), key)
     if categorical:
