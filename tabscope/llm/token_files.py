@@ -44,8 +44,8 @@ from ._text import IdTable, Words, blocks, spell, utf8
 
 END_ID = 1
 SEGMENT = 1 << 19  # tokens
-BLOCK = 8 << 20  # text bytes encoded together
-CACHE = 600_000  # words a worker remembers
+BLOCK = 4 << 20  # text bytes encoded together
+CACHE = 400_000  # words a worker remembers
 CHUNK = 10_000  # words per call of the tokenizer
 RANK = 512  # bits per entry of the rank directory
 MAGIC = b"DAC1"
