@@ -4,7 +4,8 @@ Base rules find e-mail addresses, IP addresses, card and phone numbers by
 pattern and check digit. They always stay. A semi-Markov conditional random
 field adds spans the patterns miss (a phone number without ``+``, an address
 with blanks around the ``@``): it scores whole candidate segments of up to
-``LONGEST`` tokens by features of the whole span (its shape, numbers of digits,
+``LONGEST`` tokens and ``LONGEST_CHARS`` characters (longer ones are left to the
+patterns, which have no bound) by features of the whole span (its shape, numbers of digits,
 Luhn and octet tests, edges, neighbours), and dynamic programming over segments
 picks boundaries and types jointly.
 
@@ -20,7 +21,8 @@ The weights maximise the conditional likelihood (batched forward-backward).
 Defined results: NULL and empty texts have no spans; positions are code points,
 ends exclusive; spans are ordered by start, then kind as in ``KINDS``; equal rows
 get equal results; without any base span in the sample the base rules alone
-decide; an empty table gives no rows; extra columns are not read.
+decide; an empty table gives no rows; extra columns are not read. The patterns are
+searched in time linear in the text, however long its runs of digits or letters are.
 """
 
 from __future__ import annotations
@@ -40,17 +42,20 @@ from pyspark.sql import functions as F
 from ..session import configure, materialize
 from ._text import blocks
 
-# The base rules.
+# The base rules. Possessive: what a run of characters has taken is
+# never given back, so a search is linear in the text. No match needs it back: each
+# run is followed by a character that it cannot hold.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")  # the rule; searched from the ``@``:
+EMAIL_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SAMPLE = 1200  # training windows
 VARIANTS = 3  # looser forms of a labelled window
 WINDOW_TOKENS = 48  # longest training window
-LONGEST = 16  # tokens of an entity
+LONGEST, LONGEST_CHARS = 16, 128  # tokens and characters of an entity that the model adds
 SLOTS = 1 << 12  # hashed features per type
 ROUNDS, RATE, DECAY = 120, 0.3, 1e-4
 MARGIN = 1.0  # log odds an added span needs against no span
@@ -58,7 +63,7 @@ MARGIN = 1.0  # log odds an added span needs against no span
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ANCHOR = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
+_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -79,14 +84,21 @@ def _octet(part: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the base rules, in order."""
     out = []
-    at = text.find("@")
-    while at >= 0:  # an address lies inside one run of its characters
+    at, free = text.find("@"), 0  # addresses before ``free`` are done
+    while at >= 0:
+        # The local part reaches back over all its characters (no ``@`` is one of them).
         a = at
-        while a > 0 and _EMAIL_RUN.fullmatch(text, a - 1, a):
-            a -= 1
-        b = _EMAIL_RUN.match(text, at).end()
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text, a, b)]
-        at = text.find("@", max(b, at + 1))
+        while a > free and (run := _LOCAL_TAIL.search(text[max(free, a - 64):a]).group()):
+            a -= len(run)
+            if len(run) < 64:
+                break
+        m = EMAIL_DOMAIN.match(text, at) if a < at else None
+        if m:
+            out.append((a, 0, m.end()))
+            free = m.end()
+        else:
+            free = at + 1
+        at = text.find("@", free)
     for m in IP.finditer(text):
         if all(_octet(p) for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
@@ -159,6 +171,8 @@ def segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int,
         if not (text[edge[i]].isalnum() or text[edge[i]] in "+("):
             continue
         for j in range(i + 1, min(i + LONGEST, len(edge) - 1) + 1):
+            if edge[j] - edge[i] > LONGEST_CHARS:
+                break
             if not text[edge[j] - 1].isalnum():
                 continue
             span = text[edge[i]:edge[j]]

@@ -138,3 +138,39 @@ def test_pii_nasty_and_empty(spark, nasty, empty, model):
     assert got[5]["spans"] == "" and got[5]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert pii.find_personal_data(empty, model).count() == 0
     assert pii.train(empty) is None
+
+
+def test_base_rules_equal_plain_patterns_and_are_linear():
+    import random
+    import re
+    import time
+    plain = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+             re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+    def brute(text):
+        out = []
+        for k, pattern in enumerate(plain):
+            for m in pattern.finditer(text):
+                digits = re.sub("[^0-9]", "", m.group())
+                if k == 1 and any(int(p) > 255 for p in m.group().split(".")):
+                    continue
+                if k == 2 and not (12 <= len(digits) <= 19 and pii.luhn(digits)) or k == 3 and not 9 <= len(digits) <= 15:
+                    continue
+                out.append((m.start(), k, m.end()))
+        return sorted(out)
+    rng = random.Random(9)
+    for n in range(4000):
+        text = "".join(rng.choice("a@.1 +-_9%0é4" if n % 2 else "@.a-@.1") for _ in range(rng.randint(0, 60)))
+        assert pii.base_spans(text) == brute(text), text
+    long = "a" * 70 + "@" + "b" * 200 + ".c_" + "d" * 130 + "@e.f 4111-1111 1111 1111 " + "a" * 64 + "@x.y"
+    assert pii.base_spans(long) == brute(long)
+    t = time.time()
+    for text in ("7" * 10_000_000, "1." * 3_000_000, "a" * 3_000_000 + "@ ", "a@" * 1_000_000, "+1" + " " * 3_000_000, "12 " * 1_000_000):
+        pii.base_spans(text)
+    assert time.time() - t < 60  # these took hours
+
+
+def test_long_runs_through_the_whole_operator(spark):
+    model = pii.fit([("call 555 010 9999 now", [(5, 3, 17)]), ("in 2020 or so", [])] * 20)
+    for text in ("7" * 2_000_000, "x 5" * 3 + "y" * 2_000_000 + "@ 4", "9" * 500 + " 12 34 56 78"):
+        assert pii.find(text, model)[0] == []
