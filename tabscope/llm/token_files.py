@@ -13,11 +13,12 @@ segment holds whole documents, about ``SEGMENT`` tokens) and ``parts`` (first
 token of each part). Spark's writer commits them, so a lost task leaves nothing
 behind, and any store Spark can write will do.
 
-Encoding. The tokenizer cuts at white space, so equal words have equal ids: each
+Encoding. Where a tokenizer cuts at white space, equal words have equal ids: each
 block's distinct words are encoded once (with a bounded cache per worker) and
 the texts are put together from them, which gives the same ids as encoding the
 whole text. ASCII words are looked up in lower case and without their final
-punctuation, both of which the tokenizer would cut off or fold itself.
+punctuation where the tokenizer would cut off and fold these itself. A tokenizer
+that does otherwise (:class:`WordEncoder` tries it out) gets the whole texts.
 
 Defined results: NULL and empty texts have the end id only; documents are in
 ascending id order, NULL ids last, repeated ids by text hash; an empty table
@@ -187,14 +188,37 @@ class Dac:
 
 # ---- words to ids ---------------------------------------------------------------
 
+#: Words on which a tokenizer shows what it does with case, punctuation and blanks.
+PROBES = ("a", "the", "Hello", "WORLD", "iPhone", "x1", "1", "42", "2024", "don't", "I'm", "e-mail", "a.b", "3.14", "1,000",
+          "(x", "#tag", "$5", "Straße", "ÉCOLE", "naïve", "日本語", "Привет", "\U0001f600", "co-op's", "A1b2C3", "zzzzzzzzzzzzqqqq")
+MARKS = (".", ",", ";", ":", "!", "?", "...", "?!", ".,")
+
+
 class WordEncoder:
-    """Ids of white-space words by the tokenizers library, cached."""
+    """Ids of white-space words by the tokenizers library, cached.
+
+    What may be done to a text before the tokenizer sees it is asked of the tokenizer
+    itself, on ``PROBES``: ``alone``, whether a text's ids are those of its words, one
+    by one; ``folds``, whether ASCII case makes no difference; ``cuts``, whether final
+    ASCII punctuation is coded by itself. Where one does not hold, it is not done."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.table = IdTable(CACHE)
+        words = PROBES + tuple(w + m for w in PROBES for m in MARKS)
+        own = dict(zip(words, self.encode(list(words))))
+        marks = dict(zip(MARKS, self.encode(list(MARKS))))
+        blanks = (" ", "\n", "  ", " \t\r\n", "\x0b\x0c ")
+        pairs = [(a, b) for a in words for b in PROBES]
+        joined = self.encode([a + blanks[i % len(blanks)] + b for i, (a, b) in enumerate(pairs)])
+        edges = self.encode([blank + w + blank for blank in blanks for w in PROBES])
+        plain = [w for w in words if w.isascii()]
+        self.alone = (all(x == own[a] + own[b] for x, (a, b) in zip(joined, pairs))
+                      and edges == [own[w] for _ in blanks for w in PROBES])
+        self.folds = self.alone and self.encode([w.lower() for w in plain]) == self.encode([w.upper() for w in plain]) == [own[w] for w in plain]
+        self.cuts = self.folds and all(own[w + m] == own[w] + marks[m] for w in PROBES if w.isascii() and w[-1].isalnum() for m in MARKS)
 
     def encode(self, pieces: list[str]) -> list:
         out = []
@@ -205,7 +229,10 @@ class WordEncoder:
 
     def rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size, ids) of distinct words: of an ASCII word in lower case,
-        what stands before its final punctuation, then the punctuation."""
+        what stands before its final punctuation, then the punctuation (if that makes
+        no difference to the tokenizer, else of the words as they are)."""
+        if not self.cuts:
+            return self.table.rows(words.to_pylist(), self.encode)
         plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
         words = pc.if_else(plain, pc.ascii_lower(words), words)
         core = pc.ascii_rtrim(words, characters=".,;:!?")
@@ -232,6 +259,10 @@ def encode_block(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     encoder = _ENCODERS[path]
+    if not encoder.alone:
+        rows = encoder.encode([t or "" for t in column.to_pylist()])
+        ends = np.cumsum([len(r) + 1 for r in rows], dtype=np.int64)
+        return np.fromiter((i for r in rows for i in (*r, END_ID)), np.uint32, int(ends[-1]) if rows else 0), np.r_[0, ends]
     data, off = utf8(column)
     words = Words(data, off)
     edge = np.empty(2 * len(words), np.int64)

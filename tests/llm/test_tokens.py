@@ -106,3 +106,26 @@ def test_codec_nasty(spark, nasty, empty):
     back = pieces.decode_documents(coded, MODEL).select("row.doc_id", "text").collect()
     assert sorted((str(r[0]), r[1]) for r in back) == sorted((str(i), t or "") for i, t, *_ in nasty_rows())
     assert pieces.encode_documents(empty, MODEL).count() == 0
+
+
+def test_other_tokenizers_get_the_librarys_ids(tmp_path):
+    """Shortcuts are taken only where the tokenizer does the same."""
+    import json
+
+    import pyarrow as pa
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from tabscope.llm import token_files as T
+    texts = ["Hello World. It's 3 o'clock!", "  two  blanks\n\tTABS ", "", None, "É ÉCOLE x.y?!", "Hello World.", "日本 3.14,"]
+    plain = json.load(open(path("word_bpe_49k.json")))
+    plain["normalizer"] = None
+    (tmp_path / "plain.json").write_text(json.dumps(plain))
+    for file, alone in ((path("word_bpe_49k.json"), True), (path("byte_bpe_50k.json"), False), (str(tmp_path / "plain.json"), None)):
+        ids, off = T.encode_block(pa.array(texts), file)
+        library = Tokenizer.from_file(file)
+        want = [library.encode(t or "", add_special_tokens=False).ids + [T.END_ID] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
+        assert alone is None or T._ENCODERS[file].alone == alone
+    assert T._ENCODERS[path("word_bpe_49k.json")].cuts
+    assert not T._ENCODERS[str(tmp_path / "plain.json")].folds
