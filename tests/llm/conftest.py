@@ -35,7 +35,9 @@ def nasty_rows():
 
 @pytest.fixture(scope="session")
 def nasty(spark):
-    return spark.createDataFrame(nasty_rows(), COLUMNS).repartition(5).cache()
+    df = spark.createDataFrame(nasty_rows(), COLUMNS).repartition(5).cache()
+    yield df
+    df.unpersist()
 
 
 @pytest.fixture(scope="session")
