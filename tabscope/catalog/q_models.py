@@ -221,9 +221,20 @@ def s10_save_model(spark, d):
     store = _store(spark)
     res = TR.train_route(_part(spark, d), "p_type", "p_partkey", "LinearRegression")
     S.save_model(spark, store, res, dataset_id="part", model_id="model-1")
+    classes = S.load_mapping(spark, store, "model-1").agg(F.count(F.lit(1)).cast("int").alias("classes"))
     return S.load_records(spark, store).select(
-        "id", "name", "target_column", "model_type", "is_categorical_target",
-        F.size("target_mapping").alias("classes"))
+        "id", "name", "target_column", "model_type", "is_categorical_target").crossJoin(F.broadcast(classes))  # one row each
+
+
+@register("s10_target_mapping", """
+WITH f AS (SELECT p_type AS value, min(p_partkey) AS first FROM part GROUP BY 1)
+SELECT value, CAST(row_number() OVER (ORDER BY first, value) - 1 AS INTEGER) AS code FROM f""")
+def s10_target_mapping(spark, d):
+    """The target's codes as kept beside the model."""
+    store = _store(spark)
+    res = TR.train_route(_part(spark, d), "p_type", "p_partkey", "LinearRegression")
+    S.save_model(spark, store, res, dataset_id="part", model_id="model-1")
+    return S.load_mapping(spark, store, "model-1")
 
 
 @register("s11_load_models", """

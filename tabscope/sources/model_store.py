@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("dataset_id", T.StringType()),
@@ -39,8 +41,9 @@ def save_model(spark: SparkSession, store: str, result, dataset_id: str,
     """Write the fitted model and its metadata record; returns the id.
     Id and time are new unless given.
 
-    ``result`` is a :class:`tabscope.plans.train.TrainResult`. The metrics and
-    the target mapping are small (a few numbers; one entry per class).
+    ``result`` is a :class:`tabscope.plans.train.TrainResult`. The metrics are a few
+    numbers; the target mapping, which may have any number of classes, is written as a
+    table beside the record (:func:`load_mapping`).
     """
     model_id = model_id or str(uuid.uuid4())
     path = f"{store.rstrip('/')}/{model_id}"
@@ -56,17 +59,32 @@ def save_model(spark: SparkSession, store: str, result, dataset_id: str,
             "offsets": None if model.model.offsets is None else model.model.offsets.tolist()}),)],
             "params string").coalesce(1).write.mode("overwrite").text(f"{path}/map")
     metrics = {r["metric"]: r["value"] for r in result.metrics.collect()}
-    mapping = ({r["value"] if r["value"] is not None else "NaN": int(r["code"])
-                for r in result.mapping.collect()} if result.mapping is not None else {})
+    if result.mapping is not None:
+        value = F.coalesce("value", F.lit("NaN")).alias("value")
+        result.mapping.select(value, F.col("code").cast("int")).write.mode("overwrite").parquet(_mapping(store, model_id))
     rec = result.record
     row = (model_id, dataset_id, model_name or rec.get("name"), rec.get("target_column"),
            rec.get("model_type"), path, metrics, created_at or dt.datetime.now().isoformat(),
-           bool(rec.get("is_categorical_target", False)), mapping)
+           bool(rec.get("is_categorical_target", False)), {})
     (spark.createDataFrame([row], RECORD_SCHEMA).coalesce(1)
           .write.mode("overwrite").json(f"{store.rstrip('/')}/{model_id}_info"))
     return model_id
 
 
+def _mapping(store: str, model_id: str) -> str:
+    return f"{store.rstrip('/')}/{model_id}_mapping"
+
+
+def load_mapping(spark: SparkSession, store: str, model_id: str) -> DataFrame:
+    """``(value, code)`` of a kept model's target: the table written with it, or what
+    its record holds (records of other tools); no rows for a numeric target."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_mapping(store, model_id))
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.read.parquet(_mapping(store, model_id))
+    return (load_records(spark, store).where(F.col("id") == model_id)
+            .select(F.explode("target_mapping").alias("value", "code")))
+
+
 def load_model(spark: SparkSession, store: str, model_id: str):
     """The kept model with its ``transform``: a Spark ML pipeline, or the prep
     pipeline with the kernel model behind it."""
@@ -98,10 +116,9 @@ def load_records(spark: SparkSession, store: str) -> DataFrame:
 def bad_records(spark: SparkSession, store: str) -> DataFrame:
     """The records that could not be parsed, with their text."""
     raw = _read(spark, store).select("id", F.input_file_name().alias("file"), CORRUPT)
-    # The reader only fills the corrupt-record column when whole rows are
-    # parsed, so the (small) metadata listing is collected before filtering.
-    rows = [(r["file"], r[CORRUPT]) for r in raw.collect() if r[CORRUPT] is not None]
-    return spark.createDataFrame(rows, "file string, text string")
+    # The reader only fills the corrupt-record column when whole rows are parsed, so
+    # they are written before they are filtered.
+    return materialize(raw, "records").where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("text"))
 
 
 def _read(spark: SparkSession, store: str) -> DataFrame:
