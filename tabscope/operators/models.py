@@ -29,6 +29,28 @@ MAX_TREE_DEPTH = 30  # Spark's cap; an unlimited depth maps to it
 TREE_TUNING = {"cacheNodeIds": True, "maxMemoryInMB": 1024}
 
 
+# Bytes of one partition as the fits hold it (dense, 8 bytes a slot): all tables
+# stay below ``PART_BYTES``; smaller ones are dealt out for their CPU time, from
+# ``LEAST_BYTES`` a partition, but not to more than ``SIDE_BY_SIDE``.
+PART_BYTES = 32 << 20
+LEAST_BYTES = 2 << 20
+SIDE_BY_SIDE = 48
+
+
+def partitions(rows: int, slots: int) -> int:
+    """Number of partitions for the fit of ``rows`` vectors of ``slots``."""
+    size = rows * max(slots, 1) * 8
+    return max(1, -(-size // PART_BYTES), min(-(-size // LEAST_BYTES), SIDE_BY_SIDE))
+
+
+def spread(vectors: DataFrame, slots: int, rows: int | None = None) -> DataFrame:
+    """``vectors`` dealt out for an iterative fit. The files are sized by sparse,
+    compressed rows, while a fit keeps them dense and reads them again in each
+    round: without this, one task would hold and reread what one small file holds."""
+    n = partitions(vectors.count() if rows is None else rows, slots)
+    return vectors if n == 1 else vectors.repartition(n)
+
+
 def _depth(v) -> int:
     """``None`` (unlimited) is the engine's deepest tree; a wanted depth beyond
     it is refused, not cut."""
@@ -146,6 +168,7 @@ class KernelRegression:
             rng = np.random.default_rng(SEED)
             weights = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(self.components, d))
             offsets = rng.uniform(0.0, 2.0 * math.pi, size=self.components)
+        df = spread(df, d if weights is None else max(d, self.components), n)
         model = KernelRegressionModel(weights, offsets, None, self.features, self.prediction)  # type: ignore[arg-type]
         lr = LinearRegression(featuresCol="_rff", labelCol=self.label, predictionCol=self.prediction,
                               loss="huber", regParam=1.0 / (self.c * n), elasticNetParam=0.0,
