@@ -78,11 +78,18 @@ def _prepare(df: DataFrame, feature_cols: list[str]) -> DataFrame:
 
 def _fit(estimator, encoder: TextEncoderModel, vectors: DataFrame):
     """Fit on the encoder's vectors; the result starts at the raw columns."""
-    model = estimator.fit(vectors)
+    model = estimator.fit(_dealt(estimator, vectors, encoder.size))
     prep = PipelineModel(stages=[encoder])
     return _Chain(prep, model) if isinstance(estimator, M.KernelRegression) else PipelineModel(stages=[encoder, model])
 
 
+def _dealt(estimator, vectors: DataFrame, slots: int) -> DataFrame:
+    """``vectors`` in partitions fit for the estimator; normal equations take one
+    pass and kernel regression deals out its own features."""
+    once = isinstance(estimator, LinearRegression) and slots <= 4096
+    return vectors if once or isinstance(estimator, M.KernelRegression) else M.spread(vectors, slots)
+
+
 class _Chain:
     """Prep pipeline followed by a non-ML-stage model (kernel regression)."""
 
@@ -204,7 +211,8 @@ def cross_validate(estimator, encoder: TextEncoder, data: DataFrame, key: str, k
             return [s for s in _scores_from_sums(sums, mark, k, estimator.getFitIntercept()) if s is not None]
 
     def score(f: int) -> float | None:
-        m = (estimator.copy() if hasattr(estimator, "copy") else estimator).fit(folds.where(F.col("fold") != f))
+        others = _dealt(estimator, folds.where(F.col("fold") != f), coder.size)
+        m = (estimator.copy() if hasattr(estimator, "copy") else estimator).fit(others)
         pred = m.transform(folds.where(F.col("fold") == f))
         return E.regression_metrics(pred, LABEL, "prediction").first()["r2_score"]
 

@@ -47,3 +47,10 @@ def test_kernel_regression_spreads_its_mapped_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "LinearRegression", Recorder)
     assert given(lambda: M.KernelRegression().fit(one_file(spark, 20_000))) == (8, 20_000)
     assert given(lambda: M.KernelRegression({"kernel": "linear"}).fit(one_file(spark, 20_000))) == (1, 20_000)
+
+
+def test_route_models_get_spread_vectors(spark):
+    from tabscope.plans import train as TR
+    vectors = one_file(spark, 20_000)
+    assert given(lambda: TR._fit(Recorder(), SimpleNamespace(size=100), vectors)) == (8, 20_000)
+    assert given(lambda: TR._fit(Recorder(), SimpleNamespace(size=10), vectors)) == (1, 20_000)
