@@ -21,6 +21,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SEED = 42
 MAX_TREE_DEPTH = 30  # Spark's cap; an unlimited depth maps to it
 # Deep forests: keep node ids per row instead of re-walking the trees each
@@ -204,6 +206,99 @@ def boosting_classification(features="features", label="label", prediction="pred
                      predictionCol=prediction, parallelism=parallelism)
 
 
+MAX_BINS = 32  # of a slot, as in Spark's trees
+BIN_VALUES = 10_000  # distinct values of a slot that are weighed one by one
+
+
+def bin_edges(df: DataFrame, features: str, slots: int, max_bins: int = MAX_BINS) -> list[list[float]]:
+    """Per slot the thresholds between which trees cannot tell values apart, by the
+    rule of Spark's trees, from all rows (Spark draws some 10,000): midpoints at
+    equal shares of the rows. A slot of more than ``BIN_VALUES`` values is cut at
+    its quantiles."""
+    values = df.select(F.posexplode(vector_to_array(F.col(features))).alias("slot", "v"))
+    finite = ~F.isnan("v") & (F.abs("v") < float("inf"))  # else an error, as in Spark's fits
+    values = values.withColumn("v", F.when(finite, F.col("v")).otherwise(
+        F.raise_error(F.lit("Vector values MUST NOT be NaN or Infinity")).cast("double")))
+    counts = materialize(values.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n")), "values")
+    many = {r["slot"] for r in counts.groupBy("slot").agg(F.count(F.lit(1)).alias("k"))
+                                     .where(F.col("k") > BIN_VALUES).collect()}
+    few: dict[int, list] = {}
+    for row in counts.where(~F.col("slot").isin(*many) if many else F.lit(True)).collect():
+        few.setdefault(row["slot"], []).append((row["v"], row["n"]))
+    shares = [k / max_bins for k in range(1, max_bins)]
+    cut = {}
+    if many:
+        wide = (values.where(F.col("slot").isin(*many)).groupBy("slot")
+                      .agg(F.percentile_approx("v", shares, 100_000).alias("q"), F.max("v").alias("top")))
+        cut = {r["slot"]: sorted({q for q in r["q"] if q < r["top"]}) for r in wide.collect()}
+    return [cut[j] if j in cut else _midpoints(sorted(few.get(j, [])), max_bins) for j in range(slots)]
+
+
+def _midpoints(counts: list[tuple[float, int]], max_bins: int) -> list[float]:
+    """Thresholds of one slot from its sorted ``(value, rows)``."""
+    rows = sum(n for _, n in counts)
+    most = min(max_bins, rows) - 1
+    pairs = list(zip(counts, counts[1:]))
+    if len(pairs) <= most:
+        return [(a + b) / 2.0 for (a, _), (b, _) in pairs]
+    out, upto, stride = [], 0, rows / (most + 1)
+    target = stride
+    for (a, n), (b, m) in pairs:
+        upto += n
+        if abs(upto - target) < abs(upto + m - target):
+            out.append((a + b) / 2.0)
+            target += stride
+    return out
+
+
+@dataclass
+class BinnedModel:
+    """Fitted classifier on bin numbers: each combination of bins is scored once."""
+    edges: list[list[float]]
+    model: Model
+    features: str = "features"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = df.withColumn("_bins", _bins(self.features, self.edges))
+        cells = rows.select("_bins").distinct().withColumn(self.features, _bin_vector())
+        found = self.model.transform(cells).drop(self.features)
+        return rows.join(found, "_bins").drop("_bins")
+
+
+def _bins(features: str, edges: list[list[float]]):
+    """The bin of every slot: the number of its thresholds below the value."""
+    cuts = F.array(*[F.array(*[F.lit(float(e)) for e in own]).cast("array<double>") for own in edges])
+    return F.transform(vector_to_array(F.col(features)),
+                       lambda v, j: F.size(F.filter(F.get(cuts, j), lambda e: e < v)))
+
+
+def _bin_vector():
+    return array_to_vector(F.col("_bins").cast("array<double>"))
+
+
+class BinnedClassifier:
+    """M8 over few slots: trees see a value only by its bin (32 per slot), so rows
+    that agree in all bins and the label are one row with their number as weight.
+    The trees are those of all rows; each of the rounds' passes reads as many
+    rows as there are combinations, not as the table has."""
+
+    def __init__(self, features="features", label="label", prediction="prediction"):
+        self.features, self.label, self.prediction = features, label, prediction
+
+    def cells(self, df: DataFrame) -> tuple[DataFrame, list[list[float]]]:
+        """``(_bins, label, _weight, features)`` and the thresholds."""
+        first = df.select(F.size(vector_to_array(F.col(self.features))).alias("d")).first()
+        edges = bin_edges(df, self.features, int(first["d"]) if first else 0)
+        rows = df.select(_bins(self.features, edges).alias("_bins"), self.label)
+        cells = rows.groupBy("_bins", self.label).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+        return materialize(cells.withColumn(self.features, _bin_vector()), "cells"), edges
+
+    def fit(self, df: DataFrame) -> BinnedModel:
+        cells, edges = self.cells(df)
+        est = boosting_classification(self.features, self.label, self.prediction).setWeightCol("_weight")
+        return BinnedModel(edges, est.fit(spread(cells, len(edges))), self.features)
+
+
 # Model names accepted by the training route.
 ROUTE_MODELS = ("LinearRegression", "RandomForest", "GradientBoosting", "SVM")
 
