@@ -19,7 +19,8 @@
    if their parts outside the pivot share enough shingles: ``inter >= percent /
    (100 + percent) * (n + m)``, of which at most ``min(inter_u, inter_v)`` lie in the pivot. So they
    share one of the first shingles of those parts (prefix filter, with sizes and
-   positions), or need none (both nearly inside the pivot). In each such bucket
+   positions; the shingles rarest in the group come first, those of one member
+   count for nothing), or need none (both nearly inside the pivot). In each such bucket
    growing numbers of members serve as pivots, compared with members of other
    components only, until no bucket holds two components: no link is missed.
 6. Components: union-find inside each partition, then star contraction.
@@ -166,13 +167,8 @@ def _sets(batches):
                                          names=["c", "set"])
 
 
-def _prefix(n, percent):
-    """Number of shingles of which a set of ``n`` must share one to be linked."""
-    return n - -(-n * percent // 100) + 1
-
-
-def _overlap(percent: int):
-    """Size of the intersection, and the first shingles of ``y`` outside ``x``."""
+def _overlap(outside: bool):
+    """Size of the intersection; with ``outside``, the shingles of ``y`` outside ``x``."""
     def run(batches):
         for batch in batches:
             a, b = batch.column("set_x"), batch.column("set_y")
@@ -182,7 +178,7 @@ def _overlap(percent: int):
                 at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
                 both = x[at] == y if len(x) else np.zeros(len(y), bool)
                 inter.append(int(np.count_nonzero(both)))
-                rest.append(y[~both][:_prefix(len(y), percent)].view(np.int64))
+                rest.append(y[~both].view(np.int64) if outside else None)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("x", "y", "nx", "ny")], pa.array(inter, pa.int64()),
                  pa.array(rest, pa.list_(pa.int64()))], names=["x", "y", "nx", "ny", "inter", "rest"])
@@ -232,14 +228,14 @@ def components(edges: DataFrame) -> DataFrame:
     return forest.select(F.col("u").alias("c"), F.col("v").alias("comp"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, outside: bool = False) -> DataFrame:
     """``(x, y, nx, ny, inter, rest)`` of candidate pairs ``(x, y)``, on full sets."""
     size = (F.octet_length("set") / 8).cast("long")
     side = [sets.select(F.col("c").alias(k), size.alias(f"n{k}"), F.col("set").alias(f"set_{k}"))
             for k in ("x", "y")]
     full = pairs.join(side[1], "y").join(side[0], "x")
     return full.select("x", "y", "nx", "ny", "set_x", "set_y").mapInArrow(
-        _overlap(percent), "x bigint, y bigint, nx bigint, ny bigint, inter bigint, rest array<bigint>")
+        _overlap(outside), "x bigint, y bigint, nx bigint, ny bigint, inter bigint, rest array<bigint>")
 
 
 def _labels(tested: DataFrame, percent: int) -> DataFrame:
@@ -264,14 +260,15 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     .select("b", "h", (-F.col("x.c")).alias("p")))
     pairs = (buckets.join(pivot, ["b", "h"]).where("c <> p")
                     .select(F.col("p").alias("x"), F.col("c").alias("y")).distinct())
-    tested = materialize(_verify(pairs, sets, percent), "tested")
+    tested = materialize(_verify(pairs, sets, outside=True), "tested")
     labels = _labels(tested, percent)
 
     # Groups of a pivot that hold several components; ``i`` is the part of a
-    # member inside the pivot, ``o`` the number of its shingles outside.
+    # member inside the pivot.
     members = tested.select(F.col("x").alias("p"), F.col("y").alias("c"), F.col("ny").alias("n"),
                             F.col("inter").alias("i"), "rest")
     members = materialize(_several(members, labels, ["p"]), "groups")
+    tested = tested.drop("rest")
 
     def need(n, m):  # least intersection of linked sets, times (100 + percent)
         return (n + m) * percent
@@ -280,30 +277,34 @@ def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # The partner is at least as large as the group's smallest, and percent of n.
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     free = (members.where(F.col("i") * whole >= need(F.col("n"), partner))
-                   .select("p", F.lit(0).cast("long").alias("t"), F.lit(-1).alias("at"), "c", "n", "i"))
-    shared = members.select("p", "c", "n", "i", "least", F.posexplode("rest").alias("at", "t"))
-    shared = (shared.where((F.col("i") + (F.col("n") - F.col("i") - F.col("at"))) * whole
-                           >= need(F.col("n"), partner)).select("p", "t", "at", "c", "n", "i"))
+                   .select("p", F.lit(0).cast("long").alias("t"), F.lit(True).alias("b"),
+                           F.lit(0).alias("left"), "c", "n", "i"))
+    # Shingles outside the pivot that several members have, the rarest of the group
+    # first; ``left`` is their number from this one on. Those of one member link nothing.
+    outside = members.select("p", "c", "n", "i", "least", F.explode("rest").alias("t"))
+    common = outside.groupBy("p", "t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    last = Window.partitionBy("p", "c").orderBy(F.desc("f"), F.desc("t"))
+    shared = (outside.join(common, ["p", "t"]).withColumn("left", F.row_number().over(last))
+                     .where((F.col("i") + F.col("left")) * whole >= need(F.col("n"), partner))
+                     .select("p", "t", F.lit(False).alias("b"), "left", "c", "n", "i"))
     rows, key, pivots = materialize(free.union(shared), "shared"), ["p", "t", "b"], 1
-    rows = rows.withColumn("b", F.col("at") < 0)
     while True:
         rows = materialize(_several(rows.drop("comp", "least"), labels, key), "open")
         if rows.isEmpty():
             return labels
         pivots *= PIVOTS
         part = F.pmod(F.xxhash64("c", F.lit(pivots)), F.lit(pivots)).alias("s")
-        chosen = (rows.groupBy(*key, part).agg(F.min(F.struct("at", "c", "comp", "n", "i")).alias("v"))
+        chosen = (rows.groupBy(*key, part).agg(F.max(F.struct("left", "c", "comp", "n", "i")).alias("v"))
                       .select(*key, "v"))
         n, m = F.col("n"), F.col("v.n")
         inside = F.least(F.col("i"), F.col("v.i"))
-        outside = F.when(F.col("b"), 0).otherwise(F.least(n - F.col("i") - F.col("at"),
-                                                          m - F.col("v.i") - F.col("v.at")))
+        outside = F.least(F.col("left"), F.col("v.left"))
         possible = ((F.col("comp") != F.col("v.comp")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
                     & ((inside + outside) * whole >= need(n, m)))
         pairs = (rows.join(chosen, key).where(possible)
                      .select(F.least("c", "v.c").alias("x"), F.greatest("c", "v.c").alias("y")).distinct())
         known = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = materialize(_verify(pairs.join(known, ["x", "y"], "left_anti"), sets, percent), "tested")
+        more = materialize(_verify(pairs.join(known, ["x", "y"], "left_anti"), sets).drop("rest"), "tested")
         if not more.isEmpty():
             tested = tested.unionByName(more)
             labels = _labels(tested, percent)

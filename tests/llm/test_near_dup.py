@@ -64,6 +64,27 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, pivots, edges):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute(rows)
 
 
+def test_shingles_that_many_share_do_not_bring_pairs(spark, monkeypatch):
+    """Texts of one template with one of four passages and a tail of their own: none
+    is linked with another but by a late edit, so few pairs need a comparison."""
+    base, passages = prose(70, 100).split(), [prose(71 + k, 14).split() for k in range(4)]
+    tails = [[f"t{k}x{i}" for i in range(16)] for k in range(80)]
+    texts = [" ".join(base + passages[k % 4] + t) for k, t in enumerate(tails)]
+    texts += [t.rsplit(" ", 1)[0] + " edited" for t in texts[:10]]
+    rows, compared, verify = list(enumerate(texts)), [], N._verify
+
+    def counted(pairs, *args, **kwargs):
+        compared.append(pairs.count())
+        return verify(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(N, "_verify", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = N.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute(rows)
+    assert len({r[2] for r in got}) == 80  # the edited ones are found, beside any pivot
+    assert sum(compared[1:]) <= len(texts)  # after those with the pivots
+
+
 def test_nasty(spark, nasty):
     got = N.near_duplicates(nasty).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == brute([r[:2] for r in nasty_rows()])
