@@ -35,7 +35,7 @@ from ._text import IdTable, blocks, spell, utf8
 BLANK = "▁"
 CACHE = 200_000  # cuts a worker remembers
 PAIRS = 200_000  # neighbours a worker remembers
-BLOCK = 4 << 20  # text bytes encoded together
+BLOCK = 2 << 20  # text bytes encoded together
 
 
 class Vocabulary:

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import configure
-from ._text import Words, blocks, mix, span_hashes, utf8, window_hashes
+from ._text import SEGMENT, Words, blocks, mix, span_hashes, utf8, window_hashes
 
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20  # words; percent
 SAMPLE = 3000  # labelled rows used for training and calibration
 THRESHOLD = 0.5
+BLOCK = 512 << 10  # text bytes judged together: workers may still hold other steps' caches
 WORD_BITS, CHAR_BITS = 16, 15
 ROUNDS, RATE, DECAY = 200, 0.5, 1e-6
 
@@ -59,8 +60,10 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
     rows = len(off) - 1
 
     def per_row(mask: np.ndarray) -> np.ndarray:
-        c = np.r_[0, np.cumsum(mask, dtype=np.int64)]
-        return c[off[1:]] - c[off[:-1]]
+        c = np.zeros(rows, np.int64)
+        for a in range(0, len(mask), SEGMENT):
+            c += np.diff(np.searchsorted(a + np.flatnonzero(mask[a:a + SEGMENT]), off))
+        return c
 
     inside = np.zeros(len(data) + 1, np.int8)
     inside[words.start] += 1
@@ -96,18 +99,23 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
 
 
 def _families(words: Words, h: np.ndarray):
-    """Per family: slot and row of every n-gram."""
+    """Per family: the parts of it, each slot and row of its n-grams in order."""
     pair, at = window_hashes(h, words.row, words.first, 2)
     slots = np.r_[h, pair] >> _U(64 - WORD_BITS)
-    yield slots.astype(np.int64), np.r_[words.row, words.row[at]]
-    data, off = words.data, words.off
-    if len(data) < 3:
-        return
-    gram = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << 8 | data[2:].astype(np.uint32) << 16
-    slots = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    inside = row[:-2] == row[2:]
-    yield (1 << WORD_BITS) + slots[inside].astype(np.int64), row[:-2][inside]
+    yield [(slots.astype(np.int64), np.r_[words.row, words.row[at]])]
+    yield _bytes(words)
+
+
+def _bytes(words: Words):
+    """Slot and row of every 3-gram of bytes, ``SEGMENT`` bytes of text at a time."""
+    rows = np.arange(len(words.off) - 1)
+    for a in range(0, len(words.data) - 2, SEGMENT):
+        data = words.data[a:a + SEGMENT + 2]
+        gram = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << 8 | data[2:].astype(np.uint32) << 16
+        slots = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - CHAR_BITS)
+        row = np.repeat(rows, np.diff(np.clip(words.off, a, a + len(data))))
+        inside = row[:-2] == row[2:]
+        yield (1 << WORD_BITS) + slots[inside].astype(np.int64), row[:-2][inside]
 
 
 @dataclass
@@ -121,27 +129,39 @@ class Model:
 
     def probability(self, words: Words, h: np.ndarray) -> np.ndarray:
         rows = len(words.off) - 1
-        score = np.full(rows, self.bias)
-        for slots, row in _families(words, h):
-            n = np.bincount(row, minlength=rows)
-            score += np.bincount(row, weights=self.weights[slots], minlength=rows) / np.maximum(n, 1)
+        score, each = np.full(rows, self.bias), np.arange(rows)
+        for family in _families(words, h):
+            n, total = np.zeros(rows, np.int64), np.zeros(rows)
+            for slots, row in family:  # the sums go on where the part before ended
+                n += np.bincount(row, minlength=rows)
+                total = np.bincount(np.r_[each, row], weights=np.r_[total, self.weights[slots]], minlength=rows)
+            score += total / np.maximum(n, 1)
         return 1.0 / (1.0 + np.exp(-np.clip(self.a * score + self.b, -30, 30)))
 
 
+def _counted(family) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``row << 32 | slot`` of a family, ascending, and their numbers."""
+    key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for slots, row in family:
+        new, n = np.unique(row << 32 | slots, return_counts=True)
+        key, at = np.unique(np.r_[key, new], return_inverse=True)
+        count = np.bincount(at, weights=np.r_[count, n], minlength=len(key)).astype(np.int64)
+    return key, count
+
+
 def _features(batches):
     """(y, test, slot list, value list) per labelled text."""
-    for batch in blocks(batches):
+    for batch in blocks(batches, limit=BLOCK):
         data, off = utf8(batch.column("text"))
         words = Words(data, off)
         rows = len(off) - 1
         keys, values = [], []
-        for slots, row in _families(words, words.hashes()):
-            n = np.bincount(row, minlength=rows)
-            key, count = np.unique(row << 32 | slots, return_counts=True)
+        for family in _families(words, words.hashes()):
+            key, count = _counted(family)
+            n = np.bincount(key >> 32, weights=count, minlength=rows)
             keys.append(key)
             values.append(count / n[key >> 32])
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        value = np.concatenate(values).astype(np.float32) if keys else np.zeros(0, np.float32)
+        key, value = np.concatenate(keys), np.concatenate(values).astype(np.float32)
         order = np.argsort(key >> 32, kind="stable")
         key, value = key[order], value[order]
         edge = np.searchsorted(key >> 32, np.arange(rows + 1)).astype(np.int32)
@@ -243,7 +263,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     names = [f.split()[0] for f in SCORED.split(", ")]
 
     def run(batches):
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=BLOCK):
             got = judge(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *[pa.array(got[n]) for n in names[1:]]], names=names)
@@ -255,7 +275,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are kept. No shuffle."""
     def run(batches):
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, text_col, BLOCK):
             kept = judge(batch.column(text_col), model)["kept"]
             yield batch.filter(pa.array(kept))
 

@@ -10,7 +10,7 @@ import pytest
 from tabscope.llm import pii, quality
 
 from ..conftest import SF01
-from .conftest import nasty_rows
+from .conftest import nasty_rows, prose
 
 
 def plain_counts(t):
@@ -39,6 +39,37 @@ def test_base_counts():
         assert bool(got["base_failed"][i]) == (n < 10 or 100 * rep > 20 * n)
 
 
+def test_memory_of_a_judging_worker_is_bounded():
+    """Beside a batch of 6 MB a worker holds little, in training and in judging, and parts of a family change nothing."""
+    import tracemalloc
+
+    import numpy as np
+    prose_ = prose(11, 250_000)
+    texts = [prose_[a:a + 1000] for a in range(0, len(prose_), 1000)] * 4
+    ones = pa.array(np.ones(len(texts), np.int32))
+    batch = pa.RecordBatch.from_arrays([ones, ones.cast(pa.bool_()), pa.array(texts)], ["y", "test", "text"])
+    model = quality.Model(np.random.default_rng(1).normal(size=(1 << 16) + (1 << 15)).astype(np.float32), 0.1, 1.5, 0.2)
+
+    def judged():
+        for b in quality.blocks([batch], limit=quality.BLOCK):
+            yield b.num_rows, quality.judge(b.column("text"), model)["kept"].sum()
+
+    for run in (judged, lambda: quality._features([batch])):
+        tracemalloc.start()
+        for _ in run():
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 << 20, peak  # 212 MB before
+
+    words = quality.Words(*quality.utf8(pa.array([prose_, None, "ab", "abc"])))
+    score = np.full(4, model.bias)
+    for family in quality._families(words, words.hashes()):  # all at once
+        slots, row = (np.concatenate(x) for x in zip(*family))
+        score += np.bincount(row, weights=model.weights[slots], minlength=4) / np.maximum(np.bincount(row, minlength=4), 1)
+    assert np.array_equal(model.probability(words, words.hashes()), 1 / (1 + np.exp(-np.clip(1.5 * score + 0.2, -30, 30))))
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
