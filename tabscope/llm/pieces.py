@@ -66,6 +66,7 @@ class Vocabulary:
         self._fits: dict[tuple[str, str], bool] = {}
         for p in [p for p in self.id if len(p) > 1 and self.shape(p) is None]:
             del self.id[p]  # no merge sequence ends in it
+        self._own = {p: p for p in self.id}  # one string object per piece for the pairs remembered
         # Pieces by their characters from the last to the first; "" marks one.
         self.backward: dict = {}
         for p in self.id:
@@ -142,7 +143,7 @@ class Vocabulary:
                 j += 1
         if len(self._fits) >= PAIRS:
             self._fits.clear()
-        self._fits[a, b] = out
+        self._fits[self._own.get(a, a), self._own.get(b, b)] = out
         return out
 
     def ids(self, piece: str) -> tuple[int, ...]:
