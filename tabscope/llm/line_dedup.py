@@ -11,16 +11,17 @@ same one) is a later copy and is deleted; its first occurrence stays.
    rank_k(i + 2**k))`` among the pairs that occur twice or more. That is the
    suffix array sorted to depth ``2**(k+1)``, without its unique suffixes. Ranks
    are distributed row numbers over the distinct pairs.
+   The doubling ends when no pair occurs twice, so at the longest repeated run.
 3. LCP intervals: the suffixes that agree on their first ``n`` lines are one
-   interval with longest common prefix ``>= n``. For each line the shortest run
-   that begins (and the shortest that ends) there with ``MIN_WORDS`` words is
-   looked up: its ``n`` lines are named by two overlapping ranks of depth
+   interval with longest common prefix ``>= n``. Looked up are, at every depth,
+   the runs of ``2**k`` lines with enough words and, for each line, the shortest
+   run that begins (and the shortest that ends) there with ``MIN_WORDS`` words:
+   its ``n`` lines are named by two overlapping ranks of depth
    ``2**floor(log2 n)``. All occurrences but the interval's first are deleted.
 
-Every maximal repeated run of enough words is a union of such shortest runs, and
-each of them lies in one, so the deleted lines are exactly those of the later
-copies of all maximal runs; sorting deeper than ``MIN_WORDS`` lines changes
-nothing, so the doubling stops after ``log2(MIN_WORDS)`` rounds.
+Every maximal repeated run of enough words is a union of such runs, and each of
+them lies in one, so the deleted lines are exactly those of the later copies of
+all maximal runs.
 
 Defined results: NULL and empty texts have no lines; lines without a word are
 kept and interrupt nothing; rows that repeat an id and its text are one
@@ -38,7 +39,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.rank import row_index
@@ -104,40 +105,70 @@ def _ranks(rows: DataFrame, by: list[str]) -> DataFrame:
     return row_index(several, by, "r", stored=False)
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """``(lines, deleted)``: all lines with words ``(nul, id0, th, e, …)`` and
-    the deleted ones ``(nul, id0, th, e)``; ``e`` counts a text's lines that
-    hold a word, from 1."""
+def _intervals(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """``(lines, named)``: all lines with words, and every repeated run that is
+    looked up: where it begins ``(nul, id0, th, e)``, its ``n`` lines and its
+    name ``(n, a, b)``, which is the same for equal runs only."""
     configure(docs.sparkSession)
     lines = materialize(_keyed(docs, id_col, text_col).mapInArrow(_lines(min_words), LINES), "lines")
     at = [*DOC, "e"]
     rank = lines.join(_ranks(lines, ["h1", "h2"]), ["h1", "h2"]).drop("h1", "h2")
     rank = materialize(rank.dropDuplicates(at), "rank")
-    named = rank.where("forward = 1 or backward = 1").select(
-        *at, F.lit(1).alias("n"), F.col("r").alias("a"), F.col("r").alias("b"))
+    whole = [*at, F.lit(1).alias("n"), F.col("r").alias("a"), F.col("r").alias("b")]
+    named = rank.where("forward = 1").select(*whole)
     runs = rank.where("forward > 1").select(*at, F.col("forward").alias("n")).union(
         rank.where("backward > 1").select(*DOC, (F.col("e") - F.col("backward") + 1).alias("e"),
                                           F.col("backward").alias("n"))).distinct()
     runs = materialize(runs, "runs")
-    rank, depth = rank.select(*at, "r"), 1
-    while 2 * depth <= min_words:
+    rank, depth = rank.select(*at, "forward", "r"), 1
+    while True:
         ahead = rank.select(*DOC, (F.col("e") - depth).alias("e"), F.col("r").alias("r2"))
         pairs = materialize(rank.withColumnRenamed("r", "r1").join(ahead, at), "pairs")
-        rank = materialize(pairs.join(_ranks(pairs, ["r1", "r2"]), ["r1", "r2"]).select(*at, "r"), "rank")
+        rank = pairs.join(_ranks(pairs, ["r1", "r2"]), ["r1", "r2"]).select(*at, "forward", "r")
+        rank = materialize(rank, "rank")
         depth *= 2
-        # Runs of depth to 2 * depth - 1 lines: first and last ``depth`` lines.
-        mine = runs.where((F.col("n") >= depth) & (F.col("n") < 2 * depth))
-        tail = rank.select(*DOC, F.col("e").alias("t"), F.col("r").alias("b"))
-        named = named.union(
-            mine.join(rank.withColumnRenamed("r", "a"), at).withColumn("t", F.col("e") + F.col("n") - depth)
-                .join(tail, [*DOC, "t"]).select(*at, "n", "a", "b"))
-    named = materialize(named, "named")
-    first = (named.groupBy("n", "a", "b").agg(F.min(F.struct(*at)).alias("first"), F.count(F.lit(1)).alias("k"))
-                  .where("k > 1").drop("k"))
-    later = named.join(first, ["n", "a", "b"]).where(F.struct(*at) > F.col("first"))
-    gone = later.select(*DOC, F.explode(F.sequence(F.col("e"), F.col("e") + F.col("n") - 1)).alias("e"))
-    return lines, materialize(gone.distinct(), "deleted")
+        if rank.isEmpty():  # no run of this many lines occurs twice
+            break
+        whole[-3] = F.lit(depth).alias("n")
+        named = named.union(rank.where(F.col("forward").between(1, depth)).select(*whole))
+        if depth < min_words:
+            # Shortest runs of more than depth, to 2 * depth - 1 lines: first and last ``depth`` lines.
+            mine = runs.where((F.col("n") > depth) & (F.col("n") < 2 * depth))
+            first = rank.select(*at, F.col("r").alias("a"))
+            tail = rank.select(*DOC, F.col("e").alias("t"), F.col("r").alias("b"))
+            named = named.union(
+                mine.join(first, at).withColumn("t", F.col("e") + F.col("n") - depth)
+                    .join(tail, [*DOC, "t"]).select(*at, "n", "a", "b"))
+    return lines, materialize(named, "named")
+
+
+def _places(named: DataFrame) -> DataFrame:
+    """``(n, a, b, first, copies)``: the runs that occur twice or more."""
+    first = F.min(F.struct(*DOC, "e")).alias("first")
+    return named.groupBy("n", "a", "b").agg(first, F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  min_words: int = MIN_WORDS) -> DataFrame:
+    """``(n, copies, first)``: the LCP intervals of :func:`later_copies`: lines of the
+    run, its occurrences, and the place ``(nul, id0, th, e)`` of the first one."""
+    return _places(_intervals(docs, id_col, text_col, min_words)[1]).select("n", "copies", "first")
+
+
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``(lines, deleted)``: all lines with words ``(nul, id0, th, e, …)`` and
+    the deleted ones ``(nul, id0, th, e)``; ``e`` counts a text's lines that
+    hold a word, from 1."""
+    lines, named = _intervals(docs, id_col, text_col, min_words)
+    at = [*DOC, "e"]
+    later = named.join(_places(named), ["n", "a", "b"]).where(F.struct(*at) > F.col("first"))
+    # The runs of one document overlap: each adds the lines behind those before it.
+    far = later.groupBy(*at).agg(F.max(F.col("e") + F.col("n")).alias("stop"))
+    before = Window.partitionBy(*DOC).orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+    gone = (far.withColumn("start", F.greatest("e", F.max("stop").over(before))).where("start < stop")
+               .select(*DOC, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("e")))
+    return lines, materialize(gone, "deleted")
 
 
 def _per_document(gone: DataFrame) -> DataFrame:
