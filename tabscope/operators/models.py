@@ -17,11 +17,12 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .forest import Forest
 
 SEED = 42
 MAX_TREE_DEPTH = 30  # Spark's cap; an unlimited depth maps to it
@@ -75,16 +76,13 @@ def linear_regression(params: dict | None = None, features="features", label="la
 def random_forest_regression(params: dict | None = None, features="features", label="label",
                              prediction="prediction") -> Estimator:
     """M2: random forest (100 trees, unlimited depth → 30, all features per
-    split as scikit's regressor default). ``min_samples_split`` has no Spark
-    parameter: it becomes ``minInstancesPerNode = max(leaf, ceil(split / 2))``."""
+    split as scikit's regressor default). ``min_samples_split`` has no
+    counterpart: it becomes ``min_leaf = max(leaf, ceil(split / 2))``."""
     p = params or {}
     leaf = int(p.get("min_samples_leaf", 1))
     split = int(p.get("min_samples_split", 2))
-    return RandomForestRegressor(
-        featuresCol=features, labelCol=label, predictionCol=prediction,
-        numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth")),
-        minInstancesPerNode=max(leaf, math.ceil(split / 2)), featureSubsetStrategy="all",
-        seed=SEED, **TREE_TUNING)
+    return Forest("regression", int(p.get("n_estimators", 100)), _depth(p.get("max_depth")),
+                  max(leaf, math.ceil(split / 2)), "all", SEED, features, label, prediction)
 
 
 def gradient_boosting_regression(params: dict | None = None, features="features", label="label",
@@ -191,11 +189,16 @@ def logistic_regression(n_rows: int | None = None, features="features", label="l
 
 def random_forest_classification(features="features", label="label",
                                  prediction="prediction") -> Estimator:
-    """M7: random forest classifier, 100 trees, seed 42."""
+    """M10's random forest classifier, 100 trees, seed 42 (Spark's: its nodes lie on the driver)."""
     return RandomForestClassifier(featuresCol=features, labelCol=label, predictionCol=prediction,
                                   numTrees=100, maxDepth=MAX_TREE_DEPTH, seed=SEED, **TREE_TUNING)
 
 
+def forest_classification(features="features", label="label", prediction="prediction") -> Estimator:
+    """M7: random forest classifier, 100 trees, unlimited depth → 30, seed 42."""
+    return Forest("classification", 100, MAX_TREE_DEPTH, 1, "sqrt", SEED, features, label, prediction)
+
+
 def boosting_classification(features="features", label="label", prediction="prediction",
                             parallelism: int = 4) -> Estimator:
     """M8: boosted classification for any number of classes: Spark's
@@ -210,18 +213,19 @@ MAX_BINS = 32  # of a slot, as in Spark's trees
 BIN_VALUES = 10_000  # distinct values of a slot that are weighed one by one
 
 
-def bin_edges(df: DataFrame, features: str, slots: int, max_bins: int = MAX_BINS) -> list[list[float]]:
+def bin_edges(df: DataFrame, features: str, slots: int, max_bins: int = MAX_BINS,
+              most: int = BIN_VALUES) -> list[list[float]]:
     """Per slot the thresholds between which trees cannot tell values apart, by the
     rule of Spark's trees, from all rows (Spark draws some 10,000): midpoints at
-    equal shares of the rows. A slot of more than ``BIN_VALUES`` values is cut at
-    its quantiles."""
+    equal shares of the rows. A slot of more than ``most`` values is cut at its
+    quantiles."""
     values = df.select(F.posexplode(vector_to_array(F.col(features))).alias("slot", "v"))
     finite = ~F.isnan("v") & (F.abs("v") < float("inf"))  # else an error, as in Spark's fits
     values = values.withColumn("v", F.when(finite, F.col("v")).otherwise(
         F.raise_error(F.lit("Vector values MUST NOT be NaN or Infinity")).cast("double")))
     counts = materialize(values.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n")), "values")
     many = {r["slot"] for r in counts.groupBy("slot").agg(F.count(F.lit(1)).alias("k"))
-                                     .where(F.col("k") > BIN_VALUES).collect()}
+                                     .where(F.col("k") > most).collect()}
     few: dict[int, list] = {}
     for row in counts.where(~F.col("slot").isin(*many) if many else F.lit(True)).collect():
         few.setdefault(row["slot"], []).append((row["v"], row["n"]))
